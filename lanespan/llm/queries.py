@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from lanespan.llm import exact_dedup, mixing, token_counts
+from lanespan.llm import decontam, exact_dedup, license_scan, mixing, token_counts
 
 QUERIES = {
     "op3_mixing": mixing.query,
     "op6_token_counts": token_counts.query,
     "op7_exact_dedup": exact_dedup.query,
+    "op8_license_scan": license_scan.query,
+    "op10_decontam": decontam.query,
 }
 
 ORACLE_SQL = {
     "op3_mixing": mixing.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op10_decontam": decontam.ORACLE,
 }
