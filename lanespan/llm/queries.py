@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lanespan.llm import decontam, exact_dedup, license_scan, mixing, token_counts
+from lanespan.llm import decontam, exact_dedup, license_scan, mixing, token_counts, toxicity
 
 QUERIES = {
     "op3_mixing": mixing.query,
+    "op5_toxicity": toxicity.query,
     "op6_token_counts": token_counts.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_license_scan": license_scan.query,
