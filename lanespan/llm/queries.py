@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lanespan.llm import decontam, exact_dedup, license_scan, mixing, token_counts, toxicity
+from lanespan.llm import decontam, exact_dedup, license_scan, lm_score, mixing, token_counts, toxicity
 
 QUERIES = {
     "op3_mixing": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_token_counts": token_counts.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_license_scan": license_scan.query,
+    "op9_lm_score": lm_score.query,
     "op10_decontam": decontam.query,
 }
 
