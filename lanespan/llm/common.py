@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,3 +59,60 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value; unpack() needs their kinds."""
+    import struct
+
+    import zstandard
+
+    head = struct.pack(f"<{len(arrays)}Q", *(a.nbytes for a in arrays))
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+
+
+def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    import struct
+
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    at, out = 8 * len(kinds), []
+    for kind, n in zip(kinds, struct.unpack_from(f"<{len(kinds)}Q", raw), strict=True):
+        out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
+        at += n
+    return out
+
+
+def starts(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
+
+
+def sent(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """df, sent to all executors if it has no more than so many rows; else its joins are shuffled."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, label: of each node of the undirected edges, the smallest node that it is connected with.
+
+    Each round takes the smallest label among the neighbours, then the label of that label; both are joins and minima
+    that combine before the shuffle. Rounds are logarithmic in long chains. Self-loops and repeated edges do no harm.
+    """
+    both = stash(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
+    labels = stash(both.groupBy("x").agg(F.min("y").alias("low")).select(F.col("x").alias("node"), F.least("x", "low").alias("label")))
+    while True:
+        low = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("label").alias("low"))
+        new = labels.join(low, labels["node"] == low["x"]).select("node", F.col("label").alias("old"), F.least("label", "low").alias("mid"))
+        up = labels.select(F.col("node").alias("mid"), F.col("label").alias("higher"))
+        new = stash(new.join(up, "mid").select("node", F.least("mid", "higher").alias("label"), (F.least("mid", "higher") != F.col("old")).alias("moved")))
+        labels = new.select("node", "label")
+        if new.where("moved").limit(1).count() == 0:
+            return labels
+
+
+def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, least: int) -> DataFrame:
+    """rows joined with their group's columns. Groups of at least so many rows are few, and are sent to all executors; the others are joined by key."""
+    large = F.broadcast(groups.where(F.col(size) >= least))
+    return rows.join(large, keys).unionByName(rows.join(large.select(*keys), keys, "left_anti").join(groups.where(F.col(size) < least), keys))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lanespan.llm import decontam, exact_dedup, license_scan, lm_score, mixing, token_counts, toxicity
+from lanespan.llm import decontam, exact_dedup, license_scan, lm_score, mixing, ngram_join, token_counts, toxicity
 
 QUERIES = {
     "op3_mixing": mixing.query,
+    "op4_ngram_join": ngram_join.query,
     "op5_toxicity": toxicity.query,
     "op6_token_counts": token_counts.query,
     "op7_exact_dedup": exact_dedup.query,
