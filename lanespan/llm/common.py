@@ -61,6 +61,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """64-bit hashes of words; known keeps those that were met."""
+    import xxhash
+
+    out = []
+    for w in words:
+        h = known.get(w)
+        if h is None:
+            h = known[w] = xxhash.xxh3_64_intdigest(w)
+        out.append(h)
+    return np.array(out, np.uint64)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value; unpack() needs their kinds."""
     import struct

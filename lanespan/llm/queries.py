@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lanespan.llm import decontam, exact_dedup, license_scan, lm_score, mixing, ngram_join, token_counts, toxicity
+from lanespan.llm import decontam, exact_dedup, license_scan, lm_score, mixing, ngram_join, substring_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.query,
     "op3_mixing": mixing.query,
     "op4_ngram_join": ngram_join.query,
     "op5_toxicity": toxicity.query,
