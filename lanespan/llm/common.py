@@ -129,3 +129,13 @@ def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, l
     """rows joined with their group's columns. Groups of at least so many rows are few, and are sent to all executors; the others are joined by key."""
     large = F.broadcast(groups.where(F.col(size) >= least))
     return rows.join(large, keys).unionByName(rows.join(large.select(*keys), keys, "left_anti").join(groups.where(F.col(size) < least), keys))
+
+
+#: Ids of rows to drop are sent to all executors up to this number; beyond it the rows are joined by id.
+SENT_IDS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is not among gone (one column); null ids stay. With few ids the texts stay where they are."""
+    gone = stash(gone.select(F.col(gone.columns[0]).alias("__gone")).where("__gone is not null").distinct())
+    return docs.join(sent(gone, gone.count(), SENT_IDS), docs[id_col] == gone["__gone"], "left_anti")

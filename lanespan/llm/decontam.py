@@ -134,9 +134,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, marks: in
 def drop_contaminated(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
     id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
-    bad = Index(docs, items, **columns).coverage().where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("mark").alias("__bad_mark")).distinct()
+    bad = Index(docs, items, **columns).coverage().groupBy("doc_id", "mark").agg(F.max("contaminated").alias("bad")).where("bad")
+    bad = stash(bad.select(F.col("doc_id").alias("__bad_id"), F.col("mark").alias("__bad_mark")))
     mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad_id")) & (mark == F.col("__bad_mark")), "left_anti")
+    return docs.join(sent(bad, bad.count()), docs[id_col].eqNullSafe(F.col("__bad_id")) & (mark == F.col("__bad_mark")), "left_anti")
 
 
 ORACLE = r"""

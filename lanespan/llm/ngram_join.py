@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanespan.llm.common import FOLD, connected, mix64, pack, sent, starts, stash, unpack, with_group
+from lanespan.llm.common import FOLD, connected, mix64, pack, sent, starts, stash, unpack, with_group, without, word_hashes
 
 SHINGLE, PERCENT = 3, 90
 BLOCK = 512
@@ -39,18 +39,6 @@ def slack(n: int, percent: int) -> int:
     return n * (100 - percent) // percent
 
 
-def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    import xxhash
-
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
-
-
 def shingle_set(text: bytes, k: int, known: dict[bytes, int]) -> np.ndarray:
     """Sorted hashes of the distinct k-word shingles; fewer words are one shingle as a whole, none are an empty set."""
     h = word_hashes(text.translate(FOLD).split(), known)
@@ -333,8 +321,8 @@ def labelled(people: DataFrame, classes: DataFrame, links: DataFrame | None, key
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of their component, with all their columns. Ids have to be unique; null ids stay."""
-    gone = ngram_join(docs, shingle, percent, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    found = ngram_join(docs, shingle, percent, id_col, text_col)
+    return without(docs, found.where("component_id <> doc_id").select("doc_id"), id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

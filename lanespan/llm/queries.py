@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lanespan.llm import decontam, exact_dedup, license_scan, lm_score, mixing, ngram_join, substring_dedup, token_counts, toxicity
+from lanespan.llm import chat_format, decontam, exact_dedup, license_scan, lm_score, mixing, ngram_join, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op2_chat_format": chat_format.query,
     "op3_mixing": mixing.query,
     "op4_ngram_join": ngram_join.query,
     "op5_toxicity": toxicity.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_chat_format": chat_format.ORACLE,
     "op3_mixing": mixing.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op10_decontam": decontam.ORACLE,
