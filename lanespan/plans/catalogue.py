@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+for _part in ("q_intervals",):
+    _m = importlib.import_module(f"lanespan.plans.{_part}")
+    QUERIES |= _m.Q
+    ORACLE_SQL |= _m.SQL
