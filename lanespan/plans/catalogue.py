@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
-for _part in ("q_intervals",):
+for _part in ("q_intervals", "q_segments"):
     _m = importlib.import_module(f"lanespan.plans.{_part}")
     QUERIES |= _m.Q
     ORACLE_SQL |= _m.SQL
