@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 SPAN, DECAY = 5, 0.7
 #: Bounds of the training sample: labelled rows of each class, and characters altogether. Scoring has no bounds.
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 24_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 1500, 8_000_000
 TOXIC_LANDMARKS, PLAIN_LANDMARKS = 48, 16
 #: Words longer than this are looked at in overlapping pieces of this length.
 PIECE = 24
@@ -96,8 +96,9 @@ class Kernel:
         self.table = np.zeros((len(used), len(landmarks)), np.float32)
         self.table[at, word] = w
 
-    def values(self, codes: list[bytes], step: int = 20_000) -> np.ndarray:
+    def values(self, codes: list[bytes], cells: int = 8_000_000) -> np.ndarray:
         out = np.zeros((len(codes), self.table.shape[1]), np.float32)
+        step = max(50, cells // (40 * self.table.shape[1]))
         for i in range(0, len(codes), step):
             word, sub, w = subsequences(codes[i : i + step])
             col = self.column[sub]
@@ -137,7 +138,7 @@ class Texts:
         self.ids = np.array(ids, np.int64)
         self.starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if ends else np.zeros(0, np.int64)
 
-    def best(self, values: np.ndarray, step: int = 50_000) -> np.ndarray:
+    def best(self, values: np.ndarray, step: int = 4_000) -> np.ndarray:
         """The best value of each sentence's words at each landmark."""
         out = np.zeros((len(self.starts), values.shape[1]), np.float32)
         for i in range(0, len(self.starts), step):
@@ -177,10 +178,11 @@ class Model:
         vals, vecs = np.linalg.eigh((same + same.T) / 2)
         root = vecs @ np.diag(np.maximum(vals, 1e-3) ** -0.5) @ vecs.T
         phi = t.best(self.kernel.of_words(list(t.words)))
-        psi = phi @ root
         # First each document is one bag; then its worst sentence stands for a toxic one, and the worst few for a clean one.
-        bag = np.zeros((len(texts), phi.shape[1]))
+        bag = np.zeros((len(texts), phi.shape[1]), np.float32)
         np.maximum.at(bag, doc, phi)
+        psi = phi @ root.astype(np.float32)
+        del phi
         balance = np.where(y == 1, 1.0 / max(1, y.sum()), 1.0 / max(1, (1 - y).sum()))
         w, b = train_svm(bag @ root, 2.0 * y - 1, balance)
         for _ in range(3):
@@ -207,7 +209,7 @@ class Model:
         codes = [spelled(w)[:PIECE] for w in words]
         usable = np.array([len(c) >= 3 for c in codes], bool)
         gain = np.where(usable, toxic - 3 * plain, 0)
-        first = np.argsort(-gain, kind="stable")[:3000]
+        first = np.argsort(-gain, kind="stable")[:1500]
         first = first[gain[first] > 0]
         out: list[bytes] = []
         if len(first):
