@@ -92,3 +92,10 @@ def sessions(df: DataFrame, keys: list[str], at: str, gap: int, order: list[str]
     new = (F.col(at) - F.lag(at).over(w) > gap).cast("long")
     rows = df.withColumn("session", F.sum(F.coalesce(new, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(*keys, "session").agg(F.min(at).alias("session_start"), F.max(at).alias("session_end"), F.count(F.lit(1)).alias("n")).drop("session")
+
+
+def middle_of(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The rows of the steps that middle() would keep."""
+    total = rows.groupBy(key).agg((F.max("step") + 1).alias("total"))
+    kept = rows.join(F.broadcast(total), key).withColumn("begin", F.greatest(F.lit(0), F.least(F.expr("total div 4"), F.col("total") - most)))
+    return kept.where(f"step >= begin and step < begin + {most}").drop("total", "begin")
