@@ -72,7 +72,7 @@ def cascade(rows: DataFrame, column: str, steps: list[tuple[str, Column, DataFra
 def ancestors(nodes: DataFrame, node: str, parent: str, most: int = 64) -> DataFrame:
     """node, depth, path: ancestors first, at most `most` of them; cycles end there. Paths double in each of log2(most) joins."""
     state = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"), F.array(F.col(node)).alias("path"))
-    for _ in range(max(1, (most - 1).bit_length())):
+    for _ in range(most.bit_length()):
         p = state.select(F.col("node").alias("pn"), F.col("up").alias("pu"), F.col("path").alias("pp"))
         state = state.join(p, F.col("up") == F.col("pn"), "left").select("node", F.col("pu").alias("up"), F.when(F.col("pp").isNull(), F.col("path")).otherwise(F.concat("pp", "path")).alias("path"))
     path = F.expr(f"slice(path, greatest(1, size(path) - {most}), {most} + 1)")
