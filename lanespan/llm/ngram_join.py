@@ -117,10 +117,10 @@ class Cutter:
                         keys.append(key[0])
                         needs.append(need)
                         size += len(own)
-                if len(known) > 1_000_000:
+                if len(known) > 300_000:
                     known.clear()
             yield self.batch(ids, n=[r[0] for r in rows], k1=[r[1] for r in rows], k2=[r[2] for r in rows])
-            if size > 3_000_000:
+            if size > 1_500_000:
                 yield from self.flush(ids, tokens, keys, needs)
                 tokens, keys, needs, size = [], [], [], 0
                 met.clear()
@@ -254,7 +254,7 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
                 s = shingle_set(t or b"", shingle, known)
                 if set_key(s)[0] == key:
                     out.append((key, len(s), s.tobytes()))
-                if len(known) > 1_000_000:
+                if len(known) > 300_000:
                     known.clear()
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["k1", "n", "grams"])
 
