@@ -26,7 +26,7 @@ from lanespan.llm.common import mix64, pack, sent, starts, stash, unpack, with_g
 
 WINDOW = 20
 PREFIX_BYTES = 24
-BLOCK_WORDS = 2_500_000
+BLOCK_WORDS = 1_000_000
 SHARD_CHARS = 24_000_000
 SENT_ROWS = 400_000
 HOT_SHARE = 1 / 1024
@@ -122,7 +122,7 @@ class Cutter:
                     hashes.append(word_hashes(words, known))
                     keys.append(key[0])
                     size += len(words)
-                    if len(known) > 1_000_000:
+                    if len(known) > 300_000:
                         known.clear()
                     if size > BLOCK_WORDS:
                         yield from self.flush(kind, hashes, keys)
@@ -202,7 +202,7 @@ class Suffixes:
                 at = np.unique(np.concatenate([unpack(p, "<u4")[0] for p in places])).astype(np.int64)
                 texts.append((word_hashes(words, known), np.array([len(w) for w in words], np.int64), low, k1, at))
                 size += len(words)
-                if len(known) > 1_000_000:
+                if len(known) > 300_000:
                     known.clear()
                 if size > BLOCK_WORDS:
                     yield from self.flush(texts)
