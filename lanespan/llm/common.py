@@ -14,7 +14,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Byte table that lower-cases A-Z and nothing else.
@@ -39,7 +38,31 @@ def scratch(spark: SparkSession) -> str:
     if not root:
         root = os.path.join(tempfile.gettempdir(), "lanespan-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lanespan-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{root.rstrip('/')}/lanespan-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+#: Folders that this process has made.
+_SCRATCH: list[str] = []
+
+
+def sweep(spark: SparkSession, needed: DataFrame | None = None) -> None:
+    """Delete the scratch folders made so far, but for those that `needed` reads. Results that were not written yet are lost, so this is for a caller who has written them."""
+    reads = needed.inputFiles() if needed is not None else []
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in list(_SCRATCH):
+        if not any(path.rpartition("/")[2] in f for f in reads):
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+            _SCRATCH.remove(path)
+
+
+#: Shards of the packed operators: a shard holds what SHARD_CHARS characters of text give, up to MOST_SHARDS of them.
+SHARD_CHARS, MOST_SHARDS = 24_000_000, 1 << 16
+
+
+def shards_for(chars: int) -> int:
+    return int(min(MOST_SHARDS, max(8, chars // SHARD_CHARS)))
 
 
 def stash(df: DataFrame, compression: str = "zstd") -> DataFrame:

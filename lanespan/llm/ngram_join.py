@@ -23,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanespan.llm.common import FOLD, connected, mix64, pack, sent, starts, stash, unpack, with_group, without, word_hashes
+from lanespan.llm.common import FOLD, connected, mix64, pack, sent, shards_for, starts, stash, unpack, with_group, without, word_hashes
 
 SHINGLE, PERCENT = 3, 90
 BLOCK = 512
 SLICE = 8192
 SENT_ROWS = 400_000
-SHARD_CHARS = 24_000_000
 HOT_SHARE = 1 / 1024
 RATIO = 2**0.5
 
@@ -223,7 +222,7 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = int(min(4096, max(8, chars // SHARD_CHARS)))
+    shards = shards_for(chars)
     cutter = Cutter(shingle, percent, shards)
     cut = stash(rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(cutter.run, f"doc_id {kind}, {Cutter.SCHEMA}"), "none")
     people = cut.where("n is not null").select("doc_id", "n", "k1", "k2")

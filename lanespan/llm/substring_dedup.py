@@ -22,12 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanespan.llm.common import mix64, pack, sent, starts, stash, unpack, with_group, word_hashes
+from lanespan.llm.common import mix64, pack, sent, shards_for, starts, stash, unpack, with_group, word_hashes
 
 WINDOW = 20
 PREFIX_BYTES = 24
 BLOCK_WORDS = 1_000_000
-SHARD_CHARS = 24_000_000
 SENT_ROWS = 400_000
 HOT_SHARE = 1 / 1024
 LAST = (1 << 63) - 1
@@ -275,7 +274,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = int(min(4096, max(8, chars // SHARD_CHARS)))
+    shards = shards_for(chars)
     cutter, suffixes = Cutter(window, shards), Suffixes(window, shards)
     keys = ["k1", "k2"]
 

@@ -92,3 +92,15 @@ def test_connected_follows_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(map(tuple, connected(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_sweep_spares_what_is_read(spark):
+    from lanespan.llm import common
+
+    a, b = (common.stash(spark.range(n)) for n in (3, 4))
+    common.sweep(spark, b)
+    assert b.count() == 4 and len(common._SCRATCH) == 1
+    with pytest.raises(Exception, match="not exist|NOT_EXIST|FileNotFound"):
+        spark.read.parquet(*a.inputFiles()).count()
+    common.sweep(spark)
+    assert common._SCRATCH == []
