@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Byte table that lower-cases A-Z and nothing else.
@@ -66,10 +68,18 @@ def shards_for(chars: int) -> int:
 
 
 def stash(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and the rows are fixed from here on."""
+    """Write df to the shared folder and read it back: lineage is cut, and the rows are fixed from here on.
+
+    Meanwhile Arrow batches are small, as rows here hold whole texts and packed arrays.
+    """
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(before) if int(before) > 0 else BATCH_ROWS, BATCH_ROWS)))
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

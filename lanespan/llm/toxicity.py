@@ -24,9 +24,9 @@ SAMPLE_ROWS, SAMPLE_CHARS = 1500, 8_000_000
 TOXIC_LANDMARKS, PLAIN_LANDMARKS = 48, 16
 #: Words longer than this are looked at in overlapping pieces of this length.
 PIECE = 24
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 200_000
 #: Words whose kernel values a worker remembers; beyond that it starts afresh. Only speed depends on it.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 BOUND = re.compile(r"(?<=[.!?])\s+|\n+")
 SPACED = re.compile(r"(?<!\S)(?:\w[\s.\-_*]{1,2}){2,}\w(?!\S)")
@@ -264,6 +264,11 @@ class Model:
             self.known.update(zip(new, range(n, n + len(new)), strict=True))
         return self.rows[list(map(self.known.__getitem__, words))]
 
+    def forget(self) -> None:
+        """Leave no values behind in a worker that goes on to other work."""
+        self.__dict__.pop("known", None)
+        self.__dict__.pop("rows", None)
+
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("known", "rows")}
 
@@ -276,6 +281,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * top + self.shift, -30, 30)))
 
 
+def in_chunks(model: Model, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Begin, end and scores of runs of texts of about CHUNK_WORDS words."""
+    i = 0
+    while i < len(texts):
+        j, n = i, 0
+        while j < len(texts) and (j == i or n + len(texts[j]) // 6 <= CHUNK_WORDS):
+            n += len(texts[j]) // 6
+            j += 1
+        yield i, j, model.scores(texts[i:j])
+        i = j
+
+
 def crc_mod(c, n: int):
     return F.crc32(c.cast("string").cast("binary")) % n
 
@@ -313,16 +330,10 @@ def score(docs: DataFrame, model: Model, folds: int = 5, id_col: str = "doc_id",
         model = shared.value
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
-            out, i = [], 0
-            while i < len(texts):
-                j, n = i, 0
-                while j < len(texts) and (j == i or n + len(texts[j]) // 6 <= CHUNK_WORDS):
-                    n += len(texts[j]) // 6
-                    j += 1
-                out.append(model.scores(texts[i:j]))
-                i = j
+            out = [x for _, _, x in in_chunks(model, texts)]
             s = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        model.forget()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(crc_mod(F.col(id_col), folds) == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -342,9 +353,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         model = shared.value
         for b in batches:
             at = b.schema.get_field_index(text_col)
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                s = model.scores([t or "" for t in part.column(at).to_pylist()])
-                yield part.filter(pa.array(s < 0.5))
+            for i, j, x in in_chunks(model, [t or "" for t in b.column(at).to_pylist()]):
+                yield b.slice(i, j - i).filter(pa.array(x < 0.5))
+        model.forget()
 
     return docs.mapInArrow(keep, docs.schema)
