@@ -1,14 +1,15 @@
 """A corpus pipeline of five stages over documents: toxicity, exact dedup, n-gram join, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and all but the last return the columns
-of documents. The last returns what the mix takes of each document.
+of documents. The last returns what the mix takes of each document. A stage's result has to be written before the next
+stage is called, which clears the scratch folders of those before.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanespan.llm.common import stash
+from lanespan.llm.common import stash, sweep
 from lanespan.llm.decontam import drop_contaminated
 from lanespan.llm.exact_dedup import drop_copies
 from lanespan.llm.mixing import mix
@@ -18,26 +19,31 @@ from lanespan.llm.toxicity import drop_toxic
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic."""
+    sweep(spark, docs)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal but for white space the longest, then that of the smallest id."""
+    sweep(spark, docs)
     return drop_copies(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of at least 0.8 of their five-word shingles connect, that of the smallest id."""
+    sweep(spark, docs)
     return drop_near_copies(docs, 5, 80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items."""
+    sweep(spark, docs)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
+    sweep(spark, docs)
     return mix(docs)
 
 
