@@ -1,20 +1,22 @@
 """Language-model scores by an interpolated modified Kneser-Ney bigram model.
 
-Contexts are hashed: the word before is known by one of CONTEXTS classes, so the statistics of contexts have a fixed
-size. Everything else belongs to the predicted word, and all that is known of a word meets in one shard:
-
-1. A pass over the texts cuts them into blocks and writes, for each block and shard, the counts of (word, class) as
-   sorted arrays of word hashes, and which documents of the block hold them.
-2. Each shard merges its blocks' counts into the model's arrays, sorted by hash, and stores them with its sums.
-3. Sums over all shards give the discounts and the table of context classes (of fixed size).
-4. Each shard maps its stored arrays into memory, looks its pairs up by binary search, and returns sums by document.
-
-A few words may hold a large part of all tokens. Those that a sample finds are dealt to sub-shards by class; the
-sample only balances the work, as any list gives the same scores.
+Words and the words before them, their contexts, are both known by 64-bit hashes. All that is known of a predicted word
+meets in one shard, and all that is known of a context in another:
+
+1. A pass over the texts cuts them into blocks and sends, for each block and shard, the counts of (word, context) in the
+   order of their hashes, and which documents of the block hold them.
+2. Each shard merges its blocks into sorted arrays, finds the blocks' pairs in them by binary search, and stores the
+   counts with the places of the blocks' pairs. For each context it met it asks that context's shard, telling its sums.
+3. Context shards add up these sums and answer. Sums over all shards give the discounts; nothing else is gathered.
+4. Each shard maps its stored arrays into memory, puts its contexts' sums beside them, and returns sums by document.
+
+A few words may hold a large part of all tokens. Those that a sample finds are dealt to sub-shards by context; the
+sample only balances the work, as any list gives the same scores. A frequent context is added up within each shard first.
 """
 
 from __future__ import annotations
 
+import copy
 import tempfile
 from collections.abc import Iterator
 
@@ -24,9 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanespan.llm.common import FOLD, mix64, pack, shards_for, starts, stash, unpack
+from lanespan.llm.common import FOLD, pack, shards_for, starts, stash, unpack
 
-CONTEXTS = 1 << 16
 BLOCK_TOKENS, BLOCK_DOCS = 3_000_000, 1 << 14
 HOT_SHARE, HOT_PARTS, HOT_SAMPLE = 1 / 200, 32, 4000
 FOLDS = 10
@@ -42,13 +43,19 @@ def word_hash(word: bytes) -> int:
 END, START = b" end", b" start"
 
 
-def contexts_of(hashes: np.ndarray) -> np.ndarray:
-    return (mix64(hashes) % np.uint64(CONTEXTS)).astype(np.int64)
+def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of the hashes, in their order."""
+    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
 
+def hot_parts(shards: int) -> int:
+    """Sub-shards of a hot word: they grow with the shards, as its pairs do."""
+    return max(HOT_PARTS, shards // 8)
 
-def block_payloads(texts: list[bytes], held: np.ndarray, shards: int, hot: list[int]) -> Iterator[tuple[int, bytes, bytes]]:
+
+def block_payloads(texts: list[bytes], held: np.ndarray, shards: int, hot: list[int]) -> Iterator[tuple[int, bytes]]:
     """shard, counts and holders of one block."""
-    number: dict[bytes, int] = {END: 0}
+    number: dict[bytes, int] = {END: 0, START: 1}
     tokens, lengths = [], []
     for t in texts:
         found = [number.setdefault(w, len(number)) for w in t.translate(FOLD).split()]
@@ -64,73 +71,88 @@ def block_payloads(texts: list[bytes], held: np.ndarray, shards: int, hot: list[
     del tokens, number
     doc = np.repeat(np.arange(len(texts)), lengths)
     context = np.empty(len(word), np.int64)
-    context[1:] = contexts_of(hashes)[word[:-1]]
-    context[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)] = contexts_of(np.array([word_hash(START)], np.uint64))[0]
-    key = np.sort(((word << 16 | context) << 14) | doc)
-    del word, context, doc
-    first = starts(key)
-    count = np.diff(np.append(first, len(key)))
-    key = key[first]
-    pair, doc = key >> 14, (key & (BLOCK_DOCS - 1)).astype(np.uint16)
+    context[1:] = word[:-1]
+    context[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)] = rank[1]
+    wide, deep = len(hashes).bit_length(), len(texts).bit_length()
+    pair = word << wide | context
+    del word, context
+    if 2 * wide + deep < 64:
+        key = np.sort(pair << deep | doc)
+        first = starts(key)
+        count = np.diff(np.append(first, len(key)))
+        key = key[first]
+        pair, doc = key >> deep, (key & ((1 << deep) - 1)).astype(np.uint16)
+        del key
+    else:  # one huge text of very many words
+        order = np.lexsort((doc, pair))
+        pair, doc = pair[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])]))
+        count = np.diff(np.append(first, len(pair)))
+        pair, doc = pair[first], doc[first].astype(np.uint16)
     train = np.where(held[doc], 0, count)
     first = starts(pair)
     holders = np.diff(np.append(first, len(pair)))
     trained = np.add.reduceat(train, first) if len(first) else train
     pair = pair[first]
-    shard = ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)[pair >> 16]
+    before, parts = hashes[pair & ((1 << wide) - 1)], hot_parts(shards)
+    shard = shard_of(hashes, shards)[pair >> wide]
     for i, h in enumerate(hot):
         at = int(np.searchsorted(hashes, np.uint64(h)))
         if at < len(hashes) and hashes[at] == np.uint64(h):
-            lo, hi = np.searchsorted(pair, [at << 16, (at + 1) << 16])
-            shard[lo:hi] = shards + i * HOT_PARTS + (pair[lo:hi] & 0xFFFF) % HOT_PARTS
+            lo, hi = np.searchsorted(pair, [at << wide, (at + 1) << wide])
+            shard[lo:hi] = shards + i * parts + (before[lo:hi] % np.uint64(parts)).astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(holders)])
     by_shard = np.argsort(shard, kind="stable")
     cuts = starts(shard[by_shard])
     for lo, hi in zip(cuts, np.append(cuts[1:], len(by_shard)), strict=True):
         rows = by_shard[lo:hi]
-        words = pair[rows] >> 16
+        words = pair[rows] >> wide
         f = starts(words)
         n = holders[rows]
         at = np.repeat(begin[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        counts = pack(hashes[words[f]], np.diff(np.append(f, len(words))).astype(np.uint32), (pair[rows] & 0xFFFF).astype(np.uint16), trained[rows].astype(np.uint32))
-        yield int(shard[rows[0]]), counts, pack(n.astype(np.uint32), doc[at], count[at].astype(np.uint32))
+        yield int(shard[rows[0]]), pack(hashes[words[f]], np.diff(np.append(f, len(words))).astype(np.uint32), before[rows], trained[rows].astype(np.uint32), n.astype(np.uint32), doc[at], count[at].astype(np.uint32))
 
 
-COUNTS, HOLDERS = ("<u8", "<u4", "<u2", "<u4"), ("<u4", "<u2", "<u4")
+BLOCK = ("<u8", "<u4", "<u8", "<u4", "<u4", "<u2", "<u4")
+STORED = ("<u8", "<u4", "<u4", "<u4", "<u4", "<i8", "<u4", "<u4", "<u4", "<u2", "<u4")
+ASKED, TOLD = ("<u8", "<u8", "<u4", "<u4", "<u4"), ("<u8", "<u4", "<u4", "<u4")
 
 
-def merged(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted word hashes, pairs (place of the word and class) and their training counts over all blocks of a shard."""
-    parts = [unpack(p, *COUNTS) for p in payloads]
+def shard_model(shard: int, blocks: list[int], payloads: list[bytes], shards: int) -> Iterator[tuple]:
+    """Rows (kind, toward, payload, hot, sums): what is stored, what is asked of context shards, and the shard's own sums."""
+    parts = [unpack(p, *BLOCK) for p in payloads]
     words = np.unique(np.concatenate([p[0] for p in parts]))
-    pair = np.concatenate([np.repeat(np.searchsorted(words, p[0]), p[1]) << 16 | p[2].astype(np.int64) for p in parts])
-    count = np.concatenate([p[3] for p in parts]).astype(np.int64)
-    order = np.argsort(pair, kind="stable")
-    pair, count = pair[order], count[order]
-    first = starts(pair)
-    return words, pair[first], np.add.reduceat(count, first)
-
-
-def shard_model(shard: int, payloads: list[bytes], shards: int) -> list[tuple]:
-    """Rows (kind, shard, payload, a, b, c, d, e): the stored arrays, sums by class, and the shard's own sums."""
-    words, pair, count = merged(payloads)
-    pair, count = pair[count > 0], count[count > 0]
-    word, context = pair >> 16, pair & 0xFFFF
+    contexts = np.unique(np.concatenate([p[2] for p in parts]))
+    wide = len(contexts).bit_length()
+    place = np.concatenate([np.repeat(np.searchsorted(words, p[0]), p[1]) << wide | np.searchsorted(contexts, p[2]) for p in parts])
+    pair, place = np.unique(place, return_inverse=True)
+    count = np.bincount(place, np.concatenate([p[3] for p in parts]), len(pair)).astype(np.int64)
+    word, context = pair >> wide, pair & ((1 << wide) - 1)
+    del pair
     total = np.bincount(word, count, len(words)).astype(np.int64)
-    before = np.bincount(word, minlength=len(words))
-    known = total > 0
-    place = np.cumsum(known) - 1
-    rows: list[tuple] = [(0, shard, pack(words[known], total[known].astype(np.uint64), before[known].astype(np.uint32), (place[word] << 16 | context).astype(np.int64), count.astype(np.uint32)), 0, 0, 0, 0, 0)]
-    sums = [np.bincount(context, w, CONTEXTS).astype(np.int64) for w in (count, count == 1, count == 2, count > 2)]
-    for c in np.flatnonzero(sums[0]):
-        rows.append((1, shard, None, int(c), *(int(s[c]) for s in sums)))
-    for k in range(1, 5):
-        rows.append((2, shard, None, k, int((count == k).sum()), int((before[known] == k).sum()) if shard < shards else 0, 0, 0))
-    if shard < shards:
-        rows.append((3, shard, None, int(total.sum()), int(known.sum()), len(pair), 0, 0))
-    else:
-        rows.append((4, shard, None, (shard - shards) // HOT_PARTS, int(total.sum()), len(pair), 0, 0))
-    return rows
+    before = np.bincount(word[count > 0], minlength=len(words))
+    # Places rise within a block, so their differences are small; at a new block they wrap round.
+    steps = np.diff(place.astype(np.uint32), prepend=np.uint32(0))
+    held = [np.concatenate([p[i] for p in parts]) for i in (4, 5, 6)]
+    yield 0, -1, pack(total.astype(np.uint64), before.astype(np.uint32), np.bincount(word, minlength=len(words)).astype(np.uint32), context.astype(np.uint32), count.astype(np.uint32), np.array(blocks, np.int64), np.array([len(p[2]) for p in parts], np.uint32), steps, *held), None, None
+    del parts, held, steps, place
+    sums = [np.bincount(context, w, len(contexts)).astype(np.int64) for w in (count, count == 1, count == 2, count > 2)]
+    to = shard_of(contexts, shards)
+    cuts = starts(to)
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(to)), strict=True):
+        yield 1, int(to[lo]), pack(contexts[lo:hi], sums[0][lo:hi].astype(np.uint64), *(x[lo:hi].astype(np.uint32) for x in sums[1:])), None, None
+    hot = (shard - shards) // hot_parts(shards) if shard >= shards else -1
+    yield 2, -1, None, hot, [int(total.sum()), int(before.sum()), int((total > 0).sum()), *(int((count == k).sum()) for k in range(1, 5)), *(int((before == k).sum()) for k in range(1, 5))]
+
+
+def answers(payloads: list[bytes]) -> Iterator[bytes]:
+    """To each that asks, the sums of its contexts over all shards."""
+    asked = [unpack(p, *ASKED) for p in payloads]
+    contexts = np.unique(np.concatenate([a[0] for a in asked]))
+    at = [np.searchsorted(contexts, a[0]) for a in asked]
+    sums = [np.bincount(np.concatenate(at), np.concatenate([a[i] for a in asked]), len(contexts)) for i in range(1, 5)]
+    for x in at:
+        yield pack(*(s[x].astype(k) for s, k in zip(sums, TOLD, strict=True)))
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -141,12 +163,12 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class Totals:
-    """What scoring needs besides the shards: numbers of tokens, words and pairs, discounts, classes, and totals of hot words."""
+    """What scoring needs besides the shards: numbers of tokens, words and pairs, discounts, and totals of hot words. Sums of contexts belong to a shard, which knows them by their places."""
 
     def __init__(self, tokens: int, words: int, pairs: int, n: list[int], m: list[int], classes: dict[int, tuple], hot: dict[int, tuple[int, int]]):
         self.tokens, self.words, self.pairs, self.hot = tokens, words, pairs, hot
         self.high, self.low = discounts(n), discounts(m)
-        self.context = np.zeros((CONTEXTS, 4))
+        self.context = np.zeros((max(classes, default=-1) + 2, 4))  # the last is of a context that was never seen
         for c, x in classes.items():
             self.context[c] = x
         rest = max(0, words - m[0] - m[1])
@@ -157,6 +179,12 @@ class Totals:
         kept = np.maximum(before - self.low[np.minimum(before, 3)], 0) / max(1, self.pairs)
         return kept + (self.spare if self.pairs else 1.0) / (self.words + 1)
 
+    def within(self, context: np.ndarray) -> Totals:
+        """The same, with the sums of a shard's contexts by place."""
+        own = copy.copy(self)
+        own.context = context
+        return own
+
     def higher(self, count: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
         c, n1, n2, n3 = self.context[context].T
         seen = np.maximum(c, 1)
@@ -164,41 +192,35 @@ class Totals:
         return np.where(c > 0, kept + (self.high[1] * n1 + self.high[2] * n2 + self.high[3] * n3) / seen * lower, lower)
 
 
-def score_shard(shard: int, model: bytes, blocks: list[tuple[int, bytes, bytes]], t: Totals, shards: int) -> Iterator[tuple[int, bytes]]:
+def score_shard(shard: int, stored: bytes, told: list[bytes], t: Totals, shards: int) -> Iterator[tuple[int, bytes]]:
     """block, sums by document (documents, base score, score, known tokens)."""
-    arrays = unpack(model, "<u8", "<u8", "<u4", "<i8", "<u4")
     with tempfile.TemporaryFile() as f:  # gone with the task, whatever becomes of it
         places, at = [], 0
-        for a in arrays:
+        for a in unpack(stored, *STORED):
             f.write(a.tobytes())
             places.append((at, len(a), a.dtype))
             at += a.nbytes
         f.flush()
-        kinds = [np.memmap(f, d, "r", o, (n,)) if n else np.zeros(0, d) for o, n, d in places]
-        del arrays
-        words, total, before, pairs, count = kinds
+        total, before, n_pairs, context, count, blocks, entries, steps, holders, doc, times = (np.memmap(f, d, "r", o, (n,)) if n else np.zeros(0, d) for o, n, d in places)
+        # Answers come in the order of context shards, so in that of the shard's contexts.
+        answered = [unpack(p, *TOLD) for p in told]
+        own = t.within(np.stack([np.concatenate([a[i] for a in answered]).astype(np.float64) for i in range(4)], axis=1))
+        c, b = total.astype(np.int64), before.astype(np.int64)
         if shard >= shards:
-            hot_total, hot_before = t.hot[(shard - shards) // HOT_PARTS]
-        for block, counts, holders in blocks:
-            w, n_pairs, context, _ = unpack(counts, *COUNTS)
-            n, doc, times = unpack(holders, *HOLDERS)
-            at = np.searchsorted(words, w)
-            known = (at < len(words)) & (words[np.minimum(at, len(words) - 1)] == w) if len(words) else np.zeros(len(w), bool)
-            at = np.minimum(at, max(0, len(words) - 1))
-            c = np.where(known, total[at] if len(words) else 0, 0).astype(np.int64)
-            b = np.where(known, before[at] if len(words) else 0, 0).astype(np.int64)
-            if shard >= shards:
-                c, b = np.full(len(w), hot_total), np.full(len(w), hot_before)
-            base = np.log10((c + 0.1) / (t.tokens + 0.1 * (t.words + 1)))
-            key = np.repeat(np.where(known, at, -1), n_pairs) << 16 | context
-            p = np.searchsorted(pairs, key)
-            hit = (p < len(pairs)) & (pairs[np.minimum(p, len(pairs) - 1)] == key) if len(pairs) else np.zeros(len(key), bool)
-            seen = np.where(hit, count[np.minimum(p, len(pairs) - 1)] if len(pairs) else 0, 0).astype(np.int64)
-            score = np.log10(t.higher(seen, context, np.repeat(t.lower(b), n_pairs)))
-            of_word = np.repeat(np.arange(len(w)), n_pairs)
-            pair = np.repeat(np.arange(len(key)), n)
-            sums = [np.bincount(doc, x[pair] * times) for x in (base[of_word], score, (c > 0)[of_word].astype(float))]
-            docs = np.flatnonzero(np.bincount(doc))
+            hot_total, hot_before = t.hot[(shard - shards) // hot_parts(shards)]
+            c, b = np.full(len(c), hot_total), np.full(len(b), hot_before)
+        of_word = np.repeat(np.arange(len(c)), n_pairs)
+        score = np.log10(own.higher(count.astype(np.int64), context, t.lower(b)[of_word]))
+        base = np.log10((c + 0.1) / (t.tokens + 0.1 * (t.words + 1)))
+        kinds = (base[of_word], score, (c > 0)[of_word].astype(float))
+        place = np.cumsum(steps, dtype=np.uint32)
+        ends = np.cumsum(entries, dtype=np.int64)
+        stops = np.concatenate([[0], np.cumsum(holders, dtype=np.int64)])
+        for block, lo, hi in zip(blocks.tolist(), ends - entries, ends, strict=True):
+            pair = np.repeat(place[lo:hi], holders[lo:hi])
+            d, n = doc[stops[lo] : stops[hi]], times[stops[lo] : stops[hi]]
+            sums = [np.bincount(d, x[pair] * n) for x in kinds]
+            docs = np.flatnonzero(np.bincount(d))
             yield block, pack(docs.astype(np.uint16), *(s[docs] for s in sums))
 
 
@@ -226,11 +248,13 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(crc_mod(F.col(id_col), folds) == 0, F.lit(False)).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = shards_for(chars)
+    shards = shards_for(2 * chars)  # pairs take more room than words
     hot = hot_words(rows, "text")
-    doc_type = f"block long, shard int, counts binary, holders binary, local int, doc_id {kind.simpleString()}, held boolean, n_tokens long"
+    of_docs = {"block": pa.int64(), "local": pa.int32(), "doc_id": None, "held": pa.bool_(), "n_tokens": pa.int64()}
+    doc_type = f"block long, local int, doc_id {kind.simpleString()}, held boolean, n_tokens long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's payloads by shard, and its documents by a negative number of the block."""
         part, seq = TaskContext.get().partitionId(), 0
         texts, ids, held, size = [], [], [], 0
 
@@ -242,13 +266,12 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, id_col: str = "doc_id", text_
                 id_type = ids[0].type
                 own = pa.chunked_array(ids).combine_chunks()
                 n, lengths = len(texts), [len(t.split()) + 1 for t in texts]
-                none = [None] * n
-                yield pa.RecordBatch.from_arrays([pa.array([block] * n), pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(none, pa.binary()), pa.array(range(n), pa.int32()), own, pa.array(held), pa.array(lengths)], names=names)
-                for s, counts, holders in block_payloads(texts, np.array(held), shards, hot):
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([s], pa.int32()), pa.array([counts], pa.binary()), pa.array([holders], pa.binary()), pa.array([None], pa.int32()), pa.nulls(1, id_type), pa.array([None], pa.bool_()), pa.array([None], pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - block] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), own, pa.array(held), pa.array(lengths)], names=names)
+                for s, payload in block_payloads(texts, np.array(held), shards, hot):
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([payload], pa.binary()), pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, id_type), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64())], names=names)
                 texts, ids, held, size = [], [], [], 0
 
-        names = ["block", "shard", "counts", "holders", "local", "doc_id", "held", "n_tokens"]
+        names = ["shard", "payload", *of_docs]
         for b in batches:
             column, flags = b.column(2).to_pylist(), b.column(1).to_pylist()
             for i, t in enumerate(column):
@@ -260,37 +283,37 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, id_col: str = "doc_id", text_
                 size += len(t)
         yield from flush()
 
-    blocks = stash(rows.select("doc_id", "held", F.col("text").cast("binary").alias("text")).mapInArrow(cut, doc_type), "none")
-
     def build(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        rows_ = shard_model(shard, table["counts"].to_pylist(), shards)
-        kinds = [pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 5]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows_, strict=True), kinds, strict=True)], names=["kind", "shard", "payload", *"abcde"])
-
-    pieces = blocks.where("shard is not null")
-    model = stash(pieces.select("shard", "counts").groupBy("shard").applyInArrow(build, "kind int, shard int, payload binary, a long, b long, c long, d long, e long"), "none")
-    classes = {r[0]: r[1:] for r in (tuple(r) for r in model.where("kind = 1").groupBy("a").agg(*(F.sum(c) for c in "bcde")).collect())}
-    orders = {r[0]: r[1:] for r in (tuple(r) for r in model.where("kind = 2").groupBy("a").agg(F.sum("b"), F.sum("c")).collect())}
-    own = model.where("kind = 3").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in "abc")).first()
-    some = {r[0]: (r[1], r[2]) for r in (tuple(r) for r in model.where("kind = 4").groupBy("a").agg(F.sum("b"), F.sum("c")).collect())}
-    m = [orders.get(k, (0, 0))[1] + sum(b == k for _, b in some.values()) for k in range(1, 5)]
-    totals = Totals(own[0] + sum(c for c, _ in some.values()), own[1] + sum(c > 0 for c, _ in some.values()), own[2] + sum(b for _, b in some.values()), [orders.get(k, (0, 0))[0] for k in range(1, 5)], m, classes, {i: some.get(i, (0, 0)) for i in range(len(hot))})
+        shard, n = table["shard"][0].as_py(), table.num_rows
+        made = {"kind": pa.int32(), "shard": pa.int64(), "toward": pa.int64(), "payload": pa.binary(), "hot": pa.int32(), "sums": pa.list_(pa.int64())}
+        if shard < 0:
+            return pa.table({c: pa.array([3] * n, k) if c == "kind" else pa.nulls(n, k) for c, k in made.items()} | {c: table[c] for c in of_docs})
+        found = [(k, shard, *x) for k, *x in shard_model(shard, table["block"].to_pylist(), table["payload"].to_pylist(), shards)]
+        out = {c: pa.array(x, k) for (c, k), x in zip(made.items(), zip(*found, strict=True), strict=True)}
+        return pa.table(out | {c: pa.nulls(len(found), table.schema.field(c).type) for c in of_docs})
+
+    blocks = rows.select("doc_id", "held", F.col("text").cast("binary").alias("text")).mapInArrow(cut, f"shard long, payload binary, {doc_type}")
+    model = stash(blocks.groupBy("shard").applyInArrow(build, f"kind int, shard long, toward long, payload binary, hot int, sums array<long>, {doc_type}"), "none")
+    sums_of = {r[0]: r[1:] for r in (tuple(r) for r in model.where("kind = 2").groupBy("hot").agg(*(F.sum(F.col("sums")[i]) for i in range(11))).collect())}
+    own = sums_of.get(-1, (0,) * 11)
+    some = {i: x[:2] for i, x in sums_of.items() if i >= 0}
+    n = [sum(x[2 + k] for x in sums_of.values()) for k in range(1, 5)]
+    m = [own[6 + k] + sum(b == k for _, b in some.values()) for k in range(1, 5)]
+    totals = Totals(own[0] + sum(c for c, _ in some.values()), own[2] + sum(c > 0 for c, _ in some.values()), own[1] + sum(b for _, b in some.values()), n, m, {}, {i: some.get(i, (0, 0)) for i in range(len(hot))})
     shared = docs.sparkSession.sparkContext.broadcast(totals)
 
+    def answer(table: pa.Table) -> pa.Table:
+        return pa.table({"shard": table["shard"], "toward": table["toward"], "payload": pa.array(answers(table["payload"].to_pylist()), pa.binary())})
+
     def score(table: pa.Table) -> pa.Table:
-        shard, stored, todo = table["shard"][0].as_py(), None, []
-        for r in table.to_pylist():
-            if r["block"] is None:
-                stored = r["counts"]
-            else:
-                todo.append((r["block"], r["counts"], r["holders"]))
-        out = list(score_shard(shard, stored, todo, shared.value, shards))
+        table = table.sort_by("toward")  # what is stored comes first
+        stored, *told = table["payload"].to_pylist()
+        out = list(score_shard(table["shard"][0].as_py(), stored, told, shared.value, shards))
         return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "sums": pa.array([p for _, p in out], pa.binary())})
 
-    stored = model.where("kind = 0").select("shard", F.lit(None).cast("long").alias("block"), F.col("payload").alias("counts"), F.lit(None).cast("binary").alias("holders"))
-    sums = pieces.select("shard", "block", "counts", "holders").unionByName(stored).groupBy("shard").applyInArrow(score, "block long, sums binary")
-    people = blocks.where("shard is null").select("block", "local", "doc_id", "held", "n_tokens", F.lit(None).cast("binary").alias("sums"))
+    told = model.where("kind = 1").select("shard", "toward", "payload").groupBy("toward").applyInArrow(answer, "shard long, toward long, payload binary")
+    sums = model.where("kind = 0").select("shard", "toward", "payload").unionByName(told).groupBy("shard").applyInArrow(score, "block long, sums binary")
+    people = model.where("kind = 3").select("block", "local", "doc_id", "held", "n_tokens", F.lit(None).cast("binary").alias("sums"))
     none = {c: F.lit(None).cast(people.schema[c].dataType) for c in ("local", "doc_id", "held", "n_tokens")}
     sums = sums.withColumns(none).select(*people.columns)
     train_tokens = int(totals.tokens)
