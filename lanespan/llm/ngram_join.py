@@ -12,6 +12,9 @@ than `slack` n-grams, so in no more fragments than that, and all their other fra
 4. What shares tokens but is not connected yet is verified in blocks of classes: partial overlaps are counted by
    vertical slices of the n-grams and summed for each pair. Blocks that one component fills are not paired with
    each other, so a large group of near copies costs no square of its size; only links come out.
+
+Where the links of each row are asked for, 3 is left out and 4 compares all classes that tokens connect, whatever
+component they are in: every link is verified and counted, and a group of near copies costs the square of its classes.
 """
 
 from __future__ import annotations
@@ -175,8 +178,8 @@ def similar(a: int, b: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
-def block_links(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Places of similar sets, enough to connect all that are; pairs within a group, or of one side if there are two, are not looked at."""
+def near_pairs(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> np.ndarray:
+    """Which places have similar sets, as a symmetric matrix without its diagonal; pairs of one side are not looked at if there are two."""
     size = np.array([len(s) for s in sets])
     of = np.repeat(np.arange(len(sets)), size)
     column, grams = np.unique(np.concatenate(sets), return_inverse=True)
@@ -185,35 +188,43 @@ def block_links(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, p
     keep = seen[grams] > 1
     of, grams = of[keep], place[grams[keep]]
     overlap = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, int((seen > 1).sum()), SLICE):  # partial overlaps by vertical slice, summed for each pair
+    shared = int((seen > 1).sum())
+    for lo in range(0, shared, SLICE):  # partial overlaps by vertical slice, summed for each pair
         on = (grams >= lo) & (grams < lo + SLICE)
-        part = np.zeros((len(sets), SLICE), np.float32)
+        part = np.zeros((len(sets), min(SLICE, shared - lo)), np.float32)
         part[of[on], grams[on] - lo] = 1
         overlap += part @ part.T
     overlap = overlap.astype(np.int64)
     near = 100 * overlap >= percent * (size[:, None] + size[None, :] - overlap)
-    near &= groups[:, None] != groups[None, :]
+    np.fill_diagonal(near, False)
     if sides.min() != sides.max():
         near &= sides[:, None] != sides[None, :]
-    head = np.arange(len(sets))
-
-    def top(i: int) -> int:
-        while head[i] != i:
-            head[i] = head[head[i]]
-            i = head[i]
-        return i
-
-    out = []
-    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-        x, y = top(i), top(j)
-        if x != y:
-            head[max(x, y)] = min(x, y)
-            out.append((int(i), int(j)))
+    return near
+
+
+def merges(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all that near connects, one less than the places of each component."""
+    out, left = [], np.ones(len(near), bool)
+    for i in range(len(near)):
+        todo = [i] if left[i] else []
+        left[i] = False
+        while todo:
+            x = todo.pop()
+            new = np.flatnonzero(near[x] & left).tolist()
+            left[new] = False
+            out += [(x, j) for j in new]
+            todo += new
     return out
 
 
-def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, the smallest id that links reach.
+def block_links(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Places of similar sets, enough to connect all that are; pairs within a group, or of one side if there are two, are not looked at."""
+    near = near_pairs(sets, sides, percent)
+    return merges(near & (groups[:, None] != groups[None, :]))
+
+
+def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, the smallest id that links reach; with_links adds n_links, the number of other rows it is linked with.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. Two rows are linked when the intersection of their sets is at
     least percent of the union. Null and empty texts have empty sets and are linked with nothing, not with each other.
@@ -238,7 +249,7 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
         shared = stash(left.join(ends, "token").select("token", "k1", "need", "first"))
     pairs = stash(shared.where("first <> k1").select(F.col("first").alias("a"), F.col("k1").alias("b")).distinct())
     if pairs.limit(1).count() == 0:
-        return labelled(people, classes, None, keys)
+        return labelled(people, classes, None, keys, classes.select("k1", F.lit(0).cast("long").alias("links")).limit(0) if with_links else None)
 
     families = connected(pairs)
     wanted = stash(families.select(F.col("node").alias("k1")).join(classes, "k1").select("k1", "k2", "low"))
@@ -270,6 +281,10 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
                 ok.append(similar(len(x), len(y), both, percent))
             yield pa.RecordBatch.from_arrays([pa.array(c["a"], pa.int64()), pa.array(c["b"], pa.int64())], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    if with_links:
+        more, counts = all_links(families, classes, sets, percent)
+        return labelled(people, classes, more, keys, counts)
+
     side = {x: sets.select(F.col("k1").alias(x), F.col("n").alias(f"n{x}"), F.col("grams").alias(f"g{x}")) for x in "ab"}
     close = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     links = stash(pairs.join(side["a"], "a").join(side["b"], "b").where(close).select("a", "b", "ga", "gb").mapInArrow(verified, "a long, b long"))
@@ -301,8 +316,34 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     return labelled(people, classes, stash(links.unionByName(more)), keys)
 
 
-def labelled(people: DataFrame, classes: DataFrame, links: DataFrame | None, keys: list[str]) -> DataFrame:
-    """Each row's smallest connected id, by its class and the class's component."""
+def all_links(families: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """a, b: links that connect all that are linked; k1, links: the rows of other classes that a class is linked with.
+
+    All pairs of a family's classes are compared, in pairs of blocks. A link is counted where it is found, for both ends.
+    """
+    members = stash(families.select(F.col("node").alias("k1"), F.col("label").alias("family")).join(classes.select("k1", "members"), "k1"))
+    cells = F.ceil(F.col("n") / BLOCK)
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n")).select("family", cells.alias("cells"))
+    placed = stash(members.join(sizes, "family").withColumn("block", F.xxhash64("family", F.pmod(F.xxhash64("k1"), F.col("cells")))).drop("cells"))
+    block = stash(placed.select("family", "block").distinct())
+    meet = block.withColumnRenamed("block", "ba").join(block.withColumnRenamed("block", "bb"), "family").where("ba <= bb").withColumn("pair", F.xxhash64("ba", "bb", F.lit(2)))
+    ends = stash(meet.select("pair", F.col("ba").alias("block"), F.lit(0).alias("side")).unionByName(meet.where("ba <> bb").select("pair", F.col("bb").alias("block"), F.lit(1).alias("side"))))
+    held = placed.join(ends, "block").join(sets, "k1").select("pair", "side", "k1", "members", "grams")
+
+    def in_blocks(table: pa.Table) -> pa.Table:
+        k, rows = table["k1"].to_numpy(), table["members"].to_numpy()
+        near = near_pairs([np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()], table["side"].to_numpy(), percent)
+        got, n = merges(near), near @ rows
+        on = np.flatnonzero(n)
+        a, b = [int(k[i]) for i, _ in got] + k[on].tolist(), [int(k[j]) for _, j in got] + [None] * len(on)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array([None] * len(got) + n[on].tolist(), pa.int64())})
+
+    found = stash(held.groupBy("pair").applyInArrow(in_blocks, "a long, b long, links long"))
+    return found.where("b is not null").select("a", "b"), found.where("b is null").groupBy(F.col("a").alias("k1")).agg(F.sum("links").alias("links"))
+
+
+def labelled(people: DataFrame, classes: DataFrame, links: DataFrame | None, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """Each row's smallest connected id, by its class and the class's component, and with counts its number of links."""
     if links is None:
         named = classes.withColumn("component", F.col("low"))
     else:
@@ -310,12 +351,16 @@ def labelled(people: DataFrame, classes: DataFrame, links: DataFrame | None, key
         both = classes.join(label, classes["k1"] == label["node"], "left").withColumn("label", F.coalesce("label", "k1"))
         lowest = both.where("node is not null").groupBy("label").agg(F.min("low").alias("lowest"))
         named = both.join(lowest, "label", "left").withColumn("component", F.coalesce("lowest", "low")).select(*classes.columns, "component")
+    own = []
+    if counts is not None:
+        own = ["n_links"]
+        named = named.join(counts, "k1", "left").withColumn("n_links", F.col("members") - 1 + F.coalesce("links", F.lit(0))).drop("links")
     named = stash(named)
     least = max(64, int(people.count() * HOT_SHARE) + 1)
-    filled = with_group(people.where("n > 0"), named.select(*keys, "members", "component"), keys, "members", least)
-    empty = people.where("n = 0").withColumn("component", F.col("doc_id"))
-    out = filled.select("doc_id", "n", "component").unionByName(empty.select("doc_id", "n", "component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    filled = with_group(people.where("n > 0"), named.select(*keys, "members", "component", *own), keys, "members", least)
+    empty = people.where("n = 0").withColumn("component", F.col("doc_id")).withColumn("n_links", F.lit(0).cast("long"))
+    out = filled.select("doc_id", "n", "component", *own).unionByName(empty.select("doc_id", "n", "component", *own))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), *own)
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,4 +370,4 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_co
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_links=True)
