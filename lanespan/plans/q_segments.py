@@ -312,6 +312,17 @@ def _(spark, d):
     return n.withColumn("rank", F.row_number().over(Window.orderBy("deviation", F.desc("n"), "device")).cast("long"))
 
 
+def template_positions(spark, d):
+    """template, pos, d: each step's durations by the place in the step's order, with all its lanes in order as its template."""
+    t = in_steps(spark, d).groupBy("device", "step").agg(F.sort_array(F.collect_list(F.struct("s", "id", "stream", "e"))).alias("x"))
+    return t.select(F.array_join(F.transform("x", lambda r: r["stream"]), ">").alias("template"), F.posexplode(F.transform("x", lambda r: r["e"] - r["s"])).alias("pos", "d"))
+
+
+def position_stats(t):
+    out = t.groupBy("template", F.col("pos").cast("long").alias("pos"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high"), F.round(F.avg("d"), 3).alias("mean"), (F.max("d") - F.min("d")).alias("diff"))
+
+
 @query(
     "stable_position_stats",
     f"""WITH {STEPS}, t AS (SELECT device, step, string_agg(stream, '>' ORDER BY s, id) AS template FROM ins GROUP BY device, step), c AS (SELECT template, count(*) AS k FROM t GROUP BY template),
@@ -320,12 +331,19 @@ q AS (SELECT i.*, t.template, row_number() OVER (PARTITION BY i.device, i.step O
 SELECT template, pos, count(*) AS n, min(e - s) AS low, max(e - s) AS high, round(avg(e - s), 3) AS mean, max(e - s) - min(e - s) AS diff FROM q GROUP BY template, pos""",
 )
 def _(spark, d):
-    rows = in_steps(spark, d)
-    t = rows.groupBy("device", "step").agg(F.sort_array(F.collect_list(F.struct("s", "id", "stream", "e"))).alias("x"))
-    t = t.select(F.array_join(F.transform("x", lambda r: r["stream"]), ">").alias("template"), F.posexplode(F.transform("x", lambda r: r["e"] - r["s"])).alias("pos", "d"))
+    t = template_positions(spark, d)
     top = t.where("pos = 0").groupBy("template").count().orderBy(F.desc("count"), "template").limit(20).select("template")
-    out = t.join(F.broadcast(top), "template").groupBy("template", F.col("pos").cast("long").alias("pos"))
-    return out.agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high"), F.round(F.avg("d"), 3).alias("mean"), (F.max("d") - F.min("d")).alias("diff"))
+    return position_stats(t.join(F.broadcast(top), "template"))
+
+
+@query(
+    "stable_position_stats_all",
+    f"""WITH {STEPS}, t AS (SELECT device, step, string_agg(stream, '>' ORDER BY s, id) AS template FROM ins GROUP BY device, step),
+q AS (SELECT i.*, t.template, row_number() OVER (PARTITION BY i.device, i.step ORDER BY s, id) - 1 AS pos FROM ins i JOIN t ON i.device = t.device AND i.step = t.step)
+SELECT template, pos, count(*) AS n, min(e - s) AS low, max(e - s) AS high, round(avg(e - s), 3) AS mean, max(e - s) - min(e - s) AS diff FROM q GROUP BY template, pos""",
+)
+def _(spark, d):
+    return position_stats(template_positions(spark, d))
 
 
 @query(
