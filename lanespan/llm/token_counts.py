@@ -4,13 +4,14 @@ For each prefix of a segment the last token of its encoding is unique, and a seq
 and only if each adjacent pair is one. So last[i] is the vocabulary piece s[j:i] that is compatible with last[j],
 and count[i] = count[j] + 1: exact counts for all prefixes in one pass. No piece holds a blank after another
 character, so texts split before runs of blanks into segments whose counts add up; segments repeat, and each
-worker keeps the table of those that it has met.
+worker keeps the steps from prefix to prefix of those that it has met. A text's steps are those of its segments, one
+byte a character; they are what is stored, and every count, truncation and budget comes from them. The vocabulary's
+sign for a blank is a blank for the library, wherever it stands in a text.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 PIECES = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Entries a worker remembers; at that number it starts afresh. Only speed depends on it.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 BLANK = "▁"
 SEGMENT = re.compile(r" *[^ \n\t]+| +|[\n\t]")
 
@@ -41,14 +42,26 @@ class PrefixCounter:
         self.n_pairs = 0
         outer = self
 
-        class Totals(dict):
-            def __missing__(self, segment: str) -> int:
+        class Steps(dict):
+            """By segment; the first segment of a text has a blank of its own before it, whose token counts with the first character."""
+
+            def __init__(self, first: bool):
+                self.first = first
+
+            def __missing__(self, segment: str) -> bytes:
                 if len(self) >= REMEMBERED:
                     self.clear()
-                self[segment] = n = outer.prefixes(segment.replace(" ", BLANK))[-1]
-                return n
-
-        self.totals = Totals()
+                s = segment.replace(" ", BLANK)
+                if not self.first:
+                    counts = outer.prefixes(s)
+                elif s in "\n\t":  # no piece holds it, so the blank is a token of its own
+                    counts = [0, *(1 + n for n in outer.prefixes(s)[1:])]
+                else:
+                    counts = [0, *outer.prefixes(BLANK + s)[2:]]
+                self[segment] = out = np.diff(counts).astype("i1", casting="same_kind").tobytes()
+                return out
+
+        self.firsts, self.rest = Steps(True), Steps(False)
 
     def merged(self, text: str) -> list[str]:
         """The encoding by merges: of all adjacent pairs that form a piece the best score first, then the leftmost."""
@@ -97,46 +110,56 @@ class PrefixCounter:
                 last[j + 1], count[j + 1] = "", count[j] + len(s[j].encode("utf-8", "surrogatepass"))
         return count
 
-    def total(self, text: str) -> int:
-        """Tokens of the whole text, from the remembered segments."""
-        if not text:
-            return 0
-        parts = SEGMENT.findall(text)
-        parts[0:1] = [" " + parts[0]] if parts[0] not in "\n\t" else [" ", parts[0]]
-        return sum(map(self.totals.__getitem__, parts))
+    def steps(self, text: str) -> bytes:
+        """count[p] - count[p - 1] for each prefix text[:p], a signed byte each (a piece has less than 32 characters of up to 4 bytes)."""
+        parts = SEGMENT.findall(text.replace(BLANK, " "))
+        return self.firsts[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:])) if parts else b""
 
     def counts(self, text: str) -> np.ndarray:
         """count[p]: tokens of text[:p] for p from 0 to len(text)."""
-        out, base = [0], 0
-        parts = SEGMENT.findall(text)
-        for k, part in enumerate(parts):
-            first = " " * (k == 0)
-            if k == 0 and part in "\n\t":
-                base, first = 1, ""
-            own = self.prefixes((first + part).replace(" ", BLANK))[1 + len(first) :]
-            out.extend(base + x for x in own)
-            base = out[-1]
-        return np.array(out)
+        return counts_of(self.steps(text))
+
 
+def counts_of(steps: bytes) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.frombuffer(steps, "i1"), dtype=np.int64)])
 
-def pack(counts: np.ndarray) -> bytes:
-    """The differences between neighbouring prefixes, deflated; unpack() gives the counts again."""
-    return zlib.compress(np.diff(counts).astype("<i2").tobytes(), 1)
 
+def last_of(steps: bytes) -> int:
+    """The last count."""
+    return int(np.frombuffer(steps, "i1").sum(dtype=np.int64))
+
+
+def within(steps: bytes, budget: int) -> int:
+    """The longest prefix, in characters, of no more than budget tokens."""
+    if budget < 0:
+        return 0
+    if last_of(steps) <= budget:
+        return len(steps)
+    return int(np.flatnonzero(counts_of(steps) <= budget)[-1])
 
-def unpack(data: bytes) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(np.frombuffer(zlib.decompress(data), "<i2").astype(np.int64))])
+
+def pack(steps: bytes) -> bytes:
+    """As stored: deflated with a frame that names its size."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(steps)
+
+
+def unpack(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def tokens_of(data: bytes, chars: int) -> int:
     """Tokens of the first chars characters, from the stored prefix counts."""
-    counts = unpack(data)
-    return int(counts[min(max(chars, 0), len(counts) - 1)])
+    steps = unpack(data)
+    return last_of(steps[: max(0, chars)])
 
 
 def truncate_at(data: bytes, budget: int) -> int:
-    """The longest prefix, in characters, of no more than budget tokens."""
-    return int(np.flatnonzero(unpack(data) <= budget)[-1]) if budget >= 0 else 0
+    """The longest prefix, in characters, of no more than budget tokens, from the stored prefix counts."""
+    return within(unpack(data), budget)
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -154,7 +177,8 @@ def counter(model: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, model: str = PIECES, limit: int = LIMIT, with_prefixes: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_tokens, over_limit, and with_prefixes the packed counts of all prefixes.
+    """One row per input row: doc_id, n_bytes, n_tokens, over_limit, fits_chars (the longest prefix of no more than limit
+    tokens), and with_prefixes the packed counts of all prefixes; the other columns are read off these counts.
 
     Null texts count as empty, and empty texts have no tokens. Ids may be null or repeat: rows are independent. Other
     columns are not read.
@@ -164,16 +188,19 @@ def token_counts(docs: DataFrame, model: str = PIECES, limit: int = LIMIT, with_
         c = counter(model)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            n = [c.total(t) for t in texts]
-            cols = [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])]
+            steps = [c.steps(t) for t in texts]
+            n = [last_of(x) for x in steps]
+            fits = [len(x) if k <= limit else within(x, limit) for x, k in zip(steps, n, strict=True)]
+            cols = [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(fits, pa.int64())]
             if with_prefixes:
-                cols.append(pa.array([pack(c.counts(t)) for t in texts], pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "prefixes"][: len(cols)])
+                cols.append(pa.array([pack(x) for x in steps], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars", "prefixes"][: len(cols)])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean" + ", prefixes binary" * with_prefixes)
+    return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fits_chars long" + ", prefixes binary" * with_prefixes)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The counts of all prefixes are made and stored with each row; the digest leaves them out."""
+    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_prefixes=True).drop("prefixes")

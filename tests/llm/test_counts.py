@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ from lanespan.llm.license_scan import Automaton, Scanner, license_scan
 from lanespan.llm.lm_score import Totals, lm_scores
 from lanespan.llm.mixing import mix
 
-ODD = ["", "  a  b", "\n", "\n a", "a\n  \nb\t", "日本語 テスト😀 x", "   ", "<s> </s> <unk> <0x0A>", "▁▁x ▁", "a b", "a" * 300, "  \n\n  x", "\r\n);\r x", "é́", "Hello World's end!!"]
+ODD = ["", "  a  b", "\n", "\n a", "a\n  \nb\t", "日本語 テスト😀 x", "   ", "<s> </s> <unk> <0x0A>", "▁▁x ▁", "a b", "a" * 300, "  \n\n  x", "\r\n);\r x", "é́", "Hello World's end!!", "▁ ", "▁ ia", "a▁ b", "▁", "\n▁\n ▁x", "▁\t▁▁"]
 
 
 @pytest.fixture(scope="module")
@@ -25,13 +26,31 @@ def library():
 def test_counts_at_every_prefix_are_the_library_s(library):
     c = T.counter(T.PIECES)
     for t in ODD:
-        assert c.total(t) == len(library.encode(t))
+        assert T.last_of(c.steps(t)) == len(library.encode(t))
         assert c.counts(t).tolist() == [len(library.encode(t[:p])) for p in range(len(t) + 1)]
 
 
+def test_counts_of_random_texts_are_the_library_s(library):
+    """Blanks, their sign, line ends, letters of several alphabets, controls and special strings in all orders."""
+    r, c = random.Random(5), T.counter(T.PIECES)
+    bits = [" ", "  ", "▁", "▁ ", "\n", "\t", "\r", "\u00a0", "\u3000", "\u200b", "\x00", "a", "in", "the", "Th", "é", "e\u0301", "ß", "日", "😀", "<s>", "<0x41>", "</s>", "1", "99", ".", "!!", "İ", "\u2028"]
+    for _ in range(400):
+        t = "".join(r.choice(bits) for _ in range(r.randint(1, 25)))
+        assert c.counts(t).tolist() == [len(library.encode(t[:p])) for p in range(len(t) + 1)], repr(t)
+
+
+def test_counts_of_documents_are_the_library_s(spark, sf, library):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    for r in T.query(spark, sf).collect():
+        n = len(library.encode(texts[r.doc_id]))
+        assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(texts[r.doc_id].encode()), n > T.LIMIT)
+        assert len(library.encode(texts[r.doc_id][: r.fits_chars])) <= T.LIMIT
+
+
 def test_truncation_and_budgets_from_stored_counts(library):
     t = "Tokens are counted at each prefix, once and for all."
-    data = T.pack(T.counter(T.PIECES).counts(t))
+    data = T.pack(T.counter(T.PIECES).steps(t))
     for budget in (0, 1, 5, 100):
         cut = T.truncate_at(data, budget)
         assert len(library.encode(t[:cut])) <= budget
