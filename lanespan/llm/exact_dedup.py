@@ -3,6 +3,8 @@
 Rows are merged in three steps: within each input task, within salted digest groups, and over the salts. Every
 step groups by the digest *and* the whole normalised text, so that texts meet only when their content is equal.
 Only digests that hold a large share of the rows are salted; their number is bounded by the inverse of that share.
+Groups without salt are whole after the second step, so the third is for salted ones. Rows then find their group by
+the digest where one text alone has it, and by the digest and the text where several have (with 320 bits, none yet).
 """
 
 from __future__ import annotations
@@ -17,7 +19,12 @@ HOT_SHARE = 1 / 1024
 SALTS = 64
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: float = HOT_SHARE, salts: int = SALTS) -> DataFrame:
+def digest(norm):
+    """What texts meet by: equal for equal texts, and a group by itself for any other."""
+    return F.concat_ws("-", F.sha2(norm, 256), F.hex(F.xxhash64(norm)))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: float = HOT_SHARE, salts: int = SALTS, key=digest) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, row_key.
 
     Texts are equal when identical after deletion of every character of [\\x20\\x09-\\x0D]. Of equal texts the one with
@@ -28,28 +35,34 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     raw = F.coalesce(F.col(text_col), F.lit(""))
     norm = F.regexp_replace(raw, r"[\x20\x09-\x0D]+", "")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.length(raw).alias("chars"), norm.alias("norm"))
-    rows = rows.select("doc_id", "chars", "norm", F.sha2("norm", 256).alias("text_sha256"), F.xxhash64("norm").alias("mark"), F.monotonically_increasing_id().alias("row_key"))
+    rows = rows.select("doc_id", "chars", "norm", F.sha2("norm", 256).alias("text_sha256"), key(F.col("norm")).alias("key"), F.monotonically_increasing_id().alias("row_key"))
     rows = stash(rows)
-    keys = ["text_sha256", "mark"]
 
     least = max(64, int(rows.count() * hot_share) + 1)
-    hot = rows.groupBy(*keys).count().where(F.col("count") >= least).select(*keys, F.lit(True).alias("hot"))
+    hot = rows.groupBy("key").count().where(F.col("count") >= least).select("key", F.lit(True).alias("hot"))
     best = F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")
     salted = (
-        rows.join(F.broadcast(hot), keys, "left")
+        rows.join(F.broadcast(hot), "key", "left")
         .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row_key"), F.lit(salts))).otherwise(F.lit(0)))
-        .groupBy(*keys, "hot", "salt", "norm")
+        .groupBy("key", "text_sha256", "hot", "salt", "norm")
         .agg(best, F.count(F.lit(1)).alias("n"))
-        .select(*keys, F.when(F.col("hot"), F.col("norm")).alias("norm"), "best", "n")
+        .select("key", "text_sha256", "hot", F.when(F.col("hot"), F.col("norm")).alias("norm"), "best", "n")
     )
-    # The groups that were not salted are final; of the others the text is still there to be compared again.
-    merged = stash(salted).groupBy(*keys, "norm").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
-    merged = stash(merged.select(*keys, F.col("best.doc_id").alias("keep_id"), F.col("best.row_key").alias("keep_key"), "group_size"))
-
-    members = rows.select("doc_id", "row_key", *keys)
-    large = F.broadcast(merged.where(F.col("group_size") >= least))
-    small = merged.where(F.col("group_size") < least)
-    found = members.join(large, keys).unionByName(members.join(F.broadcast(hot), keys, "left_anti").join(small, keys))
+    salted = stash(salted)
+    merged = salted.where("hot").groupBy("key", "text_sha256", "norm").agg(F.min("best").alias("best"), F.sum("n").alias("n")).drop("norm")
+    groups = salted.where("hot is null").select("key", "text_sha256", "best", "n").unionByName(merged)
+    groups = stash(groups.select("key", "text_sha256", F.col("best.doc_id").alias("keep_id"), F.col("best.row_key").alias("keep_key"), F.col("n").alias("group_size")))
+    shared = stash(groups.groupBy("key").count().where("count > 1").select("key"))
+
+    members = rows.select("doc_id", "row_key", "key")
+    large = F.broadcast(groups.where(F.col("group_size") >= least))  # no more than 1 / hot_share
+    small = groups.where(F.col("group_size") < least)
+    if shared.limit(1).count() == 0:
+        found = members.join(large, "key").unionByName(members.join(F.broadcast(hot), "key", "left_anti").join(small, "key"))
+    else:  # a group is told by the text of the row it keeps
+        text = rows.select(F.col("row_key").alias("keep_key"), F.col("norm"))
+        told = groups.join(text, "keep_key")
+        found = rows.select("doc_id", "row_key", "key", "norm").join(told, ["key", "norm"]).drop("norm")
     return found.select("doc_id", "keep_id", "group_size", (F.col("row_key") == F.col("keep_key")).alias("kept"), "text_sha256", "row_key")
 
 

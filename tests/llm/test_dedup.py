@@ -1,5 +1,6 @@
 import corpus
 import pytest
+from pyspark.sql import functions as F
 
 from lanespan.llm.common import connected
 from lanespan.llm.exact_dedup import drop_copies, exact_dedup
@@ -26,6 +27,13 @@ def test_exact_dedup_with_a_hot_group(spark):
     assert sum(r.kept for r in got) == 301
 
 
+def test_exact_dedup_compares_content_where_digests_clash(spark, rows):
+    hot = [(5000 + i, "aa" if i % 3 else "bb") for i in range(300)]
+    for some in (rows, rows + hot):
+        got = exact_dedup(corpus.frame(spark, some, parts=5), key=F.length).collect()
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == corpus.exact_groups(some)
+
+
 def test_drop_copies_keeps_one_of_repeated_rows_and_all_columns(spark, rows):
     docs = corpus.frame(spark, rows)
     out = drop_copies(docs)
