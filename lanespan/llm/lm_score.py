@@ -8,7 +8,8 @@ meets in one shard, and all that is known of a context in another:
 2. Each shard merges its blocks into sorted arrays, finds the blocks' pairs in them by binary search, and stores the
    counts with the places of the blocks' pairs. For each context it met it asks that context's shard, telling its sums.
 3. Context shards add up these sums and answer. Sums over all shards give the discounts; nothing else is gathered.
-4. Each shard maps its stored arrays into memory, puts its contexts' sums beside them, and returns sums by document.
+4. Each shard's stored arrays are inflated straight into a file of the task and mapped into memory from there, so that a
+   worker holds only the pages it is reading; with its contexts' sums beside them it returns sums by document.
 
 A few words may hold a large part of all tokens. Those that a sample finds are dealt to sub-shards by context; the
 sample only balances the work, as any list gives the same scores. A frequent context is added up within each shard first.
@@ -192,16 +193,27 @@ class Totals:
         return np.where(c > 0, kept + (self.high[1] * n1 + self.high[2] * n2 + self.high[3] * n3) / seen * lower, lower)
 
 
+def mapped(data: bytes, f, kinds: tuple) -> list[np.ndarray]:
+    """Packed arrays, inflated into a file and mapped from it."""
+    import io
+    import struct
+
+    import zstandard
+
+    zstandard.ZstdDecompressor().copy_stream(io.BytesIO(data), f)
+    f.flush()
+    f.seek(0)
+    at, out = 8 * len(kinds), []
+    for kind, size in zip(kinds, struct.unpack(f"<{len(kinds)}Q", f.read(at)), strict=True):
+        out.append(np.memmap(f, kind, "r", at, (size // np.dtype(kind).itemsize,)) if size else np.zeros(0, kind))
+        at += size
+    return out
+
+
 def score_shard(shard: int, stored: bytes, told: list[bytes], t: Totals, shards: int) -> Iterator[tuple[int, bytes]]:
     """block, sums by document (documents, base score, score, known tokens)."""
     with tempfile.TemporaryFile() as f:  # gone with the task, whatever becomes of it
-        places, at = [], 0
-        for a in unpack(stored, *STORED):
-            f.write(a.tobytes())
-            places.append((at, len(a), a.dtype))
-            at += a.nbytes
-        f.flush()
-        total, before, n_pairs, context, count, blocks, entries, steps, holders, doc, times = (np.memmap(f, d, "r", o, (n,)) if n else np.zeros(0, d) for o, n, d in places)
+        total, before, n_pairs, context, count, blocks, entries, steps, holders, doc, times = mapped(stored, f, STORED)
         # Answers come in the order of context shards, so in that of the shard's contexts.
         answered = [unpack(p, *TOLD) for p in told]
         own = t.within(np.stack([np.concatenate([a[i] for a in answered]).astype(np.float64) for i in range(4)], axis=1))
@@ -239,7 +251,9 @@ def hot_words(docs: DataFrame, text_col: str) -> list[int]:
 
 
 def lm_scores(docs: DataFrame, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
+
+    Scores are log10 probabilities; the perplexity is 10 ** (-score / n_tokens).
 
     The model is counted over all rows that are not held out (crc32 of the id as text divisible by folds); null ids are
     not held out. Null texts count as empty and have the end token only. Rows that repeat are each counted and scored.
@@ -329,11 +343,11 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, id_col: str = "doc_id", text_
             for i, v in enumerate(values):
                 out[i, at] += v
         return pa.Table.from_arrays(
-            [got["doc_id"], got["held"], got["n_tokens"], pa.array(out[2].round().astype(np.int64)), pa.array(np.full(n, train_tokens)), pa.array(out[0]), pa.array(out[1])],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            [got["doc_id"], got["held"], got["n_tokens"], pa.array(out[2].round().astype(np.int64)), pa.array(np.full(n, train_tokens)), pa.array(out[0]), pa.array(out[1]), pa.array(10 ** (-out[1] / np.maximum(1, got["n_tokens"].to_numpy())))],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
         )
 
-    return people.unionByName(sums).groupBy("block").applyInArrow(total, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return people.unionByName(sums).groupBy("block").applyInArrow(total, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,9 @@ def test_scores_are_those_of_every_context_apart(spark):
     rows = [(i, " ".join(f"V{r.randrange(6000)}" if r.random() < 0.7 else f"c{r.randrange(20)}" for _ in range(r.randint(1, 150)))) for i in range(300)]
     rows += [(300, None), (301, ""), (302, "never met before")]
     want = kneser_ney(rows)
-    got = {x.doc_id: x.score for x in lm_scores(corpus.frame(spark, rows)).collect()}
+    rows_ = lm_scores(corpus.frame(spark, rows)).collect()
+    got = {x.doc_id: x.score for x in rows_}
+    assert all(math.isclose(x.perplexity, 10 ** (-x.score / x.n_tokens)) for x in rows_)
     assert got.keys() == want.keys()
     for i, s in want.items():
         assert math.isclose(got[i], s, rel_tol=1e-9), i
