@@ -116,11 +116,42 @@ def test_decontamination_without_items_or_rows(spark):
     assert decontaminate(docs.limit(0), items).collect() == []
 
 
-def test_proximity_tolerates_an_inserted_word(spark):
-    docs, items = corpus.frame(spark, [(10, decontamination_rows()[10][1]), (11, "alpha nothing else")]), spark.createDataFrame(ITEMS[:1], "item_id long, text string")
-    index = Index(docs, items)
-    assert index.matches().count() == 0
-    assert {r.doc_id for r in index.near(2).select("doc_id").collect()} == {10}
+def nearly(rows, items, slack):
+    """Ids of documents, with the items of which a window lies within the slack, one word of 13 left out."""
+    out = set()
+    for i, t in rows:
+        w = corpus.alnum_words(t)
+        for item, text in items:
+            b = corpus.alnum_words(text)
+            n = min(13, len(b))
+            for k in range(len(b) - n + 1) if b else ():
+                for s in range(-slack, len(w)):
+                    if sum(b[k + o] in w[max(0, s + o - slack) : max(0, s + o + slack + 1)] for o in range(n)) >= n - n // 13:
+                        out.add((i, item))
+    return out
+
+
+def test_proximity_matches_brute_force(spark):
+    a = ITEMS[0][1].split()
+    rows = [r for r in decontamination_rows()[:10] if r[0] != 9]
+    rows += [(20, " ".join(a[:6] + ["other"] + a[7:])), (21, " ".join(a[:3] + a[5:])), (22, " ".join(reversed(a))), (23, "item short here"), (24, "item a b c d short here"), (25, " ".join([*a[:2], "p", "q", *a[2:]])), (26, " ".join(["the"] * 40 + a[:13]))]
+    docs, items = corpus.frame(spark, rows), spark.createDataFrame(ITEMS, "item_id long, text string")
+    for slack in (1, 2):
+        search = Index(docs).search(items, slack=slack)
+        got = {(r.doc_id, r.item_id) for r in search.owned(search.near()).collect()}
+        assert got == nearly(rows, ITEMS, slack)
+    found = {r.doc_id: r.n_near for r in decontaminate(docs, items, near=True).collect()}
+    want = Counter(i for i, _ in nearly(rows, ITEMS, 2))
+    assert found == {i: want[i] for i, _ in rows}
+
+
+def test_a_saved_index_serves_other_test_sets(spark, tmp_path):
+    docs, items = corpus.frame(spark, decontamination_rows()), spark.createDataFrame(ITEMS, "item_id long, text string")
+    Index(docs).save(f"{tmp_path}/index")
+    index = Index.load(spark, f"{tmp_path}/index", docs)
+    for some in (items, items.where("item_id = 5"), items.limit(0)):
+        got = sorted(tuple(r) for r in index.search(some).coverage().drop("mark").collect())
+        assert got == corpus.contamination(decontamination_rows(), [tuple(r) for r in some.collect()])
 
 
 def test_templates_match_mandatory_wording_only():
