@@ -17,21 +17,6 @@ def truthy(c, zero=0) -> Column:
     return F.nullif(c, F.lit(zero))
 
 
-def normalized_symbol(c) -> Column:
-    """A symbol without casts, unsigned suffixes and white space, with true and false as 1 and 0."""
-    x = F.regexp_replace(c, r"\([a-z ]+\)([0-9])", "$1")
-    x = F.regexp_replace(x, r"([0-9]+)u", "$1")
-    x = F.regexp_replace(F.regexp_replace(x, r"\btrue\b", "1"), r"\bfalse\b", "0")
-    return F.regexp_replace(x, r"\s+", "")
-
-
-def template_ints(c) -> Column:
-    """Integers of 2 to 7 digits among template arguments, distinct in order, at most 12, joined by commas."""
-    args = F.regexp_extract(c, r"<(.*)>", 1)
-    found = F.filter(F.regexp_extract_all(args, F.lit(r"(\d+)"), 1), lambda x: F.length(x).between(2, 7))
-    return F.array_join(F.slice(F.array_distinct(found), 1, 12), ",")
-
-
 def shape(c) -> Column:
     """M, N and K of text like (M=1,N=2,K=3), each null if absent."""
     return F.struct(*[F.nullif(F.regexp_extract(c, rf"{x}\s*=\s*(\d+)", 1), F.lit("")).cast("long").alias(x) for x in "MNK"])
@@ -79,10 +64,72 @@ def frame_parts(c) -> Column:
     return F.when(c.rlike(pattern), F.struct(F.regexp_extract(c, pattern, 1).alias("file"), F.regexp_extract(c, pattern, 2).cast("int").alias("line"), F.regexp_extract(c, pattern, 3).alias("func")))
 
 
-def layer_type(ratio: Column, layer: Column, layers: Column, hashed: Column, order: list[str]) -> Column:
-    """Label of a layer by the first rule of `order` that holds (FIRST, HASH, FINAL), else by its compress ratio."""
-    holds = {"FIRST": layer == 0, "HASH": (hashed > 0) & (layer >= layers - hashed), "FINAL": layer == layers - 1}
+def layer_type(ratio: Column, layer: Column, layers: Column, hashed: Column, order: list[str] = ["FIRST", "HASH", "FINAL"]) -> Column:
+    """Label of a layer by the first rule of `order` that holds (FIRST, HASH, FINAL), else by its compress ratio; a layer without one has -1."""
+    holds = {"FIRST": layer == 0, "HASH": layer >= layers - hashed, "FINAL": layer == layers - 1}
     chain = None
     for name in order:
         chain = F.when(holds[name], name) if chain is None else chain.when(holds[name], name)
-    return chain.otherwise(F.concat(F.lit("cr"), ratio.cast("string")))
+    own = F.coalesce(ratio, F.lit(-1))
+    return chain.when(own == 0, "FULL_ATTN").when(own == 4, "C4_LIGHT").when(own == 128, "C128_HEAVY").otherwise(F.concat(F.lit("CR"), own.cast("string")))
+
+
+# Arguments of a trace event that name a source line, and those that hold a stack.
+LINE_KEYS = ["File", "file", "Source Location", "source", "callsite", "Call site"]
+STACK_KEYS = ["Call stack", "Python stack", "Stack", "stack"]
+
+
+def source_line(args: Column) -> Column:
+    """Where an event's arguments say it comes from: the first key that names it, else file.py:line of the first stack that has one; empty if none does."""
+    told = [F.nullif(F.try_element_at(args, F.lit(k)), F.lit("")) for k in LINE_KEYS]
+    pattern = r"([^\s()]+\.py):(\d+)"
+
+    def of_stack(k: str) -> Column:
+        v = F.try_element_at(args, F.lit(k))
+        file = F.regexp_extract(F.regexp_extract(v, pattern, 1), "[^/]*$", 0)
+        return F.when(v.rlike(pattern), F.concat(file, F.lit(":"), F.regexp_extract(v, pattern, 2)))
+
+    return F.coalesce(*told, *map(of_stack, STACK_KEYS), F.lit(""))
+
+
+def device_id(c, strict: bool = False) -> Column:
+    """The first whole number in a device column; where there is none, null, or an error if strict."""
+    found = F.regexp_extract(c.cast("string"), r"-?\d+", 0)
+    none = F.raise_error(F.concat(F.lit("no device number in "), F.coalesce(c.cast("string"), F.lit("null")))).cast("int") if strict else F.lit(None).cast("int")
+    return F.when(F.coalesce(found, F.lit("")) != "", found.try_cast("int")).otherwise(none)
+
+
+# Where a model's name ends.
+NAME_ENDS = [" / ", " (", ", architectures=", ", model_type="]
+
+
+def model_label(model: Column, architecture: Column, longest: int = 80) -> Column:
+    """A model's name, or its architecture, up to the first separator; null if there is neither."""
+    x = F.trim(F.coalesce(F.nullif(model, F.lit("")), architecture, F.lit("")))
+    for end in NAME_ENDS:
+        x = F.trim(F.substring_index(x, end, 1))
+    return F.nullif(F.substring(x, 1, longest), F.lit(""))
+
+
+def redacted(c: Column, secrets: list[str], instead: str = "***") -> Column:
+    """Text without the secrets, the longest first."""
+    for s in sorted({s for s in secrets if s}, key=lambda s: (-len(s), s)):
+        c = F.replace(c, F.lit(s), F.lit(instead))
+    return c
+
+
+def clipped(c: Column, limit: int, marker: str = "[cut: {} bytes]") -> Column:
+    """Text of no more than limit bytes; what is longer ends in a line that tells its size. A character that the cut falls into is left out."""
+    size = F.octet_length(c)
+    before, _, after = marker.partition("{}")
+    end = F.concat(F.lit("\n" + before), size.cast("string"), F.lit(after + "\n"))
+    room = F.greatest(F.lit(0), F.lit(limit) - F.octet_length(end))
+    head = F.substring(F.encode(c, "utf-8"), F.lit(1), room)
+    whole = F.regexp_replace(F.decode(head, "iso-8859-1"), r"[\u00C0-\u00FF][\u0080-\u00BF]{0,3}$", "")
+    cut = F.coalesce(F.try_validate_utf8(head.cast("string")), F.encode(whole, "iso-8859-1").cast("string"))
+    return F.when(size > limit, F.concat(cut, end)).otherwise(c)
+
+
+def stack_frames(c) -> Column:
+    """Frames of a call stack whose arrows are -> or →."""
+    return F.filter(F.split(c, r"\s*(?:->|→)\s*"), lambda x: x != "")

@@ -80,6 +80,29 @@ def period_scores(df: DataFrame, value: str, keys: list[str], periods: range) ->
     return rows.groupBy(*keys, F.col("x.period").cast("long").alias("period")).agg(F.avg(score).alias("score"))
 
 
+def layer_count(df: DataFrame, value: str, keys: list[str], per_layer: int, default: int = 1, first: int = 200, longest: int = 120, order: list[str] = ORDER) -> DataFrame:
+    """keys, layers: how many layers a pass has, by the period at which the blocks' values come again.
+
+    Of the first blocks of each lane (all but its last, `first` at most), those of the first period are held against the
+    ones a period later; a period's score is the sum of their likenesses, and the first best one counts where it is more
+    than 0.7 of the period. Lanes of fewer than 4 blocks, and those without such a period, have the default.
+    """
+    w = lane(keys, order)
+    rows = df.select(*keys, F.col(value).alias("x"), F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("total"))
+    rows = rows.withColumn("n", F.least(F.lit(first), F.col("total") - 1)).where("i <= n and n >= 4")
+    one = rows.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("i", F.col("x").cast("double").alias("x")))).alias("a"))  # `first` values at most
+    one = one.where(f"n div 2 >= {per_layer}").withColumn("period", F.explode(F.expr(f"sequence({per_layer}, least({longest - 1}, n div 2))")))
+
+    def plus(total: Column, i: Column) -> Column:
+        x, y = F.get("a.x", i), F.get("a.x", i + F.col("period"))
+        return total + F.when((x > 0) & (y > 0), F.least(x, y) / F.greatest(x, y)).otherwise(0.0)
+
+    score = F.aggregate(F.expr("sequence(0, least(period, n - period) - 1)"), F.lit(0.0), plus)
+    best = one.withColumn("score", F.round(score, 6)).groupBy(*keys).agg(F.max(F.struct("score", (-F.col("period")).alias("neg"))).alias("b"))
+    found = best.select(*keys, F.when(F.col("b.score") > -F.col("b.neg") * 0.7, F.expr(f"-b.neg div {per_layer}")).alias("layers"))
+    return df.select(*keys).distinct().join(found, keys, "left").select(*keys, F.coalesce("layers", F.lit(default)).cast("long").alias("layers"))
+
+
 def islands_of(df: DataFrame, value: str, keys: list[str], order: list[str] = ORDER) -> DataFrame:
     """Number of runs of each value in order: keys, value, islands."""
     w = lane(keys, order)

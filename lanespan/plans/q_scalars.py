@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanespan.functions import scalars as X
-from lanespan.functions.symbols import symbol_leaf, symbol_simplified
 from lanespan.plans.q_rollups import LP, joined
 from lanespan.sources.capture import argv
 from lanespan.sources.tables import load
@@ -23,38 +22,6 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def symbols(spark, d):
-    p = load(spark, d, "part")
-    flat = F.replace("p_name", F.lit(" "), F.lit("_"))
-    text = F.concat(F.lit("void at::"), flat, F.lit("<("), F.lower("p_type"), F.lit(")"), F.col("p_size").cast("string"), F.lit("u, true, "), F.col("p_partkey").cast("string"), F.lit(", "), (F.col("p_partkey") % 100).cast("string"), F.lit(">::run(int)"))
-    return p.select("p_partkey", text.alias("symbol"))
-
-
-SYM = """sy AS (SELECT p_partkey, 'void at::' || replace(p_name, ' ', '_') || '<(' || lower(p_type) || ')' || p_size || 'u, true, ' || p_partkey || ', ' || (p_partkey % 100) || '>::run(int)' AS symbol FROM part)"""
-
-
-@query("symbol_leaf")
-def _(spark, d):
-    return symbols(spark, d).select("p_partkey", symbol_leaf("symbol").alias("leaf"), symbol_simplified("symbol").alias("simplified"))
-
-
-@query(
-    "symbol_normalize",
-    rf"""WITH {SYM} SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(symbol, '\([a-z ]+\)([0-9])', '\1', 'g'), '([0-9]+)u', '\1', 'g'), '\btrue\b', '1', 'g'), '\bfalse\b', '0', 'g'), '\s+', '', 'g') AS normalized FROM sy""",
-)
-def _(spark, d):
-    return symbols(spark, d).select("p_partkey", X.normalized_symbol(F.col("symbol")).alias("normalized"))
-
-
-@query(
-    "template_ints",
-    rf"""WITH {SYM}, l AS (SELECT p_partkey, list_filter(regexp_extract_all(regexp_extract(symbol, '<(.*)>', 1), '\d+'), lambda x: length(x) BETWEEN 2 AND 7) AS a FROM sy)
-SELECT p_partkey, coalesce(array_to_string(list_slice(list_filter(a, lambda x, i: list_position(a, x) = i), 1, 12), ','), '') AS ints FROM l""",
-)
-def _(spark, d):
-    return symbols(spark, d).select("p_partkey", X.template_ints(F.col("symbol")).alias("ints"))
-
-
 SHAPE = f"""{LP}, sh AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, category, '(M=' || qty * 64 || ',N=' || (l_partkey % 64 + 1) * 128 || ',K=' || (l_suppkey % 16 + 1) * 256 || ')' AS shape, cents / 10000.0::DOUBLE AS us FROM lp),
 sp AS (SELECT *, CAST(regexp_extract(shape, 'M=(\\d+)', 1) AS BIGINT) AS m, CAST(regexp_extract(shape, 'N=(\\d+)', 1) AS BIGINT) AS n, CAST(regexp_extract(shape, 'K=(\\d+)', 1) AS BIGINT) AS k FROM sh)"""
 

@@ -83,13 +83,15 @@ def test_blocks_and_steps_agree(spark, sf):
     assert b.join(a, ["device", "a", "b"], "left_anti").count() == 0
 
 
-def test_symbols():
-    assert symbols.leaf("void at::native::(anonymous namespace)::f<a<b>, c>(int)") == "f"
-    assert symbols.arguments("f<a<b,c>, (d,e), g>") == ["a<b,c>", "(d,e)", "g"]
-    assert symbols.simplified("void ns::g<" + "x" * 100 + ">(int)") == "g<…>"
-    names = ["k<1, 2, 3>", "k<1, 4, 3>", "other", "n" * 90]
-    out = symbols.labels(names)
-    assert out["k<1, 2, 3>"] == "k<2>" and len(set(out.values())) == 4 and max(map(len, out.values())) <= 60 and out["other"] == "other"
+def test_symbols(spark):
+    one = lambda f, x: spark.range(1).select(f(F.lit(x)).alias("x")).first().x
+    assert one(symbols.symbol_leaf, "void at::native::(anonymous namespace)::f<a<b>, c>(int)") == "f"
+    assert one(symbols.symbol_leaf, "a::foo<b>::run(int)") == "foo" and one(symbols.symbol_leaf, "(x)") == ""
+    assert one(symbols.symbol_simplified, "void ns::g<" + "x" * 100 + ">(int)") == "g<…>" and one(symbols.symbol_simplified, "void ns::topk_kernel<int>(int)") == "topk_kernel<int>"
+    assert tuple(one(symbols.template_arguments, "f<a<b,c>, (d,e), g>")) == ("f", ["a<b,c>", "(d,e)", "g"]) and one(symbols.template_arguments, "f(x)").args is None
+    names = spark.createDataFrame([(x,) for x in ("k<1, 2, 3>", "k<1, 4, 3>", "p<" + "z" * 70 + ", 1>", "p<" + "z" * 70 + ", 2>", "p<…>", "n" * 90)], "name string")
+    got = {r.name: r.label for r in symbols.kernel_labels(names).collect()}
+    assert len(set(got.values())) == 6 and got["p<" + "z" * 70 + ", 2>"] == "p<2, …>" and got["k<1, 2, 3>"] == "k<1, 2, 3>"
     env = {"TP": "8", "N": "$((TP * 2 + 1))", "A": "$B", "B": "$A"}
     assert symbols.shell_int("$((N - 3) / 2))", env) is None and symbols.shell_int("$(((N - 3) / 2))", env) == 7 and symbols.shell_int("$A", env) is None
 
