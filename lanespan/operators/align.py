@@ -32,7 +32,7 @@ def chosen_pass(left: DataFrame, right: DataFrame) -> DataFrame:
     """The pass of right (device, pass) whose layers differ least in numbers of kernels from left's one pass, then the nearest to 16, then the first."""
     n = lambda x, c: x.groupBy("device", "pass", "layer").agg(F.count(F.lit(1)).alias(c))
     a = n(left, "na").select("layer", "na")
-    both = n(right, "nb").join(F.broadcast(a), "layer", "left").na.fill(0, ["na"])
+    both = n(right, "nb").join(a, "layer", "left").na.fill(0, ["na"])
     off = both.groupBy("device", "pass").agg(F.sum(F.abs(F.col("na") - F.col("nb"))).alias("off"))
     return off.orderBy("off", F.abs(F.col("pass") - 16), "pass", "device").limit(1).select("device", "pass")
 

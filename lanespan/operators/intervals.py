@@ -1,7 +1,8 @@
 """Interval algebra on half-open intervals [s, e) of integers.
 
-Lanes (the keys) may be skewed, so nothing here puts all intervals of a lane into one window: intervals are first
-merged within (lane, cell), a cell being a stretch of time, and only the merged ones of a lane are ordered together.
+Lanes (the keys) may be skewed, so nothing here puts all intervals of a lane into one window: intervals are merged
+within (lane, cell), a cell being a stretch of time, and a lane's cells are ordered with one row each, to hand on how far
+the intervals before reach.
 """
 
 from __future__ import annotations
@@ -25,8 +26,15 @@ def _merge(df: DataFrame, keys: list[str]) -> DataFrame:
 def islands(df: DataFrame, keys: list[str], cell: int = DAY) -> DataFrame:
     """keys, s, e, n, busy: the maximal busy stretches of each lane, how many intervals they hold, and their lengths' sum. Empty intervals are left out."""
     rows = df.where("e > s").select(*keys, "s", "e", F.lit(1).cast("long").alias("n"), (F.col("e") - F.col("s")).alias("busy"))
-    by_cell = _merge(rows.withColumn("__cell", F.expr(f"s div {cell}")), [*keys, "__cell"])
-    return _merge(by_cell.drop("__cell"), keys)
+    parts = _merge(rows.withColumn("__cell", F.floor(F.col("s") / cell)), [*keys, "__cell"])
+    by = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    reach = parts.groupBy(*keys, "__cell").agg(F.max("e").alias("__end"), F.min("s").alias("__first")).withColumn("__reach", F.max("__end").over(by))
+    # A stretch begins where nothing before reaches; what is reached belongs to the last one that began in an earlier cell.
+    free = F.col("__reach").isNull() | (F.col("s") > F.col("__reach"))
+    parts = parts.join(reach.select(*keys, "__cell", "__reach"), [*keys, "__cell"]).withColumn("__own", F.when(free, F.col("s")))
+    heads = parts.groupBy(*keys, "__cell").agg(F.max("__own").alias("__head")).withColumn("__from", F.max("__head").over(by))
+    tied = parts.join(heads.select(*keys, "__cell", "__from"), [*keys, "__cell"]).withColumn("__at", F.coalesce("__own", "__from"))
+    return tied.groupBy(*keys, "__at").agg(F.max("e").alias("e"), F.sum("n").alias("n"), F.sum("busy").alias("busy")).select(*keys, F.col("__at").alias("s"), "e", "n", "busy")
 
 
 def union_length(df: DataFrame, keys: list[str], cell: int = DAY) -> DataFrame:
@@ -42,8 +50,10 @@ def clip(df: DataFrame, lo: Column, hi: Column) -> DataFrame:
 
 def holes(df: DataFrame, keys: list[str], cell: int = DAY) -> DataFrame:
     """keys, hole_start, hole_end: what lies idle between the busy stretches of a lane."""
-    w = Window.partitionBy(*keys).orderBy("s")
-    return islands(df, keys, cell).withColumn("next", F.lead("s").over(w)).where("next is not null").select(*keys, F.col("e").alias("hole_start"), F.col("next").alias("hole_end"))
+    rows = islands(df, keys, cell).withColumn("__cell", F.floor(F.col("s") / cell))
+    first = rows.groupBy(*keys, "__cell").agg(F.min("s").alias("__s")).withColumn("__then", F.lead("__s").over(Window.partitionBy(*keys).orderBy("__cell")))
+    rows = rows.withColumn("__next", F.lead("s").over(Window.partitionBy(*keys, "__cell").orderBy("s"))).join(first.select(*keys, "__cell", "__then"), [*keys, "__cell"])
+    return rows.select(*keys, F.col("e").alias("hole_start"), F.coalesce("__next", "__then").alias("hole_end")).where("hole_end is not null")
 
 
 def holes_in(df: DataFrame, windows: DataFrame, keys: list[str], cell: int = DAY) -> DataFrame:

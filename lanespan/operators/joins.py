@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanespan.operators.intervals import DAY, HOUR
+from lanespan.sources.scratch import cut
 
 
 def asof(probes: DataFrame, events: DataFrame, key: str, at: str, payload: list[str], cell: int = DAY) -> DataFrame:
@@ -28,6 +29,26 @@ def asof(probes: DataFrame, events: DataFrame, key: str, at: str, payload: list[
     return out.select("__row.*", *[F.col(f"__got.{p}").alias(p) for p in payload])
 
 
+def nearest(probes: DataFrame, events: DataFrame, key: str, at: str, payload: str, cell: int = DAY) -> DataFrame:
+    """probes with nearest and distance: the event of the same key that is closest in time, of equally close ones the smallest payload; nulls if the key has none.
+
+    One pass over both sides: within (key, cell of time) each probe sees the last event up to it and the first after it, and
+    each cell hands its last and first event on to its neighbours.
+    """
+    ev = events.groupBy(key, at).agg(F.min(payload).alias("__p")).select(key, at, F.struct(F.col(at).alias("t"), F.col("__p").alias("p")).alias("__ev"), F.lit(0).alias("__kind"))
+    pr = probes.withColumn("__row", F.struct(*probes.columns)).select(key, at, F.col("__row"), F.lit(1).alias("__kind"))
+    both = ev.unionByName(pr, allowMissingColumns=True).withColumn("__cell", F.floor(F.col(at) / cell))
+    w = Window.partitionBy(key, "__cell").orderBy(at, "__kind")
+    upto, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    seen = both.withColumns({"__back": F.last("__ev", True).over(upto), "__ahead": F.first("__ev", True).over(after)})
+    cells = both.groupBy(key, "__cell").agg(F.max("__ev").alias("__last"), F.min("__ev").alias("__first"))
+    by = Window.partitionBy(key).orderBy("__cell")
+    cells = cells.select(key, "__cell", F.last("__last", True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("__far_back"), F.first("__first", True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("__far_ahead"))
+    out = seen.where("__kind = 1").join(cells, [key, "__cell"], "left")
+    near = [F.when(x.isNotNull(), F.struct(F.abs(x["t"] - F.col(at)).alias("d"), x["p"].alias("p"))) for x in (F.coalesce("__back", "__far_back"), F.coalesce("__ahead", "__far_ahead"))]
+    return out.withColumn("__x", F.least(*near)).select("__row.*", F.col("__x.p").alias("nearest"), F.col("__x.d").alias("distance"))
+
+
 def innermost(points: DataFrame, frames: DataFrame, keys: list[str], at: str, frame_id: str, cell: int = HOUR) -> DataFrame:
     """points with the smallest frame [s, e) of the same keys that holds them, ties by id; null if none does."""
     f = frames.where("e > s").select(*keys, F.col(frame_id).alias("__frame"), "s", "e").withColumn("__cell", F.explode(F.expr(f"sequence(s div {cell}, (e - 1) div {cell})")))
@@ -57,12 +78,21 @@ def zipped(a: DataFrame, b: DataFrame, keys: list[str], order_a: list, order_b:
     return number(a, order_a).join(number(b, order_b), [*keys, "k"], how)
 
 
-def cascade(rows: DataFrame, column: str, steps: list[tuple[str, Column, DataFrame, str]], missing: str = "missing") -> DataFrame:
+#: A dimension is sent to all executors up to so many rows; beyond that its join is shuffled.
+SENT_ROWS = 200_000
+
+
+def sent(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """df, marked to be sent to all executors if it has no more than `most` rows; it is counted no further than that."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def cascade(rows: DataFrame, column: str, steps: list[tuple[str, Column, DataFrame, str]], missing: str = "missing", most: int = SENT_ROWS) -> DataFrame:
     """rows with level and found: the first step whose dimension has the row's value. A step is (level, value, dimension, result column); a dimension's first column is its unique key."""
     out, level, found = rows, None, None
     for i, (name, value, dim, result) in enumerate(steps):
         d = dim.select(F.col(dim.columns[0]).alias(f"__k{i}"), F.col(result).alias(f"__r{i}"))
-        out = out.join(F.broadcast(d), value == F.col(f"__k{i}"), "left")
+        out = out.join(sent(d, most), value == F.col(f"__k{i}"), "left")
         hit = F.col(f"__k{i}").isNotNull()
         level = F.when(hit, name) if level is None else level.when(hit, name)
         found = F.when(hit, F.col(f"__r{i}")) if found is None else found.when(hit, F.col(f"__r{i}"))
@@ -70,9 +100,16 @@ def cascade(rows: DataFrame, column: str, steps: list[tuple[str, Column, DataFra
 
 
 def ancestors(nodes: DataFrame, node: str, parent: str, most: int = 64) -> DataFrame:
-    """node, depth, path: ancestors first, at most `most` of them; cycles end there. Paths double in each of log2(most) joins."""
+    """node, depth, path: ancestors first, at most `most` of them; cycles end there.
+
+    Paths double in each of log2(most) rounds. A round is written before the next, which reads it twice; the walk ends when
+    no path has anything above it.
+    """
     state = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"), F.array(F.col(node)).alias("path"))
     for _ in range(most.bit_length()):
+        state = cut(state)
+        if state.where("up is not null").limit(1).count() == 0:
+            break
         p = state.select(F.col("node").alias("pn"), F.col("up").alias("pu"), F.col("path").alias("pp"))
         state = state.join(p, F.col("up") == F.col("pn"), "left").select("node", F.col("pu").alias("up"), F.when(F.col("pp").isNull(), F.col("path")).otherwise(F.concat("pp", "path")).alias("path"))
     path = F.expr(f"slice(path, greatest(1, size(path) - {most}), {most} + 1)")

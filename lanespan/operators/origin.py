@@ -49,7 +49,7 @@ def window(kernels: DataFrame, first: int, last: int, modules: dict, functions:
 def rows_join(rows: DataFrame, named: tuple[str, str], m: DataFrame) -> DataFrame:
     n, c = named
     side = m.select(F.col("key").alias(f"__{n}"), F.col("module").alias(f"{n}_module"), F.col("occurrence").alias(f"{n}_occurrence"))
-    return rows.join(F.broadcast(side), F.col(c).cast("string") == F.col(f"__{n}"), "left").drop(f"__{n}")
+    return rows.join(side, F.col(c).cast("string") == F.col(f"__{n}"), "left").drop(f"__{n}")
 
 
 def ordered(rows: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def skeleton(slots: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = first.withColumn("k", k).withColumn("label", F.when(F.col("k") == 1, F.col("short_name")).otherwise(F.concat_ws("#", "short_name", F.col("k").cast("string"))))
     named = named.withColumn("symbol_id", F.row_number().over(Window.orderBy("at")).cast("long"))  # a row for each symbol of a unit
     symbols = named.select("symbol_id", "name", F.col("label").alias("short_name"))
-    return symbols, slots.drop("short_name").join(F.broadcast(symbols.select("symbol_id", "name")), "name").select("idx", "s", "e", "symbol_id")
+    return symbols, slots.drop("short_name").join(symbols.select("symbol_id", "name"), "name").select("idx", "s", "e", "symbol_id")
 
 
 def stable_positions(samples: DataFrame) -> DataFrame:
@@ -113,6 +113,6 @@ def stable_positions(samples: DataFrame) -> DataFrame:
     """
     t = samples.groupBy("unit").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]), "\n"), 256).alias("template"), F.max("unit_us").alias("u"))
     best = t.groupBy("template").agg(F.count(F.lit(1)).alias("k")).agg(F.max(F.struct("k", "template")).alias("m")).select(F.col("m.template").alias("template"))
-    good = t.join(F.broadcast(best), "template").select("unit")
+    good = t.join(best, "template").select("unit")
     g = samples.join(good, "unit").groupBy("position", "name").agg(F.count(F.lit(1)).alias("n"), F.min("duration_us").alias("min_us"), F.max("duration_us").alias("max_us"), F.avg("duration_us").alias("avg_us"), F.avg("unit_us").alias("u"))
     return g.select("position", "name", "n", "min_us", "max_us", (F.col("max_us") - F.col("min_us")).alias("diff_us"), "avg_us", (F.col("avg_us") / F.col("u") * 100).alias("avg_pct"))

@@ -40,7 +40,7 @@ def markers(kernels: DataFrame, avoid: DataFrame | None = None, tiers: list[floa
     """
     cv = S.gap_cv(kernels.withColumn("id", F.col("e")), ["device", "name"])
     if avoid is not None:
-        cv = cv.join(F.broadcast(avoid), "device", "left").where("cycles is null or abs(launches - cycles) > 0.1 * cycles").drop("cycles")
+        cv = cv.join(avoid, "device", "left").where("cycles is null or abs(launches - cycles) > 0.1 * cycles").drop("cycles")
     best = S.consensus(cv, ["device"], tiers, agree)
     first = kernels.groupBy("device", "name").agg(F.min("s").alias("at"))
     limit = F.element_at(F.array(*[F.lit(t) for t in tiers]), (F.col("tier") + 1).cast("int"))
@@ -54,7 +54,7 @@ def step_parts(kernels: DataFrame, marker: DataFrame, variants: dict[str, str],
 
     Kernels before a core belong to its layer. A layer ends where the next begins, less the wide gaps in it.
     """
-    rows = kernels.join(F.broadcast(marker.select("device", "marker")), "device").withColumn("id", F.col("e"))
+    rows = kernels.join(marker.select("device", "marker"), "device").withColumn("id", F.col("e"))
     rows = S.middle_of(S.in_steps(rows, F.col("name") == F.col("marker"), ["device"], ORDER), "device", most)
     w = Window.partitionBy("device", "step").orderBy(*ORDER)
     ahead, behind = w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
@@ -117,7 +117,7 @@ def device_ranking(kernels: DataFrame, variants: dict[str, str], ratio: dict[str
 
 def second_forward(kernels: DataFrame, marker: DataFrame, times: int = 2, least: float = 0.5, spread: float = 0.05) -> DataFrame:
     """device, name, offset: kernels that start `times` in every step and whose second start lies past `least` of the step, always at about the same place."""
-    rows = S.in_steps(kernels.withColumn("id", F.col("e")).join(F.broadcast(marker.select("device", "marker")), "device"), F.col("name") == F.col("marker"), ["device"], ORDER)
+    rows = S.in_steps(kernels.withColumn("id", F.col("e")).join(marker.select("device", "marker"), "device"), F.col("name") == F.col("marker"), ["device"], ORDER)
     steps = rows.groupBy("device").agg(F.countDistinct("step").alias("steps"))
     k = rows.withColumn("k", F.row_number().over(Window.partitionBy("device", "step", "name").orderBy("s", "e"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("device", "step", "name")))
     second = k.where(f"k = 2 and n = {times}").withColumn("x", (F.col("s") - F.col("a")) / (F.col("b") - F.col("a")))

@@ -1,6 +1,7 @@
 """Segmentation of event sequences: anchors, blocks, passes, steps, periods and templates.
 
-Order keys always end in a unique column, so results do not depend on how rows arrive.
+Order keys always end in a unique column, so results do not depend on how rows arrive. No lane is put in order as a whole:
+rows are ordered within (lane, cell), a cell being a stretch of the first order key, and each cell hands on one row.
 """
 
 from __future__ import annotations
@@ -15,36 +16,57 @@ def lane(keys: list[str], order: list[str] = ORDER):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+#: Length of a cell of the first order key.
+CELL = 86_400_000_000
+
+
+def along(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, nexts: dict[str, Column] | None = None, befores: dict[str, Column] | None = None, cell: int = CELL) -> DataFrame:
+    """df with running values along each lane: sums up to each row, the last value that is not null up to it (lasts) or
+    before it (befores), and the first such value after it (nexts). The first order key has to be a number."""
+    sums, lasts, nexts, befores = sums or {}, lasts or {}, nexts or {}, befores or {}
+    at = F.struct(*order)
+    rows = df.withColumn("__cell", F.floor(F.col(order[0]) / cell)).withColumns({f"__v_{n}": c for some in (sums, lasts, nexts, befores) for n, c in some.items()})
+    w = Window.partitionBy(*keys, "__cell").orderBy(*order)
+    upto, before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    own = {f"__o_{n}": F.sum(f"__v_{n}").over(upto) for n in sums} | {f"__o_{n}": F.last(f"__v_{n}", True).over(upto) for n in lasts}
+    own |= {f"__o_{n}": F.first(f"__v_{n}", True).over(after) for n in nexts} | {f"__o_{n}": F.last(f"__v_{n}", True).over(before) for n in befores}
+    there = lambda n: F.when(F.col(f"__v_{n}").isNotNull(), at)
+    aggs = [F.sum(f"__v_{n}").alias(n) for n in sums] + [F.max_by(f"__v_{n}", there(n)).alias(n) for n in (*lasts, *befores)] + [F.min_by(f"__v_{n}", there(n)).alias(n) for n in nexts]
+    by = Window.partitionBy(*keys).orderBy("__cell")
+    earlier, later = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    far = [F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__f_{n}") for n in sums] + [F.last(n, True).over(earlier).alias(f"__f_{n}") for n in (*lasts, *befores)] + [F.first(n, True).over(later).alias(f"__f_{n}") for n in nexts]
+    cells = rows.groupBy(*keys, "__cell").agg(*aggs).select(*keys, "__cell", *far)
+    null_keys = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in [*keys, "__cell"]]
+    out = rows.withColumns(own).join(cells.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, "__cell"]}), null_keys)
+    given = {n: F.col(f"__o_{n}") + F.col(f"__f_{n}") for n in sums} | {n: F.coalesce(f"__o_{n}", f"__f_{n}") for n in (*lasts, *nexts, *befores)}
+    return out.select(*df.columns, *[c.alias(n) for n, c in given.items()])
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str] = ORDER, name: str = "idx") -> DataFrame:
     """Index from 0 in order within the keys."""
-    return df.withColumn(name, F.row_number().over(lane(keys, order)).cast("long") - 1)
+    return along(df, keys, order, sums={name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1)
 
 
 def anchor_blocks(df: DataFrame, anchor: Column, keys: list[str], layers: int, per_layer: int, order: list[str] = ORDER) -> DataFrame:
     """block, pass, layer and half of each row; a block runs from an anchor to the next. Rows before the first anchor and of incomplete passes are dropped."""
-    w = lane(keys, order)
-    rows = df.withColumn("block", F.sum(anchor.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    rows = rows.withColumn("anchors", F.sum(anchor.cast("long")).over(Window.partitionBy(*keys)))
+    rows = along(df, keys, order, sums={"block": anchor.cast("long")}).withColumn("block", F.col("block") - 1)
+    total = df.groupBy(*keys).agg(F.sum(anchor.cast("long")).alias("anchors"))
     per_pass = layers * per_layer
-    rows = rows.where(F.col("block") >= 0).where(F.col("block") < F.expr(f"((anchors - 1) div {per_pass}) * {per_pass}"))
+    rows = rows.join(total, keys).where(F.col("block") >= 0).where(F.col("block") < F.expr(f"((anchors - 1) div {per_pass}) * {per_pass}"))
     return rows.select(*df.columns, "block", F.expr(f"block div {per_pass}").alias("pass"), F.expr(f"(block % {per_pass}) div {per_layer}").alias("layer"), (F.col("block") % per_layer).alias("half"))
 
 
 def steps(df: DataFrame, marker: Column, keys: list[str], order: list[str] = ORDER) -> DataFrame:
     """keys, step, a, b: the windows between consecutive markers."""
-    w = lane(keys, order)
-    marks = df.where(marker).select(*keys, F.col("s").alias("a"), F.lead("s").over(w).alias("b"), (F.row_number().over(w) - 1).cast("long").alias("step"))
-    return marks.where("b is not null")
+    marks = along(df.where(marker), keys, order, sums={"step": F.lit(1).cast("long")}, nexts={"b": F.col("s")})
+    return marks.where("b is not null").select(*keys, F.col("s").alias("a"), "b", (F.col("step") - 1).alias("step"))
 
 
 def in_steps(df: DataFrame, marker: Column, keys: list[str], order: list[str] = ORDER) -> DataFrame:
-    """The rows that start within a step, with step, a and b; the last marker opens no step. One ordering of each lane, no join."""
-    w = lane(keys, order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    """The rows that start within a step, with step, a and b; the last marker opens no step. No join with the steps is needed."""
     start = F.when(marker, F.col("s"))
-    rows = df.withColumns({"step": F.sum(marker.cast("long")).over(upto) - 1, "a": F.last(start, True).over(upto), "b": F.first(start, True).over(after)})
-    return rows.where("a is not null and b is not null")
+    rows = along(df, keys, order, sums={"step": marker.cast("long")}, lasts={"a": start}, nexts={"b": start})
+    return rows.where("a is not null and b is not null").withColumn("step", F.col("step") - 1)
 
 
 def middle(df: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -56,7 +78,7 @@ def middle(df: DataFrame, keys: list[str], most: int) -> DataFrame:
 
 def gap_cv(df: DataFrame, keys: list[str], least: int = 3, most: int = 20_000) -> DataFrame:
     """keys, launches, cv: names with that many rows and no gap of zero, and the variation of their gaps (population deviation by mean)."""
-    gaps = df.withColumn("gap", F.col("s") - F.lag("s").over(lane(keys)))
+    gaps = along(df, keys, ORDER, befores={"__last": F.col("s")}).withColumn("gap", F.col("s") - F.col("__last"))
     out = gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("launches"), F.min("gap").alias("low"), (F.stddev_pop("gap") / F.avg("gap")).alias("cv"))
     return out.where(f"launches between {least} and {most} and low > 0").select(*keys, "launches", "cv")
 
@@ -105,20 +127,20 @@ def layer_count(df: DataFrame, value: str, keys: list[str], per_layer: int, defa
 
 def islands_of(df: DataFrame, value: str, keys: list[str], order: list[str] = ORDER) -> DataFrame:
     """Number of runs of each value in order: keys, value, islands."""
-    w = lane(keys, order)
-    return df.withColumn("new", (~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("long")).groupBy(*keys, value).agg(F.sum("new").alias("islands"))
+    rows = along(df, keys, order, befores={"__last": F.struct(F.col(value).alias("v"))})
+    new = F.col("__last").isNull() | ~F.col(value).eqNullSafe(F.col("__last.v"))
+    return rows.withColumn("new", new.cast("long")).groupBy(*keys, value).agg(F.sum("new").alias("islands"))
 
 
 def sessions(df: DataFrame, keys: list[str], at: str, gap: int, order: list[str]) -> DataFrame:
     """keys, session_start, session_end, n: runs of rows with no more than gap between neighbours."""
-    w = lane(keys, order)
-    new = (F.col(at) - F.lag(at).over(w) > gap).cast("long")
-    rows = df.withColumn("session", F.sum(F.coalesce(new, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = along(df, keys, order, befores={"__last": F.col(at)}).withColumn("__new", F.coalesce((F.col(at) - F.col("__last") > gap).cast("long"), F.lit(0)))
+    rows = along(rows, keys, order, sums={"session": F.col("__new")})
     return rows.groupBy(*keys, "session").agg(F.min(at).alias("session_start"), F.max(at).alias("session_end"), F.count(F.lit(1)).alias("n")).drop("session")
 
 
 def middle_of(rows: DataFrame, key: str, most: int) -> DataFrame:
     """The rows of the steps that middle() would keep."""
     total = rows.groupBy(key).agg((F.max("step") + 1).alias("total"))
-    kept = rows.join(F.broadcast(total), key).withColumn("begin", F.greatest(F.lit(0), F.least(F.expr("total div 4"), F.col("total") - most)))
+    kept = rows.join(total, key).withColumn("begin", F.greatest(F.lit(0), F.least(F.expr("total div 4"), F.col("total") - most)))
     return kept.where(f"step >= begin and step < begin + {most}").drop("total", "begin")

@@ -48,7 +48,7 @@ def enriched(origin: DataFrame, rules: list[dict], positions: DataFrame | None =
     footer = F.col("module") == FOOTER
     rows = origin.where(~footer)
     if positions is not None:
-        rows = rows.join(F.broadcast(positions), "layer_id", "left")
+        rows = rows.join(positions, "layer_id", "left")
     unit = lambda c, p: F.coalesce(truthy(F.col(c), ""), rule_value(rules, c), F.col(p).cast("string") if positions is not None else F.lit(None), F.lit(""))
     rows = rows.withColumns({c: unit(c, p) for c, p in (("unit_position", "p_position"), ("unit_id", "p_id"), ("unit_variant", "p_variant"))})
     rows = rows.withColumn("duration", F.coalesce(truthy(F.col("duration_avg_us")), truthy(F.col("duration_us")), F.lit(0.0)))
@@ -65,7 +65,7 @@ def enriched(origin: DataFrame, rules: list[dict], positions: DataFrame | None =
     lanes = rows.where("end_ns > start_ns").select("region", F.col("stream").cast("string").alias("stream"), F.col("seq").alias("id"), F.col("start_ns").alias("s"), F.col("end_ns").alias("e"))
     lanes = lanes.withColumn("id", F.concat_ws("/", "region", "id"))
     shared = I.concurrency(lanes, "region", "stream", cell=10_000_000).select(F.col("id").alias("__id"), "ratio")
-    rows = rows.withColumn("__id", F.concat_ws("/", "region", "seq")).join(shared, "__id", "left").join(F.broadcast(total), "region")
+    rows = rows.withColumn("__id", F.concat_ws("/", "region", "seq")).join(shared, "__id", "left").join(total, "region")
     out = rows.withColumns({"concurrency_pct": F.coalesce("ratio", F.lit(0.0)) * 100, "duration_pct": F.col("duration") / F.col("unit_us") * 100})
     return out.drop("__id", "ratio", "leaf")
 

@@ -108,14 +108,8 @@ x AS (SELECT f.o_orderkey, abs(t - u) AS off, k, row_number() OVER (PARTITION BY
 def _(spark, d):
     o = load(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", micros("o_orderdate").alias("t"))
     f = o.where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey", "t")
-    # The nearest is the last at or before, or the first at or after; of equal times the smallest key.
-    g = o.where("o_orderstatus = 'O'").groupBy("o_custkey", "t").agg(F.min("o_orderkey").alias("k"))
-    back = J.asof(f, g.select("o_custkey", "t", "k", F.col("t").alias("u")), "o_custkey", "t", ["k", "u"], 400 * 86_400_000_000)
-    mirror = lambda x: x.withColumn("t", -F.col("t"))
-    ahead = mirror(J.asof(mirror(f), mirror(g.select("o_custkey", "t", "k", F.col("t").alias("u"))), "o_custkey", "t", ["k", "u"], 400 * 86_400_000_000))
-    both = back.unionByName(ahead).where("k is not null")
-    best = both.groupBy("o_orderkey").agg(F.min(F.struct(F.abs(F.col("t") - F.col("u")).alias("off"), "k")).alias("x"))
-    return best.select("o_orderkey", F.col("x.off").alias("distance"), F.col("x.k").alias("nearest"))
+    got = J.nearest(f, o.where("o_orderstatus = 'O'"), "o_custkey", "t", "o_orderkey", 400 * 86_400_000_000)
+    return got.where("nearest is not null").select("o_orderkey", "distance", "nearest")
 
 
 ALIGN = f"""{IV}, ev AS (SELECT device // 2 AS pair, device % 2 AS side, stream, CAST(json_extract_string(props, '$.k') AS BIGINT) AS name, e - s AS d, row_number() OVER (PARTITION BY device, stream ORDER BY s, id) AS rank FROM iv JOIN events ON id = event_id),

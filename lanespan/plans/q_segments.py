@@ -333,7 +333,7 @@ SELECT template, pos, count(*) AS n, min(e - s) AS low, max(e - s) AS high, roun
 def _(spark, d):
     t = template_positions(spark, d)
     top = t.where("pos = 0").groupBy("template").count().orderBy(F.desc("count"), "template").limit(20).select("template")
-    return position_stats(t.join(F.broadcast(top), "template"))
+    return position_stats(t.join(top, "template"))
 
 
 @query(
