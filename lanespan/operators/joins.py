@@ -114,3 +114,37 @@ def ancestors(nodes: DataFrame, node: str, parent: str, most: int = 64) -> DataF
         state = state.join(p, F.col("up") == F.col("pn"), "left").select("node", F.col("pu").alias("up"), F.when(F.col("pp").isNull(), F.col("path")).otherwise(F.concat("pp", "path")).alias("path"))
     path = F.expr(f"slice(path, greatest(1, size(path) - {most}), {most} + 1)")
     return state.select("node", (F.size(path) - 1).cast("long").alias("depth"), path.alias("path"))
+
+
+def enclosing(points: DataFrame, frames: DataFrame, keys: list[str], frame_id: str, cell: int = HOUR, smallest: bool = True) -> DataFrame:
+    """points (s, e and others) with frame: the smallest interval of the same keys that holds all of [s, e], else the smallest that holds s; ties by id, null if none does."""
+    f = frames.select(*keys, F.col(frame_id).alias("__frame"), F.col("s").alias("__s"), F.col("e").alias("__e")).withColumn("__cell", F.explode(F.expr(f"sequence(__s div {cell}, __e div {cell})")))
+    p = points.withColumn("__row", F.struct(*points.columns)).withColumn("__cell", F.expr(f"s div {cell}"))
+    held = p.join(f, [*keys, "__cell"]).where((F.col("__s") <= F.col("s")) & (F.col("s") <= F.col("__e")))
+    length = (F.col("__e") - F.col("__s")) * (1 if smallest else -1)
+    best = held.groupBy("__row").agg(F.min(F.struct((F.col("__e") < F.col("e")).alias("part"), length.alias("d"), "__frame")).alias("__x"))
+    out = points.withColumn("__row", F.struct(*points.columns)).join(best, "__row", "left")
+    return out.select(*points.columns, F.col("__x.__frame").alias("frame"), F.coalesce(~F.col("__x.part"), F.lit(False)).alias("whole"))
+
+
+def operator_of(calls: DataFrame, operators: DataFrame, external: str, call_id: str, operator_id: str) -> DataFrame:
+    """calls with operator: of the operators with the same external id the smallest that holds the call, else the smallest that holds its start, else the last; ties by id. Null where no operator has the id."""
+    o = operators.select(external, F.col(operator_id).alias("__o"), F.col("s").alias("__s"), F.col("e").alias("__e"))
+    x = calls.select(F.col(call_id).alias("__c"), external, "s", "e").where(F.col(external).isNotNull()).join(o, external)
+    starts = (F.col("__s") <= F.col("s")) & (F.col("s") <= F.col("__e"))
+    rank = F.when(starts & (F.col("__e") >= F.col("e")), 0).when(starts, 1).otherwise(2)
+    order = F.struct(rank.alias("rank"), F.when(rank < 2, F.col("__e") - F.col("__s")).otherwise(-F.col("__s")).alias("d"), "__o")
+    best = x.groupBy("__c").agg(F.min(order).alias("__x")).select(F.col("__c").alias(call_id), F.col("__x.__o").alias("operator"))
+    return calls.join(best, call_id, "left")
+
+
+def positioned(rows: DataFrame, positions: DataFrame, row_id: str) -> DataFrame:
+    """rows with position: of positions (position, layer_id, pattern) that of the row's layer, where it has one, else one whose pattern its module holds.
+
+    More than one match is an error, as positions have to be told apart. positions are a table of configuration and are sent to all executors.
+    """
+    p = F.broadcast(positions.select(F.col("position").alias("__p"), F.col("layer_id").alias("__l"), "pattern"))
+    hit = F.when(F.col("__l").isNotNull(), F.col("__l") == F.col("layer_id")).otherwise(F.expr("module rlike concat('(?i)', pattern)"))
+    n = rows.join(p, F.coalesce(hit, F.lit(False)), "left").groupBy(*rows.columns).agg(F.count("__p").alias("__n"), F.min("__p").alias("position"))
+    wrong = F.raise_error(F.concat(F.lit("more than one position matches row "), F.col(row_id).cast("string"))).cast(positions.schema["position"].dataType)
+    return n.select(*rows.columns, F.when(F.col("__n") > 1, wrong).otherwise(F.col("position")).alias("position"))
