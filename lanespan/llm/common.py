@@ -38,6 +38,8 @@ def scratch(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder; a local one is set only where the session names none."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
         root = os.path.join(tempfile.gettempdir(), "lanespan-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     _SCRATCH.append(f"{root.rstrip('/')}/lanespan-{uuid.uuid4().hex}")
@@ -59,12 +61,13 @@ def sweep(spark: SparkSession, needed: DataFrame | None = None) -> None:
             _SCRATCH.remove(path)
 
 
-#: Shards of the packed operators: a shard holds what SHARD_CHARS characters of text give, up to MOST_SHARDS of them.
-SHARD_CHARS, MOST_SHARDS = 24_000_000, 1 << 16
+#: Shards of the packed operators: a shard holds what SHARD_CHARS characters of text give, however many there are.
+SHARD_CHARS = 24_000_000
 
 
 def shards_for(chars: int) -> int:
-    return int(min(MOST_SHARDS, max(8, chars // SHARD_CHARS)))
+    """Shards grow with the text. A block sends a row to each shard that it has entries for, so no more rows than it has entries."""
+    return int(max(8, chars // SHARD_CHARS))
 
 
 def stash(df: DataFrame, compression: str = "zstd") -> DataFrame:

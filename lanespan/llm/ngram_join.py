@@ -9,9 +9,11 @@ than `slack` n-grams, so in no more fragments than that, and all their other fra
    needs at least (fragments - slack) such tokens; all others can have no partner and go. A set whose n-grams fall
    into too few fragments for that has tokens for its first n-grams in the global order too (prefix filtering).
 3. Each class left is verified with the smallest class of each of its tokens. Linked classes are connected.
-4. What shares tokens but is not connected yet is verified in blocks of classes: partial overlaps are counted by
-   vertical slices of the n-grams and summed for each pair. Blocks that one component fills are not paired with
-   each other, so a large group of near copies costs no square of its size; only links come out.
+4. What shares tokens but is not connected yet is verified in blocks of classes. The order of n-grams is cut into vertical
+   fragments; a task has one fragment of a pair of blocks, counts the partial overlaps in it and lets those pairs go
+   whose sets differ there by more than they may as a whole. Partial counts are then dealt out by pair and summed. Blocks
+   that one component fills are not paired with each other, so a large group of near copies costs no square of its
+   size; only links come out.
 
 Where the links of each row are asked for, 3 is left out and 4 compares all classes that tokens connect, whatever
 component they are in: every link is verified and counted, and a group of near copies costs the square of its classes.
@@ -30,6 +32,8 @@ from lanespan.llm.common import FOLD, connected, mix64, pack, sent, shards_for,
 
 SHINGLE, PERCENT = 3, 90
 BLOCK = 512
+#: Vertical fragments of the order of n-grams in which overlaps are counted apart.
+FRAGMENTS = 4
 SLICE = 8192
 SENT_ROWS = 400_000
 HOT_SHARE = 1 / 1024
@@ -178,27 +182,101 @@ def similar(a: int, b: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
-def near_pairs(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> np.ndarray:
-    """Which places have similar sets, as a symmetric matrix without its diagonal; pairs of one side are not looked at if there are two."""
-    size = np.array([len(s) for s in sets])
-    of = np.repeat(np.arange(len(sets)), size)
-    column, grams = np.unique(np.concatenate(sets), return_inverse=True)
+def partial_overlaps(sets: list[np.ndarray], sizes: np.ndarray, sides: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """left, right, count: places of pairs and the n-grams they share in a fragment (sets), for those pairs that do not differ
+    there by more than their sizes as a whole allow. Pairs of one side are not looked at if there are two."""
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    here = np.bincount(of, minlength=len(sets))
+    grams = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(of) else np.zeros(0, np.int64)
     seen = np.bincount(grams)
     place = np.cumsum(seen > 1) - 1
     keep = seen[grams] > 1
     of, grams = of[keep], place[grams[keep]]
     overlap = np.zeros((len(sets), len(sets)), np.float32)
     shared = int((seen > 1).sum())
-    for lo in range(0, shared, SLICE):  # partial overlaps by vertical slice, summed for each pair
+    for lo in range(0, shared, SLICE):  # bounds the memory of the product only
         on = (grams >= lo) & (grams < lo + SLICE)
         part = np.zeros((len(sets), min(SLICE, shared - lo)), np.float32)
         part[of[on], grams[on] - lo] = 1
         overlap += part @ part.T
     overlap = overlap.astype(np.int64)
-    near = 100 * overlap >= percent * (size[:, None] + size[None, :] - overlap)
-    np.fill_diagonal(near, False)
-    if sides.min() != sides.max():
-        near &= sides[:, None] != sides[None, :]
+    total = sizes[:, None] + sizes[None, :]
+    most = total - 2 * -(-percent * total // (100 + percent))  # the difference of sets that are just similar enough
+    ok = here[:, None] + here[None, :] - 2 * overlap <= most
+    ok &= np.triu(np.ones_like(ok), 1) if sides.min() == sides.max() else (sides[:, None] < sides[None, :])
+    left, right = np.nonzero(ok)
+    return left, right, overlap[left, right]
+
+
+def summed_overlaps(parts: list[tuple], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """left, right, count: the pairs that every fragment let pass, with the sum of their partial overlaps."""
+    keys = np.concatenate([p[0].astype(np.int64) * n + p[1] for p in parts])
+    key, at, passed = np.unique(keys, return_inverse=True, return_counts=True)
+    count = np.bincount(at, np.concatenate([p[2] for p in parts]), len(key)).astype(np.int64)
+    key, count = key[passed == len(parts)], count[passed == len(parts)]
+    return key // n, key % n, count
+
+
+def near_pairs(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> np.ndarray:
+    """Which places have similar sets, as a symmetric matrix without its diagonal, by the two steps above."""
+    sizes = np.array([len(s) for s in sets])
+    cuts = [np.split(s, np.searchsorted(s, EDGES)) for s in sets]
+    parts = [partial_overlaps([c[f] for c in cuts], sizes, sides, percent) for f in range(FRAGMENTS)]
+    left, right, count = summed_overlaps(parts, len(sets))
+    near = np.zeros((len(sets), len(sets)), bool)
+    ok = 100 * count >= percent * (sizes[left] + sizes[right] - count)
+    near[left[ok], right[ok]] = near[right[ok], left[ok]] = True
+    return near
+
+
+#: Where the fragments after the first begin in the order of hashes.
+EDGES = np.array([(f << 64) // FRAGMENTS for f in range(1, FRAGMENTS)], np.uint64)
+
+
+def verified_in_fragments(held: DataFrame, percent: int) -> DataFrame:
+    """pair, keys, sizes, sides, groups, left, right: similar classes of each pair of blocks, as places in keys.
+
+    held: pair, side, k1, members, part, n, grams. Each class is cut into its fragments, which go to (pair, fragment); what is
+    counted there goes to the pair.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            grams = [np.split(g, np.searchsorted(g, EDGES)) for g in (np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist())]
+            rest = table.drop_columns(["grams"])
+            for f in range(FRAGMENTS):
+                own = rest.append_column("fragment", pa.array([f] * len(grams), pa.int32())).append_column("grams", pa.array([g[f].tobytes() for g in grams], pa.binary()))
+                yield from own.to_batches()
+
+    def partial(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("k1", "ascending")])
+        sizes, sides = table["n"].to_numpy(), table["side"].to_numpy()
+        left, right, count = partial_overlaps([np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()], sizes, sides, percent)
+        first = table["fragment"][0].as_py() == 0
+        people = [table["k1"].to_numpy(), sizes, table["members"].to_numpy(), table["part"].to_numpy()] if first else [np.zeros(0, np.int64)] * 4
+        data = pack(left.astype(np.uint16), right.astype(np.uint16), count.astype(np.uint32), *(p.astype(np.int64) for p in people))
+        return pa.table({"pair": table["pair"][:1], "fragment": table["fragment"][:1], "classes": pa.array([table.num_rows], pa.int32()), "counts": pa.array([data], pa.binary())})
+
+    cuts = held.mapInArrow(cut, "pair long, side int, k1 long, members long, part long, n long, fragment int, grams binary")
+    return cuts.groupBy("pair", "fragment").applyInArrow(partial, "pair long, fragment int, classes int, counts binary")
+
+
+COUNTS = ("<u2", "<u2", "<u4", "<i8", "<i8", "<i8", "<i8")
+
+
+def similar_of(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of similar classes of a pair of blocks out of its partial counts, and all its classes' keys, members and parts."""
+    parts = [unpack(x, *COUNTS) for x in table.sort_by("fragment")["counts"].to_pylist()]
+    keys, sizes, members, groups = parts[0][3:]
+    left, right, count = summed_overlaps([p[:3] for p in parts], len(keys))
+    ok = 100 * count >= percent * (sizes[left] + sizes[right] - count)
+    return left[ok], right[ok], keys, members, groups
+
+
+def matrix(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    near = np.zeros((n, n), bool)
+    near[left, right] = near[right, left] = True
     return near
 
 
@@ -305,14 +383,15 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     left, right = block.select("family", F.col("full").alias("fa"), F.col("block").alias("ba")), block.select("family", F.col("full").alias("fb"), F.col("block").alias("bb"))
     meet = left.join(right, "family").where((F.col("ba") <= F.col("bb")) & ~F.coalesce(F.col("fa") == F.col("fb"), F.lit(False))).withColumn("pair", F.xxhash64("ba", "bb", F.lit(2)))
     ends = stash(meet.select("pair", F.col("ba").alias("block"), F.lit(0).alias("side")).unionByName(meet.where("ba <> bb").select("pair", F.col("bb").alias("block"), F.lit(1).alias("side"))))
-    held = placed.withColumn("block", F.xxhash64("family", "full", "cell", F.lit(1))).join(ends, "block").join(sets, "k1").select("pair", "side", "k1", "part", "grams")
+    held = placed.withColumn("block", F.xxhash64("family", "full", "cell", F.lit(1))).join(ends, "block").join(sets, "k1").select("pair", "side", "k1", F.lit(1).cast("long").alias("members"), "part", "n", "grams")
 
     def in_blocks(table: pa.Table) -> pa.Table:
-        k, sides, groups = table["k1"].to_numpy(), table["side"].to_numpy(), table["part"].to_numpy()
-        got = block_links([np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()], groups, sides, percent) if len(k) > 1 else []
+        left, right, k, _, groups = similar_of(table, percent)
+        apart = groups[left] != groups[right]
+        got = merges(matrix(len(k), left[apart], right[apart]))
         return pa.table({"a": pa.array([int(k[i]) for i, _ in got], pa.int64()), "b": pa.array([int(k[j]) for _, j in got], pa.int64())})
 
-    more = held.groupBy("pair").applyInArrow(in_blocks, "a long, b long")
+    more = verified_in_fragments(held, percent).groupBy("pair").applyInArrow(in_blocks, "a long, b long")
     return labelled(people, classes, stash(links.unionByName(more)), keys)
 
 
@@ -328,17 +407,16 @@ def all_links(families: DataFrame, classes: DataFrame, sets: DataFrame, percent:
     block = stash(placed.select("family", "block").distinct())
     meet = block.withColumnRenamed("block", "ba").join(block.withColumnRenamed("block", "bb"), "family").where("ba <= bb").withColumn("pair", F.xxhash64("ba", "bb", F.lit(2)))
     ends = stash(meet.select("pair", F.col("ba").alias("block"), F.lit(0).alias("side")).unionByName(meet.where("ba <> bb").select("pair", F.col("bb").alias("block"), F.lit(1).alias("side"))))
-    held = placed.join(ends, "block").join(sets, "k1").select("pair", "side", "k1", "members", "grams")
+    held = placed.join(ends, "block").join(sets, "k1").select("pair", "side", "k1", "members", F.lit(0).cast("long").alias("part"), "n", "grams")
 
     def in_blocks(table: pa.Table) -> pa.Table:
-        k, rows = table["k1"].to_numpy(), table["members"].to_numpy()
-        near = near_pairs([np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()], table["side"].to_numpy(), percent)
-        got, n = merges(near), near @ rows
-        on = np.flatnonzero(n)
+        left, right, k, rows, _ = similar_of(table, percent)
+        n = np.bincount(left, rows[right], len(k)).astype(np.int64) + np.bincount(right, rows[left], len(k)).astype(np.int64)
+        got, on = merges(matrix(len(k), left, right)), np.flatnonzero(n)
         a, b = [int(k[i]) for i, _ in got] + k[on].tolist(), [int(k[j]) for _, j in got] + [None] * len(on)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array([None] * len(got) + n[on].tolist(), pa.int64())})
 
-    found = stash(held.groupBy("pair").applyInArrow(in_blocks, "a long, b long, links long"))
+    found = stash(verified_in_fragments(held, percent).groupBy("pair").applyInArrow(in_blocks, "a long, b long, links long"))
     return found.where("b is not null").select("a", "b"), found.where("b is null").groupBy(F.col("a").alias("k1")).agg(F.sum("links").alias("links"))
 
 
