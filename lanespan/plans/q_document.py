@@ -379,3 +379,49 @@ g AS (SELECT lane, seq, count(*) AS n FROM u GROUP BY 1, 2) SELECT lane, CAST(su
 def _(spark, d):
     x = load(spark, d, "lineitem").select((F.col("l_orderkey") % 9).alias("lane"), F.col("l_orderkey").alias("unit"), F.col("l_linenumber").alias("ord"), F.col("l_returnflag").alias("name"))
     return L.accepted_units(x, ["lane"], "unit", ["ord"], "name")
+
+
+CODE = '''import torch
+
+def run(self, x,
+        y):
+    """Runs."""
+    if x > {z}:
+        return ops.mla_kernel(x,
+                              y)
+    else:
+        prepare(x)
+    return kernel[grid](y)
+
+def other{z}(x):
+    return x
+'''
+
+
+@query(
+    "source_resolution",
+    """WITH p AS (SELECT p_partkey AS id, p_size AS z, p_partkey % 5 AS m FROM part)
+SELECT id, CASE m WHEN 3 THEN 13 WHEN 4 THEN NULL WHEN 2 THEN NULL ELSE 3 END AS def_line, CASE WHEN m IN (0, 1) THEN m = 1 WHEN m = 3 THEN true END AS drift,
+  CASE m WHEN 0 THEN 7 WHEN 1 THEN 11 END AS line,
+  CASE m WHEN 0 THEN '        return ops.mla_kernel(x,' || chr(10) || '                              y)' WHEN 1 THEN '    return kernel[grid](y)' END AS snippet,
+  CASE m WHEN 0 THEN 'if x > ' || z || ':' END AS branch, CASE m WHEN 3 THEN '    return x' END AS body,
+  CASE m WHEN 0 THEN 'statement' WHEN 1 THEN 'statement' WHEN 3 THEN 'body' WHEN 4 THEN 'no file' ELSE 'no function' END AS evidence FROM p""",
+)
+def _(spark, d):
+    from lanespan.sources import code as S
+
+    p = load(spark, d, "part")
+    z, m = F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    sources = p.select(z.alias("z")).distinct().select(F.concat(F.lit("f"), "z", F.lit(".py")).alias("path"), F.replace(F.lit(CODE), F.lit("{z}"), F.col("z")).alias("text"))
+    function = F.when(m == 2, "gone").when(m == 3, F.concat(F.lit("other"), z)).otherwise("run")
+    tokens = F.when(m == 0, S.call_tokens(F.lit(None).cast("array<string>"), F.lit("sgl::unknown"), F.lit("sm90_mla_kernel"))).otherwise(S.call_tokens(F.array(F.lit("nothing")), F.lit("aten::kernel"), F.lit("x")))
+    tokens = F.when(m == 0, F.concat(tokens, F.array(F.lit("mla_kernel")))).otherwise(tokens)
+    entries = p.select(F.col("p_partkey").alias("id"), F.concat(F.when(m == 4, "none").otherwise("f"), z, F.lit(".py")).alias("path"), function.alias("function"), F.when(m == 1, 5).otherwise(3).alias("hint"), tokens.alias("tokens"))
+    return S.resolved(entries, S.index(sources))
+
+
+@query("source_coverage", "WITH p AS (SELECT p_partkey % 5 AS m FROM part) SELECT count(*) AS total, count(*) FILTER (m IN (0, 1, 3)) AS functions, count(*) FILTER (m IN (0, 1)) AS statements, count(*) FILTER (m = 3) AS bodies, count(*) FILTER (m IN (1, 3)) AS drifted, count(*) FILTER (m IN (2, 4)) AS unresolved FROM p")
+def _(spark, d):
+    from lanespan.sources import code as S
+
+    return S.coverage(Q["source_resolution"](spark, d))

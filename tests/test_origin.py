@@ -2,7 +2,9 @@ import zipfile
 
 import pytest
 
-from lanespan.functions import source_text as X
+from lanespan.operators import origin as O
+from lanespan.sources import code as X
+from lanespan.sources import packages as P
 from lanespan.operators import origin as O
 from lanespan.sources import packages as P
 
@@ -74,11 +76,16 @@ class A:
 
     def other(self):
         pass
-'''.splitlines()
-
-
-def test_source_navigation():
-    got = X.resolved(SOURCE, "run", 9, ["kernel", "mla_kernel"])
-    assert got == {"line": 9, "snippet": "out = mla_kernel( q, 1)", "branch": "if self.fast:", "drift": False, "found": True}
-    assert X.resolved(SOURCE, "run", 50, ["none"])["drift"] and not X.resolved(SOURCE, "gone", 1, [])["found"]
-    assert X.body(SOURCE, X.definition(SOURCE, "other", 1)) == (13, 14)
+'''
+
+
+def test_source_navigation(spark):
+    code = X.index(spark.createDataFrame([("a.py", SOURCE), ("bad.py", "def broken(:"), ("empty.py", ""), ("null.py", None)], "path string, text string"))
+    defs = {r.name: (r.def_line, r.begin, r.end) for r in code.where("kind = 'def'").collect()}
+    assert defs == {"run": (5, 8, 11), "other": (13, 14, 14)}
+    entries = spark.createDataFrame([(1, "a.py", "run", 5, ["kernel", "mla_kernel"]), (2, "a.py", "run", 50, ["none"]), (3, "a.py", "gone", 1, ["x"]), (4, "bad.py", "broken", 1, [])], "id int, path string, function string, hint int, tokens array<string>")
+    got = {r.id: r for r in X.resolved(entries, code).collect()}
+    assert (got[1].line, got[1].snippet, got[1].branch, got[1].drift, got[1].evidence) == (9, "            out = mla_kernel(\n                q, 1)", "if self.fast:", False, "statement")
+    assert got[2].drift and got[2].body.startswith("        if self.fast:") and got[2].evidence == "body"
+    assert got[3].evidence == "no function" and got[4].evidence == "no file"
+    assert spark.range(1).select(X.call_tokens(F.array(F.lit("run")), F.lit("sgl::op"), F.lit("sm90_a_b_impl_kernel_v2"))).first()[0] == ["run", "sgl::op", "op", "sm90_a_b_impl_kernel_v2", "sm90_a_b_impl", "a_b_impl", "b_impl", "sm90_a_b"]
