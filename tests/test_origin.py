@@ -5,8 +5,6 @@ import pytest
 from lanespan.operators import origin as O
 from lanespan.sources import code as X
 from lanespan.sources import packages as P
-from lanespan.operators import origin as O
-from lanespan.sources import packages as P
 
 
 @pytest.fixture(scope="module")
