@@ -13,6 +13,7 @@ from lanespan.functions import kernels as K
 from lanespan.functions.rules import matches
 from lanespan.functions.scalars import truthy
 from lanespan.operators import intervals as I
+from lanespan.sources.scratch import cut
 
 FOOTER = "__layer_total__"
 KEY = ["unit_position", "unit_id", "unit_variant", "functional_module"]
@@ -132,5 +133,5 @@ def stages(rows: DataFrame) -> DataFrame:
 
 
 def derived(origin: DataFrame, rules: list[dict], regions: DataFrame | None = None, positions: DataFrame | None = None) -> dict[str, DataFrame]:
-    rows = enriched(routed(origin, regions), rules, positions)
+    rows = cut(enriched(routed(origin, regions), rules, positions))  # five tables read it, most of them more than once
     return {"overview": overview(rows), "core": of_category(rows, "core"), "auxiliary": of_category(rows, "auxiliary"), "classes": classes(rows), "stages": stages(rows)}

@@ -25,7 +25,7 @@ def prefixes(names: list[str]) -> list[str]:
 
 def table_sets(files: DataFrame) -> DataFrame:
     """prefix, complete over a frame of file names (name)."""
-    suffix = F.array_sort(F.filter(F.array(*[F.lit(s) for s in SUFFIXES]), lambda s: F.col("name").endswith(s)))[0]
+    suffix = F.get(F.array_sort(F.filter(F.array(*[F.lit(s) for s in SUFFIXES]), lambda s: F.col("name").endswith(s))), F.lit(0))
     x = files.withColumn("suffix", suffix).where("suffix is not null")
     return x.groupBy(F.expr("left(name, length(name) - length(suffix))").alias("prefix")).agg((F.size(F.collect_set("suffix")) == len(SUFFIXES)).alias("complete"))
 

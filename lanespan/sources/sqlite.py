@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sqlite3
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -103,3 +103,10 @@ def kernels(spark: SparkSession, path: str, device: int | None = None, name_mode
     out = k.join(short, F.col("short_id") == F.col("short_k"), "left").join(long, F.col("demangledName") == F.col("long_k"), "left")
     name = F.coalesce("long_name", "short_name") if name_mode == "demangled" else F.col("short_name")
     return out.select("device", F.col("streamId").alias("stream"), F.col("start").alias("s"), F.col("end").alias("e"), name.alias("name"), "short_name", F.col("long_name").alias("demangled"), "graph_id", "gridX", "gridY", "gridZ", "blockX", "blockY", "blockZ", F.col("correlationId").alias("correlation"))
+
+
+def for_alignment(spark: SparkSession, path: str, device: int) -> DataFrame:
+    """Kernels of a device that have a demangled name, by start and end: name, s, e, stream and place k from 1."""
+    k = kernels(spark, path, device, "demangled").where("demangled is not null")
+    place = F.row_number().over(Window.partitionBy("device").orderBy("s", "e", "name"))
+    return k.select(F.col("demangled").alias("name"), "s", "e", "stream", place.alias("k"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lanespan.sources.sinks import scratch_dir
+from lanespan.sources.scratch import folder
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -20,7 +22,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all files that are there, into a table of the shared folder, and read that."""
     spark = stream.sparkSession
-    root = scratch_dir(spark)
+    root = f"{folder(spark)}/{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/{name}").option("checkpointLocation", f"{root}/{name}-state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/{name}")
