@@ -107,7 +107,11 @@ def _(spark, d):
     return S.numbered(f, ["p_type"], ["order", "p_partkey"], "ord").select("p_partkey", "p_type", (F.col("ord") + 1).alias("ord"))
 
 
-@query("stream_session_window")
+@query(
+    "stream_session_window",
+    """WITH v AS (SELECT user_id, event_id, epoch_us(ts) AS s FROM events), g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) >= 21600000000 THEN 1 ELSE 0 END AS new FROM v),
+k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, min(s) AS session_start, max(s) + 21600000000 AS session_end, count(*) AS n FROM k GROUP BY user_id, session""",
+)
 def _(spark, d):
     return session_windows(spark, d)
 

@@ -371,3 +371,12 @@ def _(spark, d):
     nodes = r.select(F.col("r_regionkey").alias("id"), F.concat("r_name", F.lit(" <x>")).alias("label"), F.col("r_regionkey").cast("double").alias("us"))
     edges = r.where("r_regionkey < 4").select(F.col("r_regionkey").alias("a"), (F.col("r_regionkey") + 1).alias("b"))
     return spark.createDataFrame([(x,) for x in W.mermaid(nodes, edges, timed=True).split("\n")], "line string")
+
+
+@query(
+    "workbook_cells",
+    """SELECT 'A1' AS ref, 'n' AS value UNION ALL SELECT 'B1', 't & u' UNION ALL SELECT 'A' || (n_nationkey + 2), CAST(n_nationkey AS VARCHAR) FROM nation UNION ALL SELECT 'B' || (n_nationkey + 2), CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE '<' || n_name || '>' END FROM nation""",
+)
+def _(spark, d):
+    x = load(spark, d, "nation").orderBy("n_nationkey").select(F.col("n_nationkey").alias("n"), F.when(F.col("n_nationkey") % 4 != 0, F.concat(F.lit("<"), "n_name", F.lit(">"))).alias("t & u"))
+    return spark.createDataFrame(W.cells(W.workbook(x, "nation")[0]), "ref string, value string")

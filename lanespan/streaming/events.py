@@ -29,10 +29,14 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def session_windows(spark: SparkSession, sf_dir: str, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
-    """user_id, session_start, session_end (last event plus the gap), n of sessions that the watermark has closed."""
+    """user_id, session_start, session_end (last event plus the gap), n of all sessions, those too that are open when the input is drained."""
     ev = event_stream(spark, sf_dir).withWatermark("ts", late)
     s = ev.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return drained(s.select("user_id", F.unix_micros("w.start").alias("session_start"), F.unix_micros("w.end").alias("session_end"), "n"), "sessions")
+    s = s.select("user_id", F.unix_micros("w.start").alias("session_start"), F.unix_micros("w.end").alias("session_end"), "n")
+    root = f"{folder(spark)}/{uuid.uuid4().hex}"
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/sessions")  # noqa: E731  the complete result each time
+    s.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(s.schema).parquet(f"{root}/sessions")
 
 
 def running_union(spark: SparkSession, sf_dir: str) -> DataFrame:
