@@ -425,3 +425,72 @@ def _(spark, d):
     from lanespan.sources import code as S
 
     return S.coverage(Q["source_resolution"](spark, d))
+
+
+def packages(spark, d):
+    """Operators of five packages: the nations of a region."""
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    seq = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    return load(spark, d, "nation").select(
+        r.alias("package"), seq.alias("seq"), F.col("n_name").alias("name"), F.when(k % 3 == 0, "core").when(k % 3 == 1, "auxiliary").otherwise("communication").alias("category"), F.lit("m").alias("module"), F.when(seq <= 2, "A").otherwise("B").alias("stage"),
+        F.when(seq <= 2, 1).otherwise(2).alias("position"), F.lit("u").alias("unit"), F.when(seq <= 2, "v1").otherwise("v2").alias("variant"), (k * 1000).alias("start"), (k + 1).cast("double").alias("duration"), F.when(k % 2 == 0, k.cast("double")).alias("mfu"), F.lit(None).cast("double").alias("mbu"),
+    )
+
+
+@query(
+    "analysis_document",
+    """WITH o AS (SELECT n_regionkey AS package, n_nationkey AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS seq, n_name FROM nation)
+SELECT package, '1.0' AS version, count(*) AS operators, true AS heterogeneous, max(CASE WHEN k % 2 = 0 THEN k ELSE 0 END)::DOUBLE AS max_mfu, 'v1,v2' AS variants, '1::u::v1::A' AS first_stage, sum(CASE WHEN seq <= 2 THEN k + 1 ELSE 0 END)::DOUBLE AS first_us,
+  round(sum(CASE WHEN k % 3 = 0 THEN k + 1 ELSE 0 END) * 100.0 / sum(k + 1), 4)::DOUBLE AS core_share, 2 AS units, max(CASE WHEN seq = 5 THEN n_name END) AS last_name, 0 AS violations FROM o GROUP BY 1""",
+)
+def _(spark, d):
+    from lanespan.operators import report as R
+
+    rows = packages(spark, d)
+    unit = load(spark, d, "region").select(F.col("r_regionkey").alias("package"), F.lit(100.0).alias("unit_us"), F.lit(3).alias("samples"), F.array(F.lit(0)).alias("devices"))
+    x = R.analysis(rows, unit)
+    at = lambda p: F.get_json_object("document", p)
+    bad = C.frontend(
+        x.select("package", at("$.schemaVersion").alias("schema"), at("$.summary.operatorCount").cast("long").alias("operator_count"), F.array(F.lit(0)).alias("devices"), at("$.summary.stableSamples").cast("int").alias("samples"), F.lit(True).alias("heterogeneous"), F.from_json(at("$.summary.distinctUnitVariants"), "array<string>").alias("variants")),
+        rows.select("package", "category", "position", "unit", "variant"), rows.select("package", "position", "unit", "variant").distinct(), rows.select("package", F.col("position").alias("ord"), "position", "variant").distinct(),
+    ).groupBy(F.col("key").cast("int").alias("package")).agg(F.count(F.lit(1)).alias("bad"))
+    x = x.join(bad, "package", "left")
+    return x.select(
+        "package", at("$.schemaVersion").alias("version"), F.size(F.from_json(at("$.operators"), "array<struct<name:string>>")).cast("long").alias("operators"), at("$.summary.heterogeneous").cast("boolean").alias("heterogeneous"), at("$.summary.maxMfu").cast("double").alias("max_mfu"),
+        F.array_join(F.from_json(at("$.summary.distinctUnitVariants"), "array<string>"), ",").alias("variants"), at("$.stages[0].key").alias("first_stage"), at("$.stages[0].durationUs").cast("double").alias("first_us"), at("$.classifications[0].sharePct").cast("double").alias("core_share"),
+        F.size(F.from_json(at("$.units"), "array<struct<id:string>>")).alias("units"), at("$.operators[4].name").alias("last_name"), F.coalesce("bad", F.lit(0)).alias("violations"),
+    )
+
+
+@query(
+    "package_manifest",
+    """SELECT '{"tables":[{"table":"nation","rows":' || (SELECT count(*) FROM nation) || '},{"table":"region","rows":' || (SELECT count(*) FROM region) || '}],"formulas":{"mfu":"2MNK","pct":"d/t"},"evidence":[' || string_agg('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}', ',' ORDER BY r_regionkey) || ']}' AS manifest FROM region""",
+)
+def _(spark, d):
+    from lanespan.operators import report as R
+
+    tables = {n: load(spark, d, n) for n in ("region", "nation")}
+    return R.manifest(tables, {"pct": "d/t", "mfu": "2MNK"}, tables["region"].select("r_regionkey", "r_name"))
+
+
+@query(
+    "report_lines",
+    """SELECT 0 AS section, 1 AS line, '## Regions' AS text UNION ALL SELECT 0, 2, '| r_name | n |' UNION ALL SELECT 0, 3, '|---|---|' UNION ALL SELECT 0, r_regionkey + 4, '| ' || r_name || ' | 5 |' FROM region
+UNION ALL SELECT 1, 1, '## Nations' UNION ALL SELECT 1, 2, '| name |' UNION ALL SELECT 1, 3, '|---|' UNION ALL SELECT 1, n_nationkey + 4, '| ' || n_name || '\\| |' FROM nation""",
+)
+def _(spark, d):
+    from lanespan.operators import report as R
+
+    r = load(spark, d, "region").select("r_name", F.lit(5).alias("n"), "r_regionkey")
+    n = load(spark, d, "nation").select(F.concat("n_name", F.lit("|")).alias("name"), "n_nationkey")
+    return R.lines([("Regions", r, "r_regionkey"), ("Nations", n, "n_nationkey")])
+
+
+@query("semantic_rules", "SELECT p_partkey AS key, CASE WHEN p_name LIKE '%ring%' THEN 'core' WHEN p_type = 'SMALL' AND p_name LIKE '%bolt%' THEN 'auxiliary' ELSE 'none' END AS category FROM part")
+def _(spark, d):
+    from lanespan.functions.rules import first_match
+    from lanespan.operators import report as R
+
+    rules = R.rules_of({"rules": [{"operator_regex": "RING", "category": "core"}, {"module_regex": "^small$", "operator_regex": "bolt", "category": "auxiliary"}]})
+    rows = load(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_type").alias("module"), F.col("p_name").alias("operator_name"))
+    return rows.select("key", first_match(rules, "category", "none").alias("category"))
