@@ -43,3 +43,22 @@ def spread(rows: DataFrame, variant: str, position: list[str], most: float) -> D
 def coverage(rows: DataFrame, group: str, text: str, patterns: dict[str, str]) -> DataFrame:
     """group, n, and for each pattern the share of rows that it is found in."""
     return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.coalesce(F.col(text).rlike(p), F.lit(False)).cast("int")).alias(name) for name, p in patterns.items()])
+
+
+def name_status(used: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """name, n, status of used names (name, n) by a vocabulary (name, kind): known, deprecated (kind alias), unknown, or unused."""
+    status = F.when(F.col("kind").isNull(), "unknown").when(F.col("n").isNull(), "unused").when(F.col("kind") == "alias", "deprecated").otherwise("known")
+    return used.join(vocabulary, "name", "full").select("name", F.coalesce("n", F.lit(0)).alias("n"), status.alias("status"))
+
+
+def unsupported_leaves(rows: DataFrame, module: str, evidence: list[str]) -> DataFrame:
+    """The rows of which no word (of more than two letters) of the module's last part stands in their evidence; modules without such words are left out."""
+    words = F.filter(F.split(F.substring_index(module, "/", -1), "[^A-Za-z0-9]+"), lambda w: F.length(w) > 2)
+    text = F.lower(F.concat_ws(" ", *evidence))
+    return rows.where((F.size(words) > 0) & ~F.exists(words, lambda w: text.contains(F.lower(w))))
+
+
+def matching(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """The rows of which the columns, joined by blanks, hold the text, whatever its case; all rows if it is blank."""
+    t = text.strip().lower()
+    return rows.where(F.lower(F.concat_ws(" ", *columns)).contains(t)) if t else rows

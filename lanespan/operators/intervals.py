@@ -114,3 +114,10 @@ def layout(df: DataFrame, lane: str = "device", stream: str = "stream", floor: f
     wall = F.col("hi") - F.col("lo")
     out = df.join(span, lane).join(lanes, [lane, stream])
     return out.select("id", F.col("lane").cast("long"), ((F.col("s") - F.col("lo")) * 100.0 / wall).alias("left_pct"), F.greatest((F.col("e") - F.col("s")) * 100.0 / wall, F.lit(floor)).alias("width_pct"))
+
+
+def decomposed(regions: DataFrame, busy: DataFrame, lane: list[str], step: str, names: list[str]) -> DataFrame:
+    """lane, step, period, a column of busy time for each named region (lane, step, end, part, s, e), and gap, so that they close exactly."""
+    got = covered(regions, busy, lane, [*lane, step, "part"])
+    parts = [F.sum(F.when(F.col("part") == n, F.col("covered")).otherwise(0)).alias(n) for n in names]
+    return got.groupBy(*lane, step).agg((F.max("end") - F.col(step)).alias("period"), *parts, (F.max("end") - F.col(step) - F.sum("covered")).alias("gap"))

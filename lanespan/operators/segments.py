@@ -144,3 +144,50 @@ def middle_of(rows: DataFrame, key: str, most: int) -> DataFrame:
     total = rows.groupBy(key).agg((F.max("step") + 1).alias("total"))
     kept = rows.join(total, key).withColumn("begin", F.greatest(F.lit(0), F.least(F.expr("total div 4"), F.col("total") - most)))
     return kept.where(f"step >= begin and step < begin + {most}").drop("total", "begin")
+
+
+def pivoted(rows: DataFrame, keys: list[str], column: str, names: list[str], value: Column) -> DataFrame:
+    """keys and a column for each name with the sum of its values, 0 where there are none."""
+    return rows.groupBy(*keys).pivot(column, names).agg(F.sum(value)).na.fill(0, names)
+
+
+def growth(passes: DataFrame, keys: list[str], order: str, value: str, steady: float = 0.05) -> DataFrame:
+    """passes with growth against the pass before, and label cold (the first), steady, growing or shrinking."""
+    x = along(passes, keys, [order], befores={"__before": F.col(value)}).withColumn("growth", F.col(value) / F.col("__before") - 1)
+    label = F.when(F.col("growth").isNull(), "cold").when(F.abs("growth") <= steady, "steady").when(F.col("growth") > 0, "growing").otherwise("shrinking")
+    return x.withColumn("label", label).drop("__before")
+
+
+def last_of_steps(rows: DataFrame, keys: list[str], k: int, order: list[str] = ORDER) -> DataFrame:
+    """The last k rows of each step, with r from 1 backwards."""
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(o) for o in order])
+    return rows.withColumn("r", F.row_number().over(w).cast("long")).where(F.col("r") <= k)
+
+
+def owner_ahead(rows: DataFrame, keys: list[str], core: Column, owner: str, order: list[str] = ORDER) -> DataFrame:
+    """rows with owner: the id of the next core at or after them in their lane; null behind the last one."""
+    x = along(rows, keys, order, nexts={"__owner": F.when(core, F.col(owner))})
+    return x.withColumn("owner", F.coalesce(F.when(core, F.col(owner)), F.col("__owner"))).drop("__owner")
+
+
+def busy_until_gap(rows: DataFrame, keys: list[str], gap: int, order: list[str] = ORDER) -> DataFrame:
+    """keys, busy_end, n: of each block (keys) what comes before its first hole wider than gap."""
+    w = lane(keys, order)
+    x = rows.withColumn("__reach", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.withColumn("__after", F.sum(F.coalesce((F.col("s") - F.col("__reach") > gap).cast("long"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.where("__after = 0").groupBy(*keys).agg(F.max("e").alias("busy_end"), F.count(F.lit(1)).alias("n"))
+
+
+def heaviest_repeated(rows: DataFrame, lanes: list[str], name: str) -> DataFrame:
+    """lanes, name, total, stride: of the names with more than one row the one with most time (ties by name), and the median distance of its starts."""
+    x = along(rows, [*lanes, name], ORDER, befores={"__last": F.col("s")}).withColumn("__gap", F.col("s") - F.col("__last"))
+    a = x.groupBy(*lanes, name).agg(F.sum(F.col("e") - F.col("s")).alias("total"), F.median("__gap").alias("stride"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    best = a.groupBy(*lanes).agg(F.min(F.struct((-F.col("total")).alias("neg"), name, "stride")).alias("x"))
+    return best.select(*lanes, f"x.{name}", (-F.col("x.neg")).alias("total"), "x.stride")
+
+
+def pattern_holds(rows: DataFrame, keys: list[str], order: list[str], value: str, period: int) -> DataFrame:
+    """keys, ok, n: whether each place of the period has one value throughout."""
+    x = numbered(rows, keys, order, "__i").withColumn("__m", F.col("__i") % period)
+    places = x.groupBy(*keys, "__m").agg(F.min(value).eqNullSafe(F.max(value)).alias("one"), (F.count(value) == F.count(F.lit(1))).alias("whole"), F.count(value).alias("there"), F.count(F.lit(1)).alias("n"))
+    return places.groupBy(*keys).agg(F.bool_and(F.col("one") & (F.col("whole") | (F.col("there") == 0))).alias("ok"), F.sum("n").alias("n"))

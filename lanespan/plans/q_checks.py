@@ -92,8 +92,7 @@ SELECT coalesce(n.name, v.name) AS name, coalesce(n.n, 0) AS n, CASE WHEN v.name
 def _(spark, d):
     v = spark.createDataFrame([("widget", "ok"), ("gizmo", "ok"), ("ring", "ok"), ("rod", "alias"), ("bolt", "ok"), ("gear", "ok"), ("disc", "ok")], "name string, kind string")
     n = load(spark, d, "part").groupBy(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    status = F.when(F.col("kind").isNull(), "unknown").when(F.col("n").isNull(), "unused").when(F.col("kind") == "alias", "deprecated").otherwise("known")
-    return n.join(F.broadcast(v), "name", "full").select("name", F.coalesce("n", F.lit(0)).alias("n"), status.alias("status"))
+    return C.name_status(n, v)
 
 
 @query(
@@ -102,7 +101,8 @@ def _(spark, d):
 SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS ord FROM f""",
 )
 def _(spark, d):
-    f = load(spark, d, "part").where("p_size between 5 and 30 and p_type <> 'PROMO'").where(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")).contains("gear"))
+    f = load(spark, d, "part").where("p_size between 5 and 30 and p_type <> 'PROMO'")
+    f = C.matching(f, " Gear ", ["p_name", "p_brand", "p_type"])
     f = f.withColumn("order", -F.col("p_retailprice"))
     return S.numbered(f, ["p_type"], ["order", "p_partkey"], "ord").select("p_partkey", "p_type", (F.col("ord") + 1).alias("ord"))
 

@@ -91,11 +91,7 @@ def busy_steps(iv):
 
 
 def decomposition(iv):
-    regions = busy_steps(iv)
-    got = I.covered(regions, iv, LANE, ["device", "a", "part"])
-    return got.groupBy("device", "a").agg(
-        (F.max("b") - F.col("a")).alias("period"), *[F.sum(F.when(F.col("part") == n, F.col("covered")).otherwise(0)).alias(n) for n in ("prologue", "body", "tail")], (F.max("b") - F.col("a") - F.sum("covered")).alias("gap")
-    )
+    return I.decomposed(busy_steps(iv).withColumnRenamed("b", "end"), iv, LANE, "a", ["prologue", "body", "tail"])
 
 
 DECOMPOSITION = f"""{IV}, {PE}, {ISLANDS}, m AS (SELECT device, s AS a, lead(s) OVER (PARTITION BY device ORDER BY s) AS b FROM iv WHERE stream = 'signup'),

@@ -124,10 +124,8 @@ def _(spark, d):
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, cents, round(cents * 100.0::DOUBLE / total, 6) AS own_share, round(total * 100.0::DOUBLE / whole, 6) AS module_share FROM lp JOIN t ON lp.category = t.category, a""",
 )
 def _(spark, d):
-    x = joined(spark, d)
-    t = x.groupBy("category").agg(F.sum("cents").alias("total"))  # a sum combines before the shuffle, where a window over a hot module would not
-    t = t.withColumn("whole", F.sum("total").over(Window.partitionBy(F.lit(0))))
-    return x.join(F.broadcast(t), "category").select(*ORDER, "cents", F.round(F.col("cents") * 100.0 / F.col("total"), 6).alias("own_share"), F.round(F.col("total") * 100.0 / F.col("whole"), 6).alias("module_share"))
+    x = R.module_shares(joined(spark, d), "category", "cents")
+    return x.select(*ORDER, "cents", F.round("own_share", 6).alias("own_share"), F.round("module_share", 6).alias("module_share"))
 
 
 @query(
@@ -136,10 +134,8 @@ def _(spark, d):
 SELECT l_returnflag, qty, round(qty * 100.0::DOUBLE / wall, 4) AS duration_pct, round(qty * 100.0::DOUBLE / sum(qty) OVER (), 4) AS share_pct FROM a, w""",
 )
 def _(spark, d):
-    a = lines(spark, d).groupBy("l_returnflag").agg(F.sum("qty").alias("qty"), F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi"))
-    all_ = Window.partitionBy(F.lit(0))
-    a = a.withColumn("wall", F.datediff(F.max("hi").over(all_), F.min("lo").over(all_))).withColumn("whole", F.sum("qty").over(all_))
-    return a.select("l_returnflag", "qty", F.round(F.col("qty") * 100.0 / F.col("wall"), 4).alias("duration_pct"), F.round(F.col("qty") * 100.0 / F.col("whole"), 4).alias("share_pct"))
+    x = R.dual_shares(lines(spark, d), "l_returnflag", "qty", F.datediff(F.max("l_shipdate"), F.min("l_shipdate")))
+    return x.withColumns({c: F.round(c, 4) for c in ("duration_pct", "share_pct")})
 
 
 @query("truthy_coalesce", "SELECT c_custkey, coalesce(nullif(CAST(floor(c_acctbal / 5000) AS BIGINT), 0), nullif(CAST(c_nationkey AS BIGINT), 0), -1) AS picked, coalesce(CAST(floor(c_acctbal / 5000) AS BIGINT), CAST(c_nationkey AS BIGINT)) AS first_present FROM customer")
@@ -156,7 +152,7 @@ SELECT *, row_number() OVER (ORDER BY l_returnflag NULLS LAST, l_linestatus NULL
 )
 def _(spark, d):
     a = lines(spark, d).groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"), F.countDistinct("l_partkey").alias("n_parts"), F.datediff(F.max("l_shipdate"), F.min("l_shipdate")).cast("long").alias("wall"), F.min("l_orderkey").alias("first_order"))
-    return a.withColumn("ordinal", F.row_number().over(Window.orderBy(F.asc_nulls_last("l_returnflag"), F.asc_nulls_last("l_linestatus"))).cast("long"))
+    return R.indexed(a, ["l_returnflag", "l_linestatus"])
 
 
 @query(
@@ -178,8 +174,8 @@ def _(spark, d):
 
 @query("core_operator_table", f"WITH {LP} SELECT p_brand, p_type, p_size, CAST(sum(qty) AS BIGINT) AS qty, count(*) AS n, round(avg(nullif(CAST(round(l_discount * 100) AS BIGINT), 0)), 4) AS mean_discount_pct, min(l_orderkey) AS first_order FROM lp GROUP BY ALL")
 def _(spark, d):
-    x = joined(spark, d).groupBy("p_brand", "p_type", "p_size")
-    return x.agg(F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("n"), F.round(F.avg(F.nullif(F.round(F.col("l_discount") * 100).cast("long"), F.lit(0))), 4).alias("mean_discount_pct"), F.min("l_orderkey").alias("first_order"))
+    x = R.operator_table(joined(spark, d), ["p_brand", "p_type", "p_size"], "qty", F.round(F.col("l_discount") * 100).cast("long"), "l_orderkey")
+    return x.select("p_brand", "p_type", "p_size", "qty", "n", F.round("mean_share", 4).alias("mean_discount_pct"), F.col("first").alias("first_order"))
 
 
 @query(
@@ -192,8 +188,7 @@ def _(spark, d):
 
 @query("rankings_with_percent", f"WITH {LP}, a AS (SELECT p_brand, CAST(sum(cents) AS BIGINT) AS total FROM lp GROUP BY 1) SELECT p_brand, total, round(total * 100.0::DOUBLE / sum(total) OVER (), 6) AS pct, row_number() OVER (ORDER BY total DESC, p_brand) AS rank FROM a")
 def _(spark, d):
-    a = joined(spark, d).groupBy("p_brand").agg(F.sum("cents").alias("total"))
-    return a.select("p_brand", "total", F.round(F.col("total") * 100.0 / F.sum("total").over(Window.partitionBy(F.lit(0))), 6).alias("pct"), F.row_number().over(Window.orderBy(F.desc("total"), "p_brand")).cast("long").alias("rank"))
+    return R.ranked_shares(joined(spark, d), "p_brand", "cents").withColumn("pct", F.round("pct", 6))
 
 
 @query(
@@ -252,6 +247,4 @@ SELECT p_type, string_agg(p_brand || ':' || na, ';' ORDER BY k) AS families FROM
 )
 def _(spark, d):
     n = two_years(spark, d)[0].groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("na"))
-    top = R.top_k(n, ["p_type"], [F.desc("na"), "p_brand"], 8)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "p_brand", "na"))), lambda x: F.concat_ws(":", x["p_brand"], x["na"]))
-    return top.groupBy("p_type").agg(F.array_join(listed, ";").alias("families"))
+    return R.top_listed(n, "p_type", "p_brand", "na", 8).withColumnRenamed("listed", "families")

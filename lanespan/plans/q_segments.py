@@ -95,8 +95,7 @@ STREAMS = ["click", "error", "purchase", "signup", "view"]
     f"WITH {BLOCKS} SELECT device, pass, layer, " + ", ".join(f"CAST(coalesce(sum(CASE WHEN stream = '{x}' THEN e - s END), 0) AS BIGINT) AS {x}" for x in STREAMS) + " FROM bl GROUP BY device, pass, layer",
 )
 def _(spark, d):
-    out = blocks(spark, d).groupBy("device", "pass", "layer").pivot("stream", STREAMS).agg(F.sum(dur()))
-    return out.na.fill(0, STREAMS)
+    return S.pivoted(blocks(spark, d), ["device", "pass", "layer"], "stream", STREAMS, dur())
 
 
 @query(
@@ -119,9 +118,7 @@ SELECT device, pass, duration, round(growth, 6) AS growth, CASE WHEN growth IS N
 )
 def _(spark, d):
     q = blocks(spark, d).groupBy("device", "pass").agg((F.max("e") - F.min("s")).alias("duration"))
-    growth = F.col("duration") / F.lag("duration").over(S.lane(LANE, ["pass"])) - 1
-    label = F.when(F.col("g").isNull(), "cold").when(F.abs("g") <= 0.05, "steady").when(F.col("g") > 0, "growing").otherwise("shrinking")
-    return q.withColumn("g", growth).where("pass < 30").select("device", "pass", "duration", F.round("g", 6).alias("growth"), label.alias("label"))
+    return S.growth(q, LANE, "pass", "duration").where("pass < 30").withColumn("growth", F.round("growth", 6))
 
 
 CV = f"""{IV}, gp AS (SELECT *, s - lag(s) OVER (PARTITION BY device, stream ORDER BY s, id) AS gap FROM iv),
@@ -195,8 +192,7 @@ def _(spark, d):
 
 @query("tail_k_events", f"WITH {STEPS}, k AS (SELECT *, row_number() OVER (PARTITION BY device, step ORDER BY s DESC, id DESC) AS r FROM ins) SELECT device, step, id, r FROM k WHERE r <= 2")
 def _(spark, d):
-    w = Window.partitionBy("device", "step").orderBy(F.desc("s"), F.desc("id"))
-    return in_steps(spark, d).withColumn("r", F.row_number().over(w).cast("long")).where("r <= 2").select("device", "step", "id", "r")
+    return S.last_of_steps(in_steps(spark, d), ["device", "step"], 2).select("device", "step", "id", "r")
 
 
 @query(
@@ -219,9 +215,7 @@ def _(spark, d):
 h AS (SELECT device, g, id AS owner FROM o WHERE stream = 'purchase') SELECT o.id, coalesce(owner, -1) AS owner FROM o LEFT JOIN h ON o.device = h.device AND o.g = h.g""",
 )
 def _(spark, d):
-    w = S.lane(LANE).rowsBetween(0, Window.unboundedFollowing)
-    owner = F.first(F.when(F.col("stream") == "purchase", F.col("id")), True).over(w)
-    return intervals(spark, d).select("id", F.coalesce(owner, F.lit(-1)).alias("owner"))
+    return S.owner_ahead(intervals(spark, d), LANE, F.col("stream") == "purchase", "id").select("id", F.coalesce("owner", F.lit(-1)).alias("owner"))
 
 
 @query(
@@ -231,10 +225,7 @@ c AS (SELECT *, sum(CASE WHEN s - pe > 7200000000 THEN 1 ELSE 0 END) OVER (PARTI
 SELECT device, block, max(e) AS busy_end, count(*) AS n FROM c WHERE k = 0 GROUP BY device, block""",
 )
 def _(spark, d):
-    w = S.lane(["device", "block"])
-    rows = blocks(spark, d).withColumn("pe", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("k", F.sum(F.coalesce((F.col("s") - F.col("pe") > 7_200_000_000).cast("long"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.where("k = 0").groupBy("device", "block").agg(F.max("e").alias("busy_end"), F.count(F.lit(1)).alias("n"))
+    return S.busy_until_gap(blocks(spark, d), ["device", "block"], 7_200_000_000)
 
 
 @query(
@@ -244,10 +235,7 @@ a AS (SELECT device, stream, CAST(sum(e - s) AS BIGINT) AS total, median(gap) AS
 r AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY total DESC, stream) AS k FROM a) SELECT device, stream, total, round(stride, 3) AS stride FROM r WHERE k = 1""",
 )
 def _(spark, d):
-    g = intervals(spark, d).withColumn("gap", F.col("s") - F.lag("s").over(S.lane(["device", "stream"])))
-    a = g.groupBy("device", "stream").agg(F.sum(dur()).alias("total"), F.median("gap").alias("stride"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    best = a.groupBy("device").agg(F.min(F.struct((-F.col("total")).alias("neg"), "stream", "stride")).alias("x"))
-    return best.select("device", "x.stream", (-F.col("x.neg")).alias("total"), F.round("x.stride", 3).alias("stride"))
+    return S.heaviest_repeated(intervals(spark, d), LANE, "stream").withColumn("stride", F.round("stride", 3))
 
 
 @query(
@@ -267,9 +255,7 @@ def _(spark, d):
 f AS (SELECT *, first_value(role) OVER (PARTITION BY conv_id, i % 2 ORDER BY i) AS r FROM o) SELECT conv_id, bool_and(role = r) AS ok, count(*) AS n FROM f GROUP BY conv_id""",
 )
 def _(spark, d):
-    o = S.numbered(load(spark, d, "conversations"), ["conv_id"], ["turn"], "i").withColumn("m", F.col("i") % 2)
-    f = o.withColumn("r", F.first("role").over(Window.partitionBy("conv_id", "m").orderBy("i")))
-    return f.groupBy("conv_id").agg(F.bool_and(F.col("role") == F.col("r")).alias("ok"), F.count(F.lit(1)).alias("n"))
+    return S.pattern_holds(load(spark, d, "conversations"), ["conv_id"], ["turn"], "role", 2)
 
 
 @query(
