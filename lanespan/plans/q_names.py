@@ -42,11 +42,11 @@ def symbols(spark, d):
 
 @query(
     "symbol_leaf",
-    f"""WITH {PT} SELECT key,
+    f"""WITH {PT}, pl AS (SELECT *, 'void at::native::(anonymous namespace)::' || flat || '<(unsigned int)' || size || ', (bool)1, ' || key || 'u>(int, float)' AS long_name FROM pt) SELECT key,
   CASE kind WHEN 3 THEN flat || '_' || key || 'u_k' WHEN 5 THEN '' ELSE flat END AS leaf,
-  CASE kind WHEN 0 THEN 'void at::native::(anonymous namespace)::' || flat || '<(unsigned int)' || size || ', (bool)1, ' || key || 'u>(int, float)' WHEN 1 THEN 'run' WHEN 2 THEN flat WHEN 3 THEN flat || '_' || key || 'u_k' WHEN 4 THEN flat || '<…>' ELSE '' END AS simplified,
+  CASE kind WHEN 0 THEN CASE WHEN length(long_name) > 96 THEN 'void at::native::(anonymous namespace)::' || flat || '<…>' ELSE long_name END WHEN 1 THEN 'run' WHEN 2 THEN flat WHEN 3 THEN flat || '_' || key || 'u_k' WHEN 4 THEN flat || '<…>' ELSE '' END AS simplified,
   CASE kind WHEN 3 THEN '' WHEN 5 THEN '' WHEN 2 THEN 'float ' || flat ELSE flat END AS base
-FROM pt""",
+FROM pl""",
 )
 def _(spark, d):
     c = F.col("symbol")
