@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -11,9 +12,10 @@ import sentencepiece
 
 from lanespan.llm import token_counts as T
 from lanespan.llm.decontam import Index, decontaminate, drop_contaminated
-from lanespan.llm.license_scan import Automaton, Scanner, license_scan
+from lanespan.llm.common import alnum_words
+from lanespan.llm.license_scan import BASE, MARKUP, TEMPLATES, Automaton, Scanner, license_scan
 from lanespan.llm.lm_score import Totals, lm_scores
-from lanespan.llm.mixing import mix
+from lanespan.llm.mixing import mix, sampled
 
 ODD = ["", "  a  b", "\n", "\n a", "a\n  \nb\t", "日本語 テスト😀 x", "   ", "<s> </s> <unk> <0x0A>", "▁▁x ▁", "a b", "a" * 300, "  \n\n  x", "\r\n);\r x", "é́", "Hello World's end!!", "▁ ", "▁ ia", "a▁ b", "▁", "\n▁\n ▁x", "▁\t▁▁"]
 
@@ -91,6 +93,24 @@ def test_mixing_shares_excess_by_weight(spark):
     assert t["a"] == 30 and math.isclose(t["b"] / t["c"], 2) and t[None] == 0 and math.isclose(sum(t.values()), 2010)
 
 
+def test_the_mix_is_sampled_out(spark):
+    rows = corpus.texts(3, 120)
+    docs = corpus.frame(spark, rows)
+    stated = {}
+    for r in mix(docs, bucket=8).collect():
+        stated[r.doc_id] = stated.get(r.doc_id, 0) + r.taken
+    given, whole = Counter(), {}
+    for i, t in rows:
+        whole.setdefault(i, set()).add(t)
+    for r in sampled(docs, bucket=8).collect():
+        words = len(corpus.white_words(r.text))
+        assert r.n_words == words > 0
+        assert r.text in whole[r.doc_id] or any(corpus.white_words(t)[:words] == corpus.white_words(r.text) for t in whole[r.doc_id])
+        given[r.doc_id] += words
+    assert dict(given) == {i: n for i, n in stated.items() if n}
+    assert sampled(docs.limit(0)).collect() == []
+
+
 ITEMS = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"), (2, "short item here"), (3, None), (4, "..."), (5, "Été comme hiver le grand jardin reste ouvert pour tous les gens du village"), (2, "short item here")]
 
 
@@ -165,6 +185,60 @@ def test_templates_match_mandatory_wording_only():
         Scanner({}, {"x": ["<<var:1-2>> a"]})
 
 
+def regex_of(template):
+    """A template as a regular expression over words that each end in a blank."""
+    out = ""
+    for k, part in enumerate(MARKUP.split(template)):
+        if k % 2 == 0:
+            out += "".join(re.escape(w.decode()) + " " for w in alnum_words(part.encode()))
+        elif part == "optional":
+            out += "(?:"
+        elif part == "/optional":
+            out += ")?"
+        else:
+            bounds, _, some = part[4:].partition("|")
+            one = "|".join(map(re.escape, some.split())) or "[^ ]+"
+            out += f"(?:(?:{one}) ){{{bounds.replace('-', ',')}}}"
+    return re.compile(out)
+
+
+def scanned(text, base, templates):
+    """What a scan returns, by trying every template at every word, shortest match first."""
+    w = corpus.alnum_words(text)
+    places, base_labels, labels, covered = [], set(), set(), 0
+    first = {t: regex_of(t) for ts in templates.values() for t in ts}
+    for at in range(len(w)):
+        for phrase, label in base.items():
+            if w[at : at + len(phrase.split())] == phrase.split():
+                places.append(at)
+                base_labels.add(label)
+                covered += len(phrase.split())
+        for label, ts in templates.items():
+            for t in ts:
+                m = first[t].match("".join(x + " " for x in w[at : at + 300]))
+                if m:
+                    n = next(n for n in range(1, 301) if first[t].fullmatch("".join(x + " " for x in w[at : at + n])))
+                    labels.add(label)
+                    covered += n
+    return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels | base_labels)), covered / (covered + 4.0))
+
+
+def test_license_scan_of_documents_matches_brute_force(spark, sf):
+    """All documents of the smallest table, whole licenses with regions left out, replaced and altered, long, repeated and empty texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    mit = MARKUP.sub("", TEMPLATES["mit"][1]).replace("  ", " ")
+    full = re.sub(r"<<var:1-\d+>>", "Software", TEMPLATES["mit"][1].replace("<<optional>>", "").replace("<</optional>>", ""))
+    bsd = re.sub(r"<<var:1-\d+>>", "THE AUTHORS", TEMPLATES["bsd"][0].replace("<<optional>>", "").replace("<</optional>>", ""))
+    own = [(10**6, full), (10**6 + 1, mit), (10**6 + 2, full.replace("LIABILITY", "RISK")), (10**6 + 3, bsd), (10**6 + 4, "x " * 30_000 + full + " y" * 1000), (10**6 + 4, "x " * 30_000 + full + " y" * 1000), (10**6 + 5, None), (10**6 + 6, "")]
+    rows = docs.unionByName(spark.createDataFrame(own, docs.schema))
+    got = sorted((tuple(r) for r in license_scan(rows).collect()), key=repr)
+    want = sorted(((r.doc_id, *scanned(r.text, BASE, TEMPLATES)) for r in rows.collect()), key=repr)
+    assert got == want
+    by = {r[0]: r[6] for r in got}
+    assert by[10**6] == by[10**6 + 4] == "mit" and by[10**6 + 1] == by[10**6 + 2] == "" and by[10**6 + 3] == "bsd"
+    assert license_scan(docs.limit(0)).collect() == []
+
+
 def test_license_scan(spark):
     rows = [(1, "Released under the MIT License."), (2, "Licensed under CC BY-NC 4.0, or: under the mit  license; CC-BY-NC"), (3, None), (4, ""), (5, "the mit licence"), (6, "GNU General Public License, version 3"), (7, "Apache License, Version 2.0. " * 2)]
     got = {r.doc_id: r for r in license_scan(corpus.frame(spark, rows)).collect()}
