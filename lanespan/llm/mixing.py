@@ -53,13 +53,13 @@ def ranked(sources: DataFrame, weights: tuple) -> DataFrame:
     return rank.select("source", "size", "rows", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank") + F.col("shift")) % len(weights) + 1).cast("int")).alias("weight"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix-1", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket: int = BUCKET) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken, whole (full passes), part (words of the partial pass).
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix-1", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket: int = BUCKET, with_text: bool = False) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, taken, whole (full passes), part (words of the partial pass), and with_text the text.
 
     Null texts have no words and are taken 0 times; null is a source of its own and sorts last. Rows that repeat an id
     are separate documents; their order among each other follows their size. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *([F.col(text_col).alias("text")] if with_text else []))
     rows = rows.withColumn("key", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     rows = stash(rows.withColumn("row_key", F.monotonically_increasing_id()))
     sources = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
@@ -94,7 +94,22 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS,
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("cut_before") - F.coalesce(F.sum("size").over(order), F.lit(0))))
     outside = placed.where(~in_cut).withColumn("part", F.when(after | (F.col("rest") <= 0), F.lit(0)).otherwise(F.col("size")))
     both = outside.unionByName(placed.where(in_cut).withColumn("part", part))
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), "whole", F.col("part").cast("long").alias("part"))
+    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), "whole", F.col("part").cast("long").alias("part"), *(["text"] if with_text else []))
+
+
+def sampled(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: doc_id, source, copy (from 1), n_words, text, a row for each time that a document is taken; what is not taken has none.
+
+    Full passes give the text as it is; of a partial pass that ends within a document its first words are given, with one
+    blank between them. Words add up to what mix() states.
+    """
+    rows = mix(docs, with_text=True, **options).where("taken > 0")
+    cut = (F.col("part") > 0) & (F.col("part") < F.col("size"))
+    copies = F.col("whole") + (F.col("part") > 0).cast("long")
+    rows = rows.withColumn("copies", copies).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    last = cut & (F.col("copy") == F.col("copies"))
+    head = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.greatest(F.lit(1), F.col("part")).cast("int")), " ")
+    return rows.select("doc_id", "source", "copy", F.when(last, F.col("part")).otherwise(F.col("size")).alias("n_words"), F.when(last, head).otherwise(F.col("text")).alias("text"))
 
 
 ORACLE = r"""
