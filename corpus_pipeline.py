@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over documents: toxicity, exact dedup, n-gram join, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and all but the last return the columns
-of documents. The last returns what the mix takes of each document. A stage's result has to be written before the next
+of documents. The last returns the mix: a row for each time that a document is taken, whole or in part. A stage's result has to be written before the next
 stage is called, which clears the scratch folders of those before.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lanespan.llm.common import stash, sweep
 from lanespan.llm.decontam import drop_contaminated
 from lanespan.llm.exact_dedup import drop_copies
-from lanespan.llm.mixing import mix
+from lanespan.llm.mixing import sampled
 from lanespan.llm.ngram_join import drop_near_copies
 from lanespan.llm.toxicity import drop_toxic
 
@@ -42,9 +42,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
+    """The mix: doc_id, source, copy, n_words and text of all that is taken; documents of which nothing is taken go."""
     sweep(spark, docs)
-    return mix(docs)
+    return sampled(docs)
 
 
 STAGES = [
