@@ -27,18 +27,67 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Own templates by label. A text may match several.
+# Wordings of licenses, with regions that may be left out or replaced. A text may match several.
 TEMPLATES = {
     "mit": [
         "<<optional>>licensed<</optional>> <<optional>>released<</optional>> under the <<optional>>terms of the<</optional>> mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this <<var:1-4>> and associated documentation files",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this <<var:1-4>> and associated documentation
+        files (the <<var:1-4>>), to deal in the <<var:1-4>> without restriction, including without limitation the rights to use, copy,
+        modify, merge, publish, distribute, sublicense, and/or sell copies of the <<var:1-4>>, and to permit persons to whom the
+        <<var:1-4>> is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
+        <<optional>>(including the next paragraph)<</optional>> shall be included in all copies or substantial portions of the <<var:1-4>>.
+        THE <<var:1-4>> IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var:1-12>> BE LIABLE FOR
+        ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+        CONNECTION WITH THE <<var:1-4>> OR THE USE OR OTHER DEALINGS IN THE <<var:1-4>>""",
+    ],
+    "apache-2": [
+        "licensed under the apache license <<optional>>version<</optional>> 2 <<optional>>0<</optional>>",
+        "apache license version <<var:0-1|v>> 2",
+        """Licensed under the Apache License, Version 2.0 (the <<var:1-3>>); you may not use <<var:1-4>> except in compliance with the License.
+        You may obtain a copy of the License at <<optional>>http<</optional>> <<optional>>https<</optional>> www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+        BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+        governing permissions and limitations under the License""",
     ],
-    "apache-2": ["licensed under the apache license <<optional>>version<</optional>> 2 <<optional>>0<</optional>>", "apache license version <<var:0-1|v>> 2"],
     "cc-by-nc": ["<<optional>>licensed under<</optional>> cc by nc <<optional>>4 0<</optional>>", "creative commons attribution noncommercial <<var:1-2>> <<optional>>international<</optional>> license"],
-    "gpl-3": ["gnu general public license <<optional>>as published by the free software foundation<</optional>> <<var:0-2|either>> version 3"],
-    "gpl-2": ["gnu general public license <<optional>>as published by the free software foundation<</optional>> <<var:0-2|either>> version 2"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "mpl-2": ["mozilla public license <<optional>>version<</optional>> <<optional>>v<</optional>> 2 0"],
+    "gpl-3": [
+        "gnu general public license <<optional>>as published by the free software foundation<</optional>> <<var:0-2|either>> version 3",
+        """is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the
+        Free Software Foundation, either version 3 of the License, or (at your option) any later version""",
+    ],
+    "gpl-2": [
+        "gnu general public license <<optional>>as published by the free software foundation<</optional>> <<var:0-2|either>> version 2",
+        """is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the
+        Free Software Foundation; either version 2 of the License, or (at your option) any later version""",
+    ],
+    "bsd": [
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+        are met: <<optional>>1.<</optional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer. <<optional>>2.<</optional>> Redistributions in binary form must reproduce the above copyright notice, this list of
+        conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        <<optional>><<optional>>3.<</optional>> Neither the name of <<var:1-12>> nor the names of its contributors may be used to endorse or promote products
+        derived from this software without specific prior written permission.<</optional>> THIS SOFTWARE IS PROVIDED BY <<var:1-12>> "AS IS" AND ANY EXPRESS OR
+        IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+        ARE DISCLAIMED""",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    ],
+    "isc": [
+        """Permission to use, copy, modify, and<<optional>>/or<</optional>> distribute this software for any purpose with or without fee is hereby granted, provided
+        that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var:1-8>>
+        DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE""",
+    ],
+    "zlib": [
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+        arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+        applications, and to alter it and redistribute it freely, subject to the following restrictions""",
+    ],
+    "unlicense": ["This is free and unencumbered software released into the public domain"],
+    "mpl-2": [
+        "mozilla public license <<optional>>version<</optional>> <<optional>>v<</optional>> 2 0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
+        this file, You can obtain one at <<optional>>http<</optional>> <<optional>>https<</optional>> mozilla.org/MPL/2.0""",
+    ],
 }
 
 MARKUP = re.compile(r"<<(/?optional|var:\d+-\d+(?:\|[^>]*)?)>>")
