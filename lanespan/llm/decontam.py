@@ -46,7 +46,8 @@ def windows_of(items: DataFrame, size: int = SIZE, id_col: str = "item_id", text
 def postings_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, mark, pos, term: a row for each word. mark is a hash of the text, as ids may repeat; positions follow each other."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), F.posexplode(F.split(text, BREAK)).alias("pos", "w")).where("w <> ''")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))  # before the words, or each of them would hash its text
+    words = rows.select("doc_id", "mark", F.posexplode(F.split("text", BREAK)).alias("pos", "w")).where("w <> ''")
     low = F.lower("w")
     # Most words are small already, and most others plain ASCII, where lower() does just what is wanted.
     term = F.when(low == F.col("w"), F.col("w")).when(F.octet_length("w") == F.length("w"), low).otherwise(lowered(F.col("w")))
