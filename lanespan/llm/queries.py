@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lanespan.llm import chat_format, decontam, exact_dedup, license_scan, lm_score, mixing, ngram_join, substring_dedup, token_counts, toxicity
+from lanespan.llm import chat_format, decontam, exact_dedup, hard_negatives, license_scan, lm_score, mixing, ngram_join, simhash, substring_dedup, token_alignment, token_counts, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_license_scan": license_scan.query,
     "op9_lm_score": lm_score.query,
     "op10_decontam": decontam.query,
+    "op11_token_alignment": token_alignment.query,
+    "op12_hard_negatives": hard_negatives.query,
+    "op13_simhash": simhash.query,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,5 @@ ORACLE_SQL = {
     "op3_mixing": mixing.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op10_decontam": decontam.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
