@@ -7,7 +7,7 @@ import sqlite3
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanespan.functions import kernels as K
@@ -85,14 +85,26 @@ def _(spark, d):
     return spark.createDataFrame([(x,) for x in [*found, *L.missing_tables(path, ("StringIds", "OTHER"))]], "missing string")
 
 
-def trace_file(spark, d) -> str:
-    """Each nation launches a kernel from an operator within two frames; every fifth kernel has no launch, every third launch no operator."""
+def trace_files(events: DataFrame, file: str, order: str) -> str:
+    """Path of trace-event files, one for each value of file, with the structs `event` in order, a line each."""
+    path = f"{folder(events.sparkSession)}/{uuid.uuid4().hex}"
+    first = F.lag(F.lit(1)).over(Window.partitionBy(file).orderBy(order)).isNull()
+    lines = events.select(file, F.lit(1).alias("part"), F.col(order).alias("ord"), F.concat(F.when(first, " ").otherwise(","), F.to_json("event")).alias("value"))
+    ends = events.select(file).distinct()
+    for part, text in ((0, '{"name": "a \\"traceEvents\\": [ b", "devices": [{"id": 0}], "traceEvents": ['), (2, '], "after": [{"ph": "X"}]}')):
+        lines = lines.unionByName(ends.select(file, F.lit(part).alias("part"), F.lit(0).cast("long").alias("ord"), F.lit(text).alias("value")))
+    lines.repartition(F.col(file)).sortWithinPartitions(file, "part", "ord").select(file, "value").write.partitionBy(file).text(path)
+    return path
+
+
+def launches(spark, d) -> str:
+    """Each nation launches a kernel from an operator within two frames, in a file for each region; every fifth kernel has no launch, every third launch no operator."""
     k = F.col("n_nationkey")
     t = (k * 1000).cast("double")
     none = F.create_map().cast("map<string,string>")
     text = lambda c: c.cast("string")
     args = lambda **kv: F.map_from_arrays(F.array(*[F.lit(x.replace("_", " ")) for x in kv]), F.array(*kv.values()))
-    event = lambda o, cat, name, ts, dur, a: F.struct((k * 10 + o).alias("ord"), F.lit("X").alias("ph"), F.lit(cat).alias("cat"), name.alias("name"), ts.alias("ts"), F.lit(float(dur)).alias("dur"), F.lit("1").alias("pid"), F.lit("7").alias("tid"), a.alias("args"))
+    event = lambda o, cat, name, ts, dur, a: F.struct((k * 10 + o).alias("ord"), F.struct(F.lit("X").alias("ph"), F.lit(cat).alias("cat"), name.alias("name"), ts.alias("ts"), F.lit(float(dur)).alias("dur"), F.lit("1").alias("pid"), F.lit("7").alias("tid"), a.alias("args")).alias("event"))
     rows = [
         event(0, "python_function", F.lit("top.py(1): main"), t, 900, args(Python_id=text(k * 2 + 1000))),
         event(1, "python_function", F.concat(F.lit("m.py(2): "), "n_name"), t + 10, 800, args(Python_id=text(k * 2 + 1001), Python_parent_id=text(k * 2 + 1000))),
@@ -100,8 +112,8 @@ def trace_file(spark, d) -> str:
         event(3, "cuda_runtime", F.lit("cudaLaunchKernel"), t + 30, 5, F.when(k % 5 == 0, none).otherwise(args(correlation=text(k + 1), External_id=text(k + 500)))),
         event(4, "kernel", F.concat(F.lit("k_"), "n_name"), t + 500, 20, args(correlation=text(k + 1))),
     ]
-    x = load(spark, d, "nation").select(F.explode(F.array(*rows)).alias("e")).agg(F.array_sort(F.collect_list("e"), lambda a, b: a["ord"] - b["ord"]).alias("e"))  # 125 events
-    return written(x.select(F.to_json(F.struct(F.transform("e", lambda e: e.dropFields("ord")).alias("traceEvents"))).alias("value")))
+    x = load(spark, d, "nation").select(F.col("n_regionkey").alias("file"), F.explode(F.array(*rows)).alias("e")).select("file", "e.ord", "e.event")
+    return trace_files(x, "file", "ord")
 
 
 @query(
@@ -110,17 +122,30 @@ def trace_file(spark, d) -> str:
   CASE WHEN n_nationkey % 5 <> 0 THEN 'top.py(1): main -> m.py(2): ' || n_name ELSE '' END AS path FROM nation""",
 )
 def _(spark, d):
-    ev = J.events(spark, trace_file(spark, d))
-    return J.call_paths(ev).withColumn("path", F.array_join("path", " -> ")).drop("kernel_idx")
+    ev = J.events(spark, launches(spark, d), split=512)
+    return J.call_paths(ev).withColumn("path", F.array_join("path", " -> ")).drop("kernel_idx", "file")
 
 
 @query("trace_classes", "SELECT 'cpu' AS class, 25 AS n, 16 AS with_external UNION ALL SELECT 'frame', 50, 0 UNION ALL SELECT 'kernel', 25, 0 UNION ALL SELECT 'runtime', 25, 20")
 def _(spark, d):
-    c = J.classified(J.events(spark, trace_file(spark, d)))
+    c = J.classified(J.events(spark, launches(spark, d), split=512))
     count = lambda n, df: df.agg(F.lit(n).alias("class"), F.count(F.lit(1)).alias("n"), F.count(df["external"] if "external" in df.columns else F.lit(None)).alias("with_external"))
     return C.all_of(*[count(n, df) for n, df in c.items()])
 
 
+@query(
+    "trace_ranges",
+    """SELECT CAST(o_orderkey % 8 AS VARCHAR) AS file, o_orderpriority || ' {"[\\' AS name, count(*) AS n, CAST(sum(o_custkey) AS DOUBLE) AS dur, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1, 2""",
+)
+def _(spark, d):
+    o = F.col("o_orderkey")
+    args = F.create_map(F.lit('a "{'), F.lit("]}"), F.lit("key"), o.cast("string"))
+    event = F.struct(F.lit("X").alias("ph"), F.lit("kernel").alias("cat"), F.concat("o_orderpriority", F.lit(' {"[\\')).alias("name"), o.cast("double").alias("ts"), F.col("o_custkey").cast("double").alias("dur"), args.alias("args"))
+    path = trace_files(load(spark, d, "orders").select((o % 8).alias("file"), o.alias("ord"), event.alias("event")), "file", "ord")
+    ev = J.events(spark, path, split=256 << 10).withColumn("key", F.element_at("args", "key").cast("long"))
+    return ev.groupBy(F.regexp_extract("file", r"file=(\d+)", 1).alias("file"), "name").agg(F.count(F.lit(1)).alias("n"), F.sum("dur").alias("dur"), F.min_by("key", "idx").alias("first"), F.max_by("key", "idx").alias("last"))
+
+
 @query(
     "origin_window",
     f"""WITH {IV}, n AS (SELECT device, s, e, stream AS name, row_number() OVER (PARTITION BY device ORDER BY s, e, stream) - 1 AS idx FROM iv),

@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanespan.operators.joins import ancestors, innermost
+from lanespan.sources.ranges import SPLIT, event_texts
 
 EVENT = "struct<ph:string,cat:string,name:string,ts:double,dur:double,pid:string,tid:string,args:map<string,string>>"
 
 
-def events(spark: SparkSession, path: str) -> DataFrame:
-    """Events of files that hold a list of events, or an object with traceEvents; gzip by suffix. idx keeps the file's order."""
-    text = spark.read.text(path, wholetext=True)
-    rooted = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{EVENT}>")).otherwise(F.from_json("value", f"struct<traceEvents:array<{EVENT}>>")["traceEvents"])
-    return text.select(F.posexplode(rooted).alias("idx", "e")).select("idx", "e.*")
+def events(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """Events of files that hold a list of events, or an object with traceEvents, plain or gzip, cut into ranges of `split` bytes. file and idx (where the event begins) keep their order."""
+    return event_texts(spark, path, split).select("file", "idx", F.from_json("value", EVENT).alias("e")).select("file", "idx", "e.*")
 
 
 def args(*names: str):
@@ -41,27 +40,29 @@ def classified(ev: DataFrame) -> dict[str, DataFrame]:
 
 
 def call_paths(ev: DataFrame) -> DataFrame:
-    """kernel, s, dur_us, tid, op, path: each kernel with its launch by correlation (the last of equal ones), the operator by external id, and the frames open at the launch, outermost first.
+    """file, kernel, s, dur_us, tid, op, path: each kernel with its launch by correlation (the last of equal ones), the operator by external id, and the frames open at the launch, outermost first.
 
-    A kernel without a launch keeps null op and an empty path. Frames nest, so the innermost is the shortest that holds the time.
+    Ids hold within a file. A kernel without a launch keeps null op and an empty path. Frames nest, so the innermost is the shortest that holds the time.
     """
     c = classified(ev)
-    last = lambda df, key: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct("idx", "tid", "s", "e", "name", *(["external"] if "external" in df.columns else []))).alias("x"))
-    launch = last(c["runtime"], "correlation").select("correlation", F.col("x.tid").alias("l_tid"), F.col("x.s").alias("at"), F.col("x.external").alias("external"))
-    op = last(c["cpu"], "external").select("external", F.col("x.name").alias("op"))
-    k = c["kernel"].select(F.col("idx").alias("kernel_idx"), F.col("name").alias("kernel"), "s", (F.col("e") - F.col("s")).alias("dur_ns"), "correlation")
-    k = k.join(launch, "correlation", "left").join(op, "external", "left")
-    frames = c["frame"].select(F.col("tid").alias("l_tid"), F.col("idx").alias("fid"), "s", "e")
-    got = innermost(k.where("at is not null").select("kernel_idx", "l_tid", "at"), frames, ["l_tid"], "at", "fid", cell=100_000_000)
-    own = c["frame"].select(F.col("idx").alias("frame"), F.col("frame").alias("pyid"), "parent", F.col("name").alias("label"))
+    last = lambda df, key: df.where(F.col(key).isNotNull()).groupBy("file", key).agg(F.max(F.struct("idx", "tid", "s", "e", "name", *(["external"] if "external" in df.columns else []))).alias("x"))
+    launch = last(c["runtime"], "correlation").select("file", "correlation", F.col("x.tid").alias("l_tid"), F.col("x.s").alias("at"), F.col("x.external").alias("external"))
+    op = last(c["cpu"], "external").select("file", "external", F.col("x.name").alias("op"))
+    k = c["kernel"].select("file", F.col("idx").alias("kernel_idx"), F.col("name").alias("kernel"), "s", (F.col("e") - F.col("s")).alias("dur_ns"), "correlation")
+    k = k.join(launch, ["file", "correlation"], "left").join(op, ["file", "external"], "left")
+    frames = c["frame"].select("file", F.col("tid").alias("l_tid"), F.col("idx").alias("fid"), "s", "e")
+    got = innermost(k.where("at is not null").select("kernel_idx", "file", "l_tid", "at"), frames, ["file", "l_tid"], "at", "fid")
+    pyid = F.when(F.col("frame").isNotNull(), F.struct("file", F.col("frame").alias("id")))
+    parent = F.when(F.col("parent").isNotNull(), F.struct("file", F.col("parent").alias("id")))
+    own = c["frame"].select("file", F.col("idx").alias("frame"), pyid.alias("pyid"), parent.alias("parent"), F.col("name").alias("label"))
     # Only frames in which something is launched are walked, and their ancestors by id.
     ids = own.where("pyid is not null").groupBy("pyid").agg(F.min(F.struct("frame", "parent", "label")).alias("x")).select("pyid", "x.parent", "x.label")
     walk = ancestors(ids, "pyid", "parent")
     labelled = walk.select(F.col("node").alias("pyid"), F.posexplode("path").alias("p", "one")).join(ids.select(F.col("pyid").alias("one"), "label"), "one")
     paths = labelled.groupBy("pyid").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "label"))), lambda x: x["label"]).alias("path"))
-    at = got.join(own.select("frame", "pyid"), "frame", "left").join(paths, "pyid", "left").select("kernel_idx", "path")
-    out = k.join(at, "kernel_idx", "left")
-    return out.select("kernel_idx", "kernel", "s", (F.col("dur_ns") / 1000.0).alias("dur_us"), F.col("l_tid").alias("tid"), "op", F.coalesce("path", F.array().cast("array<string>")).alias("path"))
+    at = got.join(own.select("file", "frame", "pyid"), ["file", "frame"], "left").join(paths, "pyid", "left").select("file", "kernel_idx", "path")
+    out = k.join(at, ["file", "kernel_idx"], "left")
+    return out.select("file", "kernel_idx", "kernel", "s", (F.col("dur_ns") / 1000.0).alias("dur_us"), F.col("l_tid").alias("tid"), "op", F.coalesce("path", F.array().cast("array<string>")).alias("path"))
 
 
 def call_tree(paths: DataFrame) -> DataFrame:
