@@ -1,59 +1,41 @@
-"""Streaming variants over files of events: sessions, idle lanes, and running union length."""
+"""Streams over events that arrive in batches: sessions and busy time of lanes."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from lanespan.sources.scratch import folder
-
-EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+from lanespan.sources.tables import intervals
+from lanespan.streaming.stateful import arrivals, busy_stretches, drained, with_end
 
+HOUR = 3_600_000_000
+BATCHES = 4
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all files that are there, into a table of the shared folder, and read that."""
-    spark = stream.sparkSession
-    root = f"{folder(spark)}/{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/{name}").option("checkpointLocation", f"{root}/{name}-state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/{name}")
 
+def arriving(spark: SparkSession, sf_dir: str, late: int, batches: int = BATCHES) -> tuple[DataFrame, int]:
+    """device, stream, id, s, e, ts, batch: the interval view as it arrives, each interval late by less than `late` microseconds, and the number of batches. The last is an end that is no interval."""
+    iv = intervals(spark, sf_dir)
+    at = F.col("s") + F.pmod(F.xxhash64("id"), F.lit(late))
+    span = iv.agg(F.min("s").alias("lo"), (F.max("s") + late).alias("hi")).first()
+    width = max(1, -(-(span.hi - span.lo) // batches)) if span.lo is not None else 1
+    rows = iv.withColumn("batch", F.expr("0") if span.lo is None else ((at - span.lo) / width).cast("int"))
+    return with_end(rows.select(F.col("device").alias("lane"), "s", "e", "batch"), "batch", batches, "lane")
 
-def session_windows(spark: SparkSession, sf_dir: str, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
-    """user_id, session_start, session_end (last event plus the gap), n of all sessions, those too that are open when the input is drained."""
-    ev = event_stream(spark, sf_dir).withWatermark("ts", late)
-    s = ev.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    s = s.select("user_id", F.unix_micros("w.start").alias("session_start"), F.unix_micros("w.end").alias("session_end"), "n")
-    root = f"{folder(spark)}/{uuid.uuid4().hex}"
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/sessions")  # noqa: E731  the complete result each time
-    s.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(s.schema).parquet(f"{root}/sessions")
 
+def sessions(stream: DataFrame, gap: str, late: str) -> DataFrame:
+    """lane, session_start, session_end (last event plus the gap), n as a stream: sessions come, and leave the state, when the watermark is beyond their end."""
+    s = stream.withWatermark("ts", late).groupBy("lane", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return s.select("lane", F.unix_micros("w.start").alias("session_start"), F.unix_micros("w.end").alias("session_end"), "n")
 
-def running_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, busy, upto: union length of each lane so far, kept as state (end and length) across batches; intervals that begin before the state's end add only what is new."""
 
-    def advance(key, batches, state: GroupState):
-        import pandas as pd
+def session_windows(spark: SparkSession, sf_dir: str, gap: str = "6 hours", late: int = HOUR) -> DataFrame:
+    """user_id, session_start, session_end, n of all sessions of the events as they arrive."""
+    rows, n = arriving(spark, sf_dir, late)
+    out = drained(sessions(arrivals(rows, "batch", n), gap, f"{late} microseconds"))
+    return out.where("lane >= 0").withColumnRenamed("lane", "user_id")
 
-        busy, end = state.get if state.exists else (0, -(1 << 62))
-        for b in batches:
-            for s, e in sorted(zip(b["s"], b["e"], strict=True)):
-                busy += max(0, e - max(s, end))
-                end = max(end, e)
-        state.update((int(busy), int(end)))
-        yield pd.DataFrame({"user_id": [key[0]], "busy": [int(busy)], "upto": [int(end)]})
 
-    ev = event_stream(spark, sf_dir)
-    iv = ev.select("user_id", F.unix_micros("ts").alias("s"), (F.unix_micros("ts") + F.round(F.col("value") * 60_000_000).cast("long")).alias("e"))
-    out = iv.groupBy("user_id").applyInPandasWithState(advance, "user_id long, busy long, upto long", "busy long, upto long", "append", GroupStateTimeout.NoTimeout)
-    return drained(out, "union")
+def running_union(spark: SparkSession, sf_dir: str, late: int = HOUR) -> DataFrame:
+    """lane, s, e, n, busy: the stretches in which a lane is busy, as they close; intervals that come late fill their holes."""
+    rows, n = arriving(spark, sf_dir, late)
+    return drained(busy_stretches(arrivals(rows, "batch", n), f"{late} microseconds"))
