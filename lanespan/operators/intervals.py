@@ -1,8 +1,11 @@
 """Interval algebra on half-open intervals [s, e) of integers.
 
-Lanes (the keys) may be skewed, so nothing here puts all intervals of a lane into one window: intervals are merged
+Lanes (the keys) may be skewed, so nothing here puts all intervals of a crowded lane into one window: intervals are merged
 within (lane, cell), a cell being a stretch of time, and a lane's cells are ordered with one row each, to hand on how far
-the intervals before reach.
+the intervals before reach. A cell's length comes from the data, so it does not matter in which unit times are.
+
+Joins place each interval by its length: an interval of a level lies in one or two nodes of that level, and what is shorter looks
+there too. So an interval costs a few rows however long it is, and meets nothing that is far away.
 """
 
 from __future__ import annotations
@@ -10,8 +13,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY = 86_400_000_000
-HOUR = DAY // 24
+from lanespan.sources.scratch import cut
+
+#: Rows of a cell where a lane is most crowded; lanes of fewer rows are one cell.
+ROWS = 50_000
+#: The cell of lanes that are small by nature.
+WHOLE = 1 << 62
+#: Bits from a level's node length to the next level's.
+STEP = 4
+
+
+def cell_of(df: DataFrame, keys: list[str], at: str) -> int | float:
+    """Length of a cell of `at` that holds about ROWS rows in the most crowded lane; WHOLE where no lane has as many."""
+    lanes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max(at) - F.min(at)).cast("double").alias("span")).where(F.col("n") > ROWS)
+    cell = lanes.agg(F.min(F.col("span") * ROWS / F.col("n"))).first()[0]
+    return WHOLE if cell is None else max(1, int(cell))
+
+
+def level(length: Column) -> Column:
+    """Bits of the nodes in which an interval of that length lies: the node is at least as long, so it lies in two at most."""
+    bits = F.when(length <= 1, 0).otherwise(F.length(F.bin(length - 1)))
+    return (F.ceil(bits / STEP) * STEP).cast("int")
+
+
+def levels_to(longest: int) -> list[int]:
+    return list(range(0, -(-max(0, int(longest) - 1).bit_length() // STEP) * STEP + 1, STEP))
+
+
+def node(at: str, bits: str) -> Column:
+    return F.call_function("shiftright", F.col(at).cast("long"), F.col(bits))
+
+
+def own_nodes(df: DataFrame, s: str = "s", e: str = "e") -> DataFrame:
+    """df with __bits and __node: the nodes of its own level in which [s, e) lies."""
+    x = df.withColumn("__bits", level(F.col(e) - F.col(s)))
+    return x.withColumn("__last", F.col(e) - 1).withColumn("__node", F.explode(F.sequence(node(s, "__bits"), node("__last", "__bits")))).drop("__last")
+
+
+def point_nodes(df: DataFrame, at: str, levels: list[int]) -> DataFrame:
+    """df with __bits and __node: the node of each level that holds `at`."""
+    return df.withColumn("__bits", F.explode(F.array(*map(F.lit, levels)))).withColumn("__node", node(at, "__bits"))
 
 
 def _merge(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,9 +64,12 @@ def _merge(df: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*keys, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("n").alias("n"), F.sum("busy").alias("busy")).drop("island")
 
 
-def islands(df: DataFrame, keys: list[str], cell: int = DAY) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], cell: int | None = None) -> DataFrame:
     """keys, s, e, n, busy: the maximal busy stretches of each lane, how many intervals they hold, and their lengths' sum. Empty intervals are left out."""
     rows = df.where("e > s").select(*keys, "s", "e", F.lit(1).cast("long").alias("n"), (F.col("e") - F.col("s")).alias("busy"))
+    cell = cell or cell_of(rows, keys, "s")
+    if cell == WHOLE:
+        return _merge(rows, keys).select(*keys, "s", "e", "n", "busy")
     parts = _merge(rows.withColumn("__cell", F.floor(F.col("s") / cell)), [*keys, "__cell"])
     by = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     reach = parts.groupBy(*keys, "__cell").agg(F.max("e").alias("__end"), F.min("s").alias("__first")).withColumn("__reach", F.max("__end").over(by))
@@ -37,7 +81,7 @@ def islands(df: DataFrame, keys: list[str], cell: int = DAY) -> DataFrame:
     return tied.groupBy(*keys, "__at").agg(F.max("e").alias("e"), F.sum("n").alias("n"), F.sum("busy").alias("busy")).select(*keys, F.col("__at").alias("s"), "e", "n", "busy")
 
 
-def union_length(df: DataFrame, keys: list[str], cell: int = DAY) -> DataFrame:
+def union_length(df: DataFrame, keys: list[str], cell: int | None = None) -> DataFrame:
     """keys, busy_sum, busy_union, wall."""
     merged = islands(df, keys, cell)
     return merged.groupBy(*keys).agg(F.sum("busy").alias("busy_sum"), F.sum(F.col("e") - F.col("s")).alias("busy_union"), (F.max("e") - F.min("s")).alias("wall"))
@@ -48,17 +92,18 @@ def clip(df: DataFrame, lo: Column, hi: Column) -> DataFrame:
     return df.where((F.col("e") > lo) & (F.col("s") < hi)).withColumns({"s": F.greatest("s", lo), "e": F.least("e", hi)})
 
 
-def holes(df: DataFrame, keys: list[str], cell: int = DAY) -> DataFrame:
+def holes(df: DataFrame, keys: list[str], cell: int | None = None) -> DataFrame:
     """keys, hole_start, hole_end: what lies idle between the busy stretches of a lane."""
+    cell = cell or cell_of(df, keys, "s")
     rows = islands(df, keys, cell).withColumn("__cell", F.floor(F.col("s") / cell))
     first = rows.groupBy(*keys, "__cell").agg(F.min("s").alias("__s")).withColumn("__then", F.lead("__s").over(Window.partitionBy(*keys).orderBy("__cell")))
     rows = rows.withColumn("__next", F.lead("s").over(Window.partitionBy(*keys, "__cell").orderBy("s"))).join(first.select(*keys, "__cell", "__then"), [*keys, "__cell"])
     return rows.select(*keys, F.col("e").alias("hole_start"), F.coalesce("__next", "__then").alias("hole_end")).where("hole_end is not null")
 
 
-def holes_in(df: DataFrame, windows: DataFrame, keys: list[str], cell: int = DAY) -> DataFrame:
+def holes_in(df: DataFrame, windows: DataFrame, keys: list[str], cell: int | None = None) -> DataFrame:
     """keys, a, b, hole_start, hole_end: idle parts of each window [a, b), head and tail included; all of it if nothing is in it."""
-    busy = overlap_join(windows.withColumnsRenamed({"a": "s", "b": "e"}), islands(df, keys, cell), keys, cell)
+    busy = overlap_join(windows.withColumnsRenamed({"a": "s", "b": "e"}), islands(df, keys, cell), keys, max(span(df), span(windows, "a", "b")))
     busy = busy.select(*keys, F.col("s").alias("a"), F.col("e").alias("b"), F.greatest("s", "s2").alias("s"), F.least("e", "e2").alias("e"))
     ends = windows.select(*keys, "a", "b", F.col("b").alias("s"), F.col("b").alias("e"))
     w = Window.partitionBy(*keys, "a", "b").orderBy("s", "e")
@@ -66,43 +111,65 @@ def holes_in(df: DataFrame, windows: DataFrame, keys: list[str], cell: int = DAY
     return out.where("s > hole_start").select(*keys, "a", "b", "hole_start", F.col("s").alias("hole_end"))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], cell: int = HOUR) -> DataFrame:
+def span(df: DataFrame, s: str = "s", e: str = "e") -> int:
+    """From the first begin to the last end: no busy stretch of df is longer."""
+    return df.agg(F.max(e) - F.min(s)).first()[0] or 0
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], longest: int | None = None) -> DataFrame:
     """left's columns, s2, e2 and right's other columns for each pair of overlapping intervals of the same keys.
 
-    Both sides are dealt to the cells they touch and joined by keys and cell; a pair counts in the first cell that both touch.
+    A pair meets at the level of the longer of the two, where the shorter one lies in two nodes at most as well, and counts in
+    the node that holds the later begin. longest: no interval of either side is longer; looked up if it is not given.
     """
     others = {c: f"{c}2" for c in right.columns if c not in keys}
-    r = right.where("e > s").withColumnsRenamed(others).withColumn("__cell", F.explode(F.expr(f"sequence(s2 div {cell}, (e2 - 1) div {cell})")))
-    x = left.where("e > s").withColumn("__cell", F.explode(F.expr(f"sequence(s div {cell}, (e - 1) div {cell})")))
-    pairs = x.join(r, [*keys, "__cell"]).where((F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")))
-    return pairs.where(F.col("__cell") == F.greatest(F.expr(f"s div {cell}"), F.expr(f"s2 div {cell}"))).drop("__cell")
+    if longest is None:
+        longest = max(x.agg(F.max(F.col("e") - F.col("s"))).first()[0] or 0 for x in (left, right))
+    known = levels_to(longest)
+    levels = F.array(*map(F.lit, known))
+
+    def own(length: Column) -> Column:
+        return F.when(level(length) <= known[-1], level(length)).otherwise(F.raise_error(F.lit(f"an interval is longer than {longest}")).cast("int"))
+
+    def placed(df: DataFrame, s: str, e: str, mine: int) -> DataFrame:
+        """Rows for its own level and the ones above. Side 0 has its own under tag 0 and the others under tag 1; side 1 has all under tag 0 and its own under tag 1, so that one of a pair is at its own level."""
+        x = df.where(F.col(e) > F.col(s)).withColumn("__own", own(F.col(e) - F.col(s))).withColumn("__bits", F.explode(F.filter(levels, lambda b: b >= F.col("__own"))))
+        home = F.col("__bits") == F.col("__own")
+        tags = F.when(home, F.array(F.lit(0))).otherwise(F.array(F.lit(1))) if mine == 0 else F.when(home, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        x = x.withColumn("__tag", F.explode(tags)).withColumn("__last", F.col(e) - 1)
+        return x.withColumn("__node", F.explode(F.sequence(node(s, "__bits"), node("__last", "__bits")))).drop("__own", "__last")
+
+    at = [*keys, "__bits", "__tag", "__node"]
+    pairs = placed(left, "s", "e", 0).join(placed(right.withColumnsRenamed(others), "s2", "e2", 1), at).where((F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")))
+    later = F.call_function("shiftright", F.greatest("s", "s2"), F.col("__bits"))
+    return pairs.where(F.col("__node") == later).drop("__bits", "__tag", "__node")
 
 
-def covered(regions: DataFrame, df: DataFrame, keys: list[str], ids: list[str], cell: int = HOUR) -> DataFrame:
+def covered(regions: DataFrame, df: DataFrame, keys: list[str], ids: list[str], cell: int | None = None) -> DataFrame:
     """ids, covered: how much of each region [s, e) the union of the intervals of its keys covers; 0 where nothing does."""
-    both = overlap_join(regions, islands(df, keys), keys, cell)
+    both = overlap_join(regions, islands(df, keys, cell), keys, max(span(regions), span(df)))
     part = both.groupBy(*ids).agg(F.sum(F.least("e", "e2") - F.greatest("s", "s2")).alias("covered"))
     return regions.join(part, ids, "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
 
 
-def concurrency(df: DataFrame, lane: str = "device", stream: str = "stream", cell: int = HOUR) -> DataFrame:
+def concurrency(df: DataFrame, lane: str = "device", stream: str = "stream", cell: int | None = None) -> DataFrame:
     """df with ratio: the part of an interval's time during which other streams of its lane are busy."""
-    other = islands(df, [lane, stream]).select(lane, F.col(stream).alias("other"), "s", "e")
-    both = overlap_join(df.select(lane, stream, "id", "s", "e"), other, [lane], cell).where(F.col(stream) != F.col("other2"))
+    other = islands(df, [lane, stream], cell).select(lane, F.col(stream).alias("other"), "s", "e")
+    both = overlap_join(df.select(lane, stream, "id", "s", "e"), other, [lane], span(df)).where(F.col(stream) != F.col("other2"))
     parts = both.select("id", F.greatest("s", "s2").alias("s"), F.least("e", "e2").alias("e"))
-    time = islands(parts, ["id"]).groupBy("id").agg(F.sum(F.col("e") - F.col("s")).alias("shared"))
+    time = islands(parts, ["id"], WHOLE).groupBy("id").agg(F.sum(F.col("e") - F.col("s")).alias("shared"))
     return df.join(time, "id", "left").withColumn("ratio", F.coalesce(F.col("shared") / (F.col("e") - F.col("s")), F.lit(0.0))).drop("shared")
 
 
-def touching(df: DataFrame, spans: DataFrame, keys: list[str], cell: int = HOUR) -> DataFrame:
+def touching(df: DataFrame, spans: DataFrame, keys: list[str], cell: int | None = None) -> DataFrame:
     """The rows of df that overlap some span of the same keys."""
-    return overlap_join(df, islands(spans, keys), keys, cell).select(*df.columns).distinct()
+    return overlap_join(df, islands(spans, keys, cell), keys, max(span(df), span(spans))).select(*df.columns).distinct()
 
 
 def wide_gaps(df: DataFrame, spans: DataFrame, keys: list[str], threshold: int) -> DataFrame:
     """Holes wider than threshold that touch no span; a hole that a span touches goes as a whole."""
     wide = holes(df, keys).where(F.col("hole_end") - F.col("hole_start") > threshold)
-    wide = wide.withColumnsRenamed({"hole_start": "s", "hole_end": "e"})
+    wide = cut(wide.withColumnsRenamed({"hole_start": "s", "hole_end": "e"}))
     free = wide.join(touching(wide, spans, keys), [*keys, "s", "e"], "left_anti")
     return free.withColumnsRenamed({"s": "hole_start", "e": "hole_end"})
 

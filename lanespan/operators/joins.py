@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanespan.operators.intervals import DAY, HOUR
+from lanespan.operators.intervals import cell_of, level, levels_to, own_nodes, point_nodes
 from lanespan.sources.scratch import cut
 
 
-def asof(probes: DataFrame, events: DataFrame, key: str, at: str, payload: list[str], cell: int = DAY) -> DataFrame:
+def asof(probes: DataFrame, events: DataFrame, key: str, at: str, payload: list[str], cell: int | None = None) -> DataFrame:
     """probes with the payload of the last event of the same key at or before them (null if none), ties by payload.
 
     Both sides are ordered together within (key, cell of time); what a cell passes on to later ones is one row a cell, so
@@ -18,7 +18,8 @@ def asof(probes: DataFrame, events: DataFrame, key: str, at: str, payload: list[
     last = F.struct(F.col(at).alias("__t"), *payload)
     ev = events.select(key, at, last.alias("__ev"), F.lit(0).alias("__kind"))
     pr = probes.withColumn("__row", F.struct(*probes.columns)).select(key, at, F.col("__row"), F.lit(1).alias("__kind"))
-    both = ev.unionByName(pr, allowMissingColumns=True).withColumn("__cell", F.expr(f"`{at}` div {cell}"))
+    both = ev.unionByName(pr, allowMissingColumns=True)
+    both = both.withColumn("__cell", F.floor(F.col(at) / (cell or cell_of(both, [key], at))))
     w = Window.partitionBy(key, "__cell").orderBy(at, "__kind", "__ev").rowsBetween(Window.unboundedPreceding, 0)
     near = both.withColumn("__near", F.last("__ev", True).over(w)).where("__kind = 1")
     ends = both.where("__kind = 0").groupBy(key, "__cell").agg(F.max("__ev").alias("__end"))
@@ -29,7 +30,7 @@ def asof(probes: DataFrame, events: DataFrame, key: str, at: str, payload: list[
     return out.select("__row.*", *[F.col(f"__got.{p}").alias(p) for p in payload])
 
 
-def nearest(probes: DataFrame, events: DataFrame, key: str, at: str, payload: str, cell: int = DAY) -> DataFrame:
+def nearest(probes: DataFrame, events: DataFrame, key: str, at: str, payload: str, cell: int | None = None) -> DataFrame:
     """probes with nearest and distance: the event of the same key that is closest in time, of equally close ones the smallest payload; nulls if the key has none.
 
     One pass over both sides: within (key, cell of time) each probe sees the last event up to it and the first after it, and
@@ -37,23 +38,34 @@ def nearest(probes: DataFrame, events: DataFrame, key: str, at: str, payload: st
     """
     ev = events.groupBy(key, at).agg(F.min(payload).alias("__p")).select(key, at, F.struct(F.col(at).alias("t"), F.col("__p").alias("p")).alias("__ev"), F.lit(0).alias("__kind"))
     pr = probes.withColumn("__row", F.struct(*probes.columns)).select(key, at, F.col("__row"), F.lit(1).alias("__kind"))
-    both = ev.unionByName(pr, allowMissingColumns=True).withColumn("__cell", F.floor(F.col(at) / cell))
+    both = ev.unionByName(pr, allowMissingColumns=True)
+    both = both.withColumn("__cell", F.floor(F.col(at) / (cell or cell_of(both, [key], at))))
     w = Window.partitionBy(key, "__cell").orderBy(at, "__kind")
-    upto, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
-    seen = both.withColumns({"__back": F.last("__ev", True).over(upto), "__ahead": F.first("__ev", True).over(after)})
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(key, "__cell").orderBy(F.desc(at), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumns({"__back": F.last("__ev", True).over(upto), "__ahead": F.last("__ev", True).over(after)})
     cells = both.groupBy(key, "__cell").agg(F.max("__ev").alias("__last"), F.min("__ev").alias("__first"))
-    by = Window.partitionBy(key).orderBy("__cell")
-    cells = cells.select(key, "__cell", F.last("__last", True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("__far_back"), F.first("__first", True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("__far_ahead"))
+    by, back = (Window.partitionBy(key).orderBy(x) for x in (F.asc("__cell"), F.desc("__cell")))
+    cells = cells.select(key, "__cell", F.last("__last", True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("__far_back"), F.last("__first", True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("__far_ahead"))
     out = seen.where("__kind = 1").join(cells, [key, "__cell"], "left")
     near = [F.when(x.isNotNull(), F.struct(F.abs(x["t"] - F.col(at)).alias("d"), x["p"].alias("p"))) for x in (F.coalesce("__back", "__far_back"), F.coalesce("__ahead", "__far_ahead"))]
     return out.withColumn("__x", F.least(*near)).select("__row.*", F.col("__x.p").alias("nearest"), F.col("__x.d").alias("distance"))
 
 
-def innermost(points: DataFrame, frames: DataFrame, keys: list[str], at: str, frame_id: str, cell: int = HOUR) -> DataFrame:
-    """points with the smallest frame [s, e) of the same keys that holds them, ties by id; null if none does."""
-    f = frames.where("e > s").select(*keys, F.col(frame_id).alias("__frame"), "s", "e").withColumn("__cell", F.explode(F.expr(f"sequence(s div {cell}, (e - 1) div {cell})")))
-    p = points.withColumn("__cell", F.expr(f"`{at}` div {cell}"))
-    held = p.join(f, [*keys, "__cell"]).where((F.col("s") <= F.col(at)) & (F.col(at) < F.col("e")))
+def levels_of(frames: DataFrame, s: str, e: str) -> list[int]:
+    """The levels at which frames [s, e) lie."""
+    got = frames.agg(F.min(F.col(e) - F.col(s)).alias("least"), F.max(F.col(e) - F.col(s)).alias("most")).select(level(F.col("least")).alias("least"), "most").first()
+    return [b for b in levels_to(got.most) if b >= got.least] if got.most is not None else []
+
+
+def innermost(points: DataFrame, frames: DataFrame, keys: list[str], at: str, frame_id: str) -> DataFrame:
+    """points with the smallest frame [s, e) of the same keys that holds them, ties by id; null if none does.
+
+    A frame lies in the one or two nodes of its length, and a point looks at each level that frames have.
+    """
+    f = frames.where("e > s").select(*keys, F.col(frame_id).alias("__frame"), "s", "e")
+    levels = levels_of(f, "s", "e") or [0]
+    held = point_nodes(points, at, levels).join(own_nodes(f), [*keys, "__bits", "__node"]).where((F.col("s") <= F.col(at)) & (F.col(at) < F.col("e")))
     best = held.groupBy(*points.columns).agg(F.min(F.struct((F.col("e") - F.col("s")).alias("d"), "__frame")).alias("x"))
     out = points.join(best, points.columns, "left")
     return out.select(*points.columns, F.col("x.__frame").alias("frame"), F.col("x.d").alias("frame_len"))
@@ -116,11 +128,11 @@ def ancestors(nodes: DataFrame, node: str, parent: str, most: int = 64) -> DataF
     return state.select("node", (F.size(path) - 1).cast("long").alias("depth"), path.alias("path"))
 
 
-def enclosing(points: DataFrame, frames: DataFrame, keys: list[str], frame_id: str, cell: int = HOUR, smallest: bool = True) -> DataFrame:
+def enclosing(points: DataFrame, frames: DataFrame, keys: list[str], frame_id: str, smallest: bool = True) -> DataFrame:
     """points (s, e and others) with frame: the smallest interval of the same keys that holds all of [s, e], else the smallest that holds s; ties by id, null if none does."""
-    f = frames.select(*keys, F.col(frame_id).alias("__frame"), F.col("s").alias("__s"), F.col("e").alias("__e")).withColumn("__cell", F.explode(F.expr(f"sequence(__s div {cell}, __e div {cell})")))
-    p = points.withColumn("__row", F.struct(*points.columns)).withColumn("__cell", F.expr(f"s div {cell}"))
-    held = p.join(f, [*keys, "__cell"]).where((F.col("__s") <= F.col("s")) & (F.col("s") <= F.col("__e")))
+    f = frames.select(*keys, F.col(frame_id).alias("__frame"), F.col("s").alias("__s"), F.col("e").alias("__e"), (F.col("e") + 1).alias("__end"))
+    p = point_nodes(points.withColumn("__row", F.struct(*points.columns)), "s", levels_of(f, "__s", "__end") or [0])
+    held = p.join(own_nodes(f, "__s", "__end"), [*keys, "__bits", "__node"]).where((F.col("__s") <= F.col("s")) & (F.col("s") <= F.col("__e")))
     length = (F.col("__e") - F.col("__s")) * (1 if smallest else -1)
     best = held.groupBy("__row").agg(F.min(F.struct((F.col("__e") < F.col("e")).alias("part"), length.alias("d"), "__frame")).alias("__x"))
     out = points.withColumn("__row", F.struct(*points.columns)).join(best, "__row", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lanespan.operators import segments as S
 from lanespan.operators.checks import all_of, check
+from lanespan.operators.intervals import cell_of
 
 FOOTER = "__layer_total__"
 
@@ -74,20 +75,24 @@ def checks(rows: DataFrame) -> DataFrame:
 
 def unit_windows(kernels: DataFrame, anchor: str, layers: int, confirm: str | None = None, within: int = 8) -> DataFrame:
     """device, unit, a, b: stretches from an anchor to the one `layers` later; with confirm only anchors that it follows within so many rows."""
-    w = Window.partitionBy("device").orderBy("s", "e", "name")
+    order = ["s", "e", "name"]
+    cell = cell_of(kernels, ["device"], "s")
     rows = kernels.withColumn("hit", F.col("name").contains(anchor))
     if confirm:
-        rows = rows.withColumn("hit", F.col("hit") & F.coalesce(F.max(F.col("name").contains(confirm).cast("int")).over(w.rowsBetween(1, within + 1)) == 1, F.lit(False)))
-    marks = rows.where("hit").withColumn("unit", F.row_number().over(w).cast("long") - 1).withColumn("b", F.lead("s", layers).over(w))
-    return marks.where("b is not null").select("device", "unit", F.col("s").alias("a"), "b")
+        rows = S.along(rows, ["device"], order, sums={"__i": F.lit(1).cast("long")}, cell=cell)
+        rows = S.along(rows, ["device"], order, nexts={"__near": F.when(F.col("name").contains(confirm), F.col("__i"))}, cell=cell)
+        rows = rows.withColumn("hit", F.col("hit") & F.coalesce(F.col("__near") - F.col("__i") <= within + 1, F.lit(False)))
+    marks = S.along(rows.where("hit").select("device", *order), ["device"], order, sums={"unit": F.lit(1).cast("long")}, cell=cell).withColumn("unit", F.col("unit") - 1)
+    ends = marks.select("device", (F.col("unit") - layers).alias("unit"), F.col("s").alias("b"))
+    return marks.select("device", "unit", F.col("s").alias("a")).join(ends, ["device", "unit"])
 
 
 def representative(kernels: DataFrame, windows: DataFrame, skip: int = 0) -> DataFrame:
     """device, unit, a, b, n of the window nearest to the median span among those with the most common number of kernels."""
-    from lanespan.operators.intervals import HOUR, overlap_join
+    from lanespan.operators.intervals import overlap_join
 
     w = windows.where(F.col("unit") >= skip).withColumnsRenamed({"a": "s", "b": "e"})
-    pairs = overlap_join(w, kernels.select("device", "s", "e"), ["device"], HOUR).where("s2 >= s and s2 < e")
+    pairs = overlap_join(w, kernels.select("device", "s", "e"), ["device"]).where("s2 >= s and s2 < e")
     n = pairs.groupBy("device", "unit", F.col("s").alias("a"), F.col("e").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     modal = n.groupBy("device", "n").agg(F.count(F.lit(1)).alias("k")).groupBy("device").agg(F.max(F.struct("k", "n")).alias("m")).select("device", F.col("m.n").alias("n"))
     v = n.join(modal, ["device", "n"]).withColumn("span", F.col("b") - F.col("a"))

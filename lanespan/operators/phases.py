@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanespan.operators.segments import numbered
+
 STEP = ["device", "step"]
 ORDER = ["s", "e", "id"]
 
@@ -46,7 +48,7 @@ def marker_split(markers: DataFrame) -> DataFrame:
     n = markers.groupBy("device").agg(F.count(F.lit(1)).alias("launches"), F.countDistinct("grid").cast("long").alias("grids"), F.min("grid").alias("low"), F.max("grid").alias("high"))
     two = n.where("grids = 2").join(markers.groupBy("device", "grid").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("grid", "high"), ["device", "high"])
     two = two.where("launches % n = 0").select("device", "high", F.expr("launches div n").alias("period"))
-    at = markers.withColumn("i", F.row_number().over(Window.partitionBy("device").orderBy("s")) - 1).join(two, "device").withColumn("at", F.col("i") % F.col("period"))
+    at = numbered(markers, ["device"], ["s", "grid", "graph"], "i").join(two, "device").withColumn("at", F.col("i") % F.col("period"))
     same = at.groupBy("device", "at").agg((F.min("grid") == F.max("grid")).alias("one"), (F.max("grid") == F.first("high")).cast("long").alias("top"))
     same = same.groupBy("device").agg((F.bool_and("one") & (F.sum("top") == 1)).alias("speculative"))
     out = n.join(same, "device", "left").withColumn("speculative", F.coalesce("speculative", F.lit(False)))

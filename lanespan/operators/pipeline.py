@@ -33,12 +33,12 @@ def unit_cycles(kernels: DataFrame, variants: dict[str, str], ratio: dict[str, i
     return n.groupBy("device").agg(F.min(F.expr("n") / per[F.col("variant")]).alias("cycles"))
 
 
-def markers(kernels: DataFrame, avoid: DataFrame | None = None, tiers: list[float] = TIERS, agree: int = 3) -> DataFrame:
+def markers(kernels: DataFrame, avoid: DataFrame | None = None, tiers: list[float] = TIERS, agree: int = 3, cell: int | float | None = None) -> DataFrame:
     """device, marker, launches, tier: of the kernels that start at even distances the first, among those whose count most of them share.
 
     avoid (device, cycles): a count within a tenth of the cycles marks repeating units, not steps, and is passed over.
     """
-    cv = S.gap_cv(kernels.withColumn("id", F.col("e")), ["device", "name"])
+    cv = S.gap_cv(kernels.withColumn("id", F.col("e")), ["device", "name"], cell=cell)
     if avoid is not None:
         cv = cv.join(avoid, "device", "left").where("cycles is null or abs(launches - cycles) > 0.1 * cycles").drop("cycles")
     best = S.consensus(cv, ["device"], tiers, agree)
@@ -49,18 +49,19 @@ def markers(kernels: DataFrame, avoid: DataFrame | None = None, tiers: list[floa
     return pick.select("device", F.col("x.name").alias("marker"), "launches", "tier")
 
 
-def step_parts(kernels: DataFrame, marker: DataFrame, variants: dict[str, str], gap_ns: int = GAP_NS, most: int = MOST_STEPS) -> DataFrame:
+def step_parts(kernels: DataFrame, marker: DataFrame, variants: dict[str, str], gap_ns: int = GAP_NS, most: int = MOST_STEPS, cell: int | float | None = None) -> DataFrame:
     """device, step, a, b, part, n, time: for each sampled step the layers of each variant, what is in none (other), and wide gaps; the times add up to b - a.
 
     Kernels before a core belong to its layer. A layer ends where the next begins, less the wide gaps in it.
     """
     rows = kernels.join(marker.select("device", "marker"), "device").withColumn("id", F.col("e"))
-    rows = S.middle_of(S.in_steps(rows, F.col("name") == F.col("marker"), ["device"], ORDER), "device", most)
+    rows = S.middle_of(S.in_steps(rows, F.col("name") == F.col("marker"), ["device"], ORDER, cell or I.cell_of(kernels, ["device"], "s")), "device", most)
     w = Window.partitionBy("device", "step").orderBy(*ORDER)
-    ahead, behind = w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
+    behind = w.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("device", "step").orderBy(*map(F.desc, ORDER)).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("variant", variant_of(variants))
     core = F.when(F.col("variant").isNotNull(), F.struct("s", "e", "variant"))
-    rows = rows.withColumns({"owner": F.first(core, True).over(ahead), "reach": F.max("e").over(behind), "next": F.coalesce(F.lead("s").over(w), F.col("b"))})
+    rows = rows.withColumns({"owner": F.last(core, True).over(ahead), "reach": F.max("e").over(behind), "next": F.coalesce(F.lead("s").over(w), F.col("b"))})
     rows = rows.withColumn("part", F.coalesce("owner.variant", F.lit("other")))
     # From a kernel's start to the next one's: busy up to the furthest end so far, idle beyond; wide idle is gap.
     idle = F.greatest(F.lit(0), F.col("next") - F.greatest(F.col("e"), F.coalesce("reach", "e"), F.col("s")))
@@ -91,11 +92,12 @@ def table(parts: DataFrame, variants: dict[str, str]) -> DataFrame:
 
 def forward_pipeline(kernels: DataFrame, variants: dict[str, str], ratio: dict[str, int] | None = None, marker: str | None = None, gap_ns: int = GAP_NS, most: int = MOST_STEPS) -> DataFrame:
     """The table for all devices. A named marker is taken as it is; else one is chosen, and with a ratio of variants per unit those that mark units are refused."""
+    cell = I.cell_of(kernels, ["device"], "s")
     if marker:
         chosen = kernels.select("device").distinct().withColumn("marker", F.lit(marker))
     else:
-        chosen = markers(kernels, unit_cycles(kernels, variants, ratio) if ratio else None)
-    return table(step_parts(kernels, chosen, variants, gap_ns, most), variants)
+        chosen = markers(kernels, unit_cycles(kernels, variants, ratio) if ratio else None, cell=cell)
+    return table(step_parts(kernels, chosen, variants, gap_ns, most, cell), variants)
 
 
 def degraded(kernels: DataFrame) -> DataFrame:
@@ -117,7 +119,7 @@ def device_ranking(kernels: DataFrame, variants: dict[str, str], ratio: dict[str
 
 def second_forward(kernels: DataFrame, marker: DataFrame, times: int = 2, least: float = 0.5, spread: float = 0.05) -> DataFrame:
     """device, name, offset: kernels that start `times` in every step and whose second start lies past `least` of the step, always at about the same place."""
-    rows = S.in_steps(kernels.withColumn("id", F.col("e")).join(marker.select("device", "marker"), "device"), F.col("name") == F.col("marker"), ["device"], ORDER)
+    rows = S.in_steps(kernels.withColumn("id", F.col("e")).join(marker.select("device", "marker"), "device"), F.col("name") == F.col("marker"), ["device"], ORDER, I.cell_of(kernels, ["device"], "s"))
     steps = rows.groupBy("device").agg(F.countDistinct("step").alias("steps"))
     k = rows.withColumn("k", F.row_number().over(Window.partitionBy("device", "step", "name").orderBy("s", "e"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("device", "step", "name")))
     second = k.where(f"k = 2 and n = {times}").withColumn("x", (F.col("s") - F.col("a")) / (F.col("b") - F.col("a")))
@@ -126,4 +128,4 @@ def second_forward(kernels: DataFrame, marker: DataFrame, times: int = 2, least:
 
 
 def wide_holes(kernels: DataFrame, gap_ns: int = GAP_NS) -> DataFrame:
-    return I.holes(kernels.select("device", "s", "e"), ["device"], cell=1_000_000_000).where(F.col("hole_end") - F.col("hole_start") > gap_ns)
+    return I.holes(kernels.select("device", "s", "e"), ["device"]).where(F.col("hole_end") - F.col("hole_start") > gap_ns)

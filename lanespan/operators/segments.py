@@ -1,7 +1,8 @@
 """Segmentation of event sequences: anchors, blocks, passes, steps, periods and templates.
 
 Order keys always end in a unique column, so results do not depend on how rows arrive. No lane is put in order as a whole:
-rows are ordered within (lane, cell), a cell being a stretch of the first order key, and each cell hands on one row.
+rows are ordered within (lane, cell), a cell being a stretch of the first order key, and each cell hands on one row. A cell's
+length comes from the rows, whatever their unit; where no lane is crowded, a lane is one cell.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanespan.operators.intervals import WHOLE, cell_of
+
 ORDER = ["s", "id"]
 
 
@@ -16,25 +19,27 @@ def lane(keys: list[str], order: list[str] = ORDER):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-#: Length of a cell of the first order key.
-CELL = 86_400_000_000
-
-
-def along(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, nexts: dict[str, Column] | None = None, befores: dict[str, Column] | None = None, cell: int = CELL) -> DataFrame:
+def along(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, nexts: dict[str, Column] | None = None, befores: dict[str, Column] | None = None, cell: int | float | None = None) -> DataFrame:
     """df with running values along each lane: sums up to each row, the last value that is not null up to it (lasts) or
     before it (befores), and the first such value after it (nexts). The first order key has to be a number."""
     sums, lasts, nexts, befores = sums or {}, lasts or {}, nexts or {}, befores or {}
     at = F.struct(*order)
+    cell = cell or cell_of(df, keys, order[0])
     rows = df.withColumn("__cell", F.floor(F.col(order[0]) / cell)).withColumns({f"__v_{n}": c for some in (sums, lasts, nexts, befores) for n, c in some.items()})
-    w = Window.partitionBy(*keys, "__cell").orderBy(*order)
-    upto, before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(*keys, *(["__cell"] if cell != WHOLE else [])).orderBy(*order)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    # What comes after is what came before in the other order: a frame that only grows is kept, one that only shrinks is made anew for each row.
+    after = Window.partitionBy(*keys, *(["__cell"] if cell != WHOLE else [])).orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, -1)
     own = {f"__o_{n}": F.sum(f"__v_{n}").over(upto) for n in sums} | {f"__o_{n}": F.last(f"__v_{n}", True).over(upto) for n in lasts}
-    own |= {f"__o_{n}": F.first(f"__v_{n}", True).over(after) for n in nexts} | {f"__o_{n}": F.last(f"__v_{n}", True).over(before) for n in befores}
+    own |= {f"__o_{n}": F.last(f"__v_{n}", True).over(after) for n in nexts} | {f"__o_{n}": F.last(f"__v_{n}", True).over(before) for n in befores}
+    if cell == WHOLE:
+        return rows.withColumns(own).select(*df.columns, *[F.col(f"__o_{n}").alias(n) for some in (sums, lasts, nexts, befores) for n in some])
     there = lambda n: F.when(F.col(f"__v_{n}").isNotNull(), at)
     aggs = [F.sum(f"__v_{n}").alias(n) for n in sums] + [F.max_by(f"__v_{n}", there(n)).alias(n) for n in (*lasts, *befores)] + [F.min_by(f"__v_{n}", there(n)).alias(n) for n in nexts]
     by = Window.partitionBy(*keys).orderBy("__cell")
-    earlier, later = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
-    far = [F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__f_{n}") for n in sums] + [F.last(n, True).over(earlier).alias(f"__f_{n}") for n in (*lasts, *befores)] + [F.first(n, True).over(later).alias(f"__f_{n}") for n in nexts]
+    earlier = by.rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.desc("__cell")).rowsBetween(Window.unboundedPreceding, -1)
+    far = [F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__f_{n}") for n in sums] + [F.last(n, True).over(earlier).alias(f"__f_{n}") for n in (*lasts, *befores)] + [F.last(n, True).over(later).alias(f"__f_{n}") for n in nexts]
     cells = rows.groupBy(*keys, "__cell").agg(*aggs).select(*keys, "__cell", *far)
     null_keys = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in [*keys, "__cell"]]
     out = rows.withColumns(own).join(cells.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, "__cell"]}), null_keys)
@@ -42,9 +47,9 @@ def along(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Colu
     return out.select(*df.columns, *[c.alias(n) for n, c in given.items()])
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str] = ORDER, name: str = "idx") -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str] = ORDER, name: str = "idx", cell: int | float | None = None) -> DataFrame:
     """Index from 0 in order within the keys."""
-    return along(df, keys, order, sums={name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1)
+    return along(df, keys, order, sums={name: F.lit(1).cast("long")}, cell=cell).withColumn(name, F.col(name) - 1)
 
 
 def anchor_blocks(df: DataFrame, anchor: Column, keys: list[str], layers: int, per_layer: int, order: list[str] = ORDER) -> DataFrame:
@@ -62,10 +67,10 @@ def steps(df: DataFrame, marker: Column, keys: list[str], order: list[str] = ORD
     return marks.where("b is not null").select(*keys, F.col("s").alias("a"), "b", (F.col("step") - 1).alias("step"))
 
 
-def in_steps(df: DataFrame, marker: Column, keys: list[str], order: list[str] = ORDER) -> DataFrame:
+def in_steps(df: DataFrame, marker: Column, keys: list[str], order: list[str] = ORDER, cell: int | float | None = None) -> DataFrame:
     """The rows that start within a step, with step, a and b; the last marker opens no step. No join with the steps is needed."""
     start = F.when(marker, F.col("s"))
-    rows = along(df, keys, order, sums={"step": marker.cast("long")}, lasts={"a": start}, nexts={"b": start})
+    rows = along(df, keys, order, sums={"step": marker.cast("long")}, lasts={"a": start}, nexts={"b": start}, cell=cell)
     return rows.where("a is not null and b is not null").withColumn("step", F.col("step") - 1)
 
 
@@ -76,9 +81,9 @@ def middle(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     return df.withColumn("total", total).withColumn("begin", begin).where(f"step >= begin and step < begin + {most}").drop("total", "begin")
 
 
-def gap_cv(df: DataFrame, keys: list[str], least: int = 3, most: int = 20_000) -> DataFrame:
+def gap_cv(df: DataFrame, keys: list[str], least: int = 3, most: int = 20_000, cell: int | float | None = None) -> DataFrame:
     """keys, launches, cv: names with that many rows and no gap of zero, and the variation of their gaps (population deviation by mean)."""
-    gaps = along(df, keys, ORDER, befores={"__last": F.col("s")}).withColumn("gap", F.col("s") - F.col("__last"))
+    gaps = along(df, keys, ORDER, befores={"__last": F.col("s")}, cell=cell).withColumn("gap", F.col("s") - F.col("__last"))
     out = gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("launches"), F.min("gap").alias("low"), (F.stddev_pop("gap") / F.avg("gap")).alias("cv"))
     return out.where(f"launches between {least} and {most} and low > 0").select(*keys, "launches", "cv")
 
@@ -94,12 +99,13 @@ def consensus(cv: DataFrame, keys: list[str], tiers: list[float], agree: int = 3
 
 def period_scores(df: DataFrame, value: str, keys: list[str], periods: range) -> DataFrame:
     """keys, period, score: mean likeness of values one period apart, for periods of which two fit."""
-    rows = df.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    w = lane(keys)
-    pairs = F.array(*[F.struct(F.lit(p).alias("period"), F.lead(value, p).over(w).alias("then")) for p in periods])
-    rows = rows.withColumn("pairs", pairs).withColumn("x", F.explode("pairs")).where("x.then is not null and 2 * x.period <= n")
-    score = F.least(F.col(value), F.col("x.then")) / F.greatest(F.col(value), F.col("x.then"))
-    return rows.groupBy(*keys, F.col("x.period").cast("long").alias("period")).agg(F.avg(score).alias("score"))
+    rows = numbered(df, keys, ORDER, "__i").select(*keys, "__i", F.col(value).alias("__v"))
+    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    ahead = rows.withColumn("period", F.explode(F.array(*[F.lit(p).cast("long") for p in periods]))).join(total, keys).where("2 * period <= n")
+    then = rows.withColumnsRenamed({"__i": "__j", "__v": "__then"})
+    rows = ahead.withColumn("__j", F.col("__i") + F.col("period")).join(then, [*keys, "__j"]).where("__then is not null")
+    score = F.least("__v", "__then") / F.greatest("__v", "__then")
+    return rows.groupBy(*keys, "period").agg(F.avg(score).alias("score"))
 
 
 def layer_count(df: DataFrame, value: str, keys: list[str], per_layer: int, default: int = 1, first: int = 200, longest: int = 120, order: list[str] = ORDER) -> DataFrame:
@@ -109,9 +115,9 @@ def layer_count(df: DataFrame, value: str, keys: list[str], per_layer: int, defa
     ones a period later; a period's score is the sum of their likenesses, and the first best one counts where it is more
     than 0.7 of the period. Lanes of fewer than 4 blocks, and those without such a period, have the default.
     """
-    w = lane(keys, order)
-    rows = df.select(*keys, F.col(value).alias("x"), F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("total"))
-    rows = rows.withColumn("n", F.least(F.lit(first), F.col("total") - 1)).where("i <= n and n >= 4")
+    # The first rows are found without an order of all: each task keeps no more of a lane than are asked for.
+    rows = df.select(*keys, F.col(value).alias("x"), F.row_number().over(lane(keys, order)).alias("i")).where(F.col("i") <= first)
+    rows = rows.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total")), keys).withColumn("n", F.least(F.lit(first), F.col("total") - 1)).where("i <= n and n >= 4")
     one = rows.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("i", F.col("x").cast("double").alias("x")))).alias("a"))  # `first` values at most
     one = one.where(f"n div 2 >= {per_layer}").withColumn("period", F.explode(F.expr(f"sequence({per_layer}, least({longest - 1}, n div 2))")))
 
@@ -134,8 +140,9 @@ def islands_of(df: DataFrame, value: str, keys: list[str], order: list[str] = OR
 
 def sessions(df: DataFrame, keys: list[str], at: str, gap: int, order: list[str]) -> DataFrame:
     """keys, session_start, session_end, n: runs of rows with no more than gap between neighbours."""
-    rows = along(df, keys, order, befores={"__last": F.col(at)}).withColumn("__new", F.coalesce((F.col(at) - F.col("__last") > gap).cast("long"), F.lit(0)))
-    rows = along(rows, keys, order, sums={"session": F.col("__new")})
+    cell = cell_of(df, keys, order[0])
+    rows = along(df, keys, order, befores={"__last": F.col(at)}, cell=cell).withColumn("__new", F.coalesce((F.col(at) - F.col("__last") > gap).cast("long"), F.lit(0)))
+    rows = along(rows, keys, order, sums={"session": F.col("__new")}, cell=cell)
     return rows.groupBy(*keys, "session").agg(F.min(at).alias("session_start"), F.max(at).alias("session_end"), F.count(F.lit(1)).alias("n")).drop("session")
 
 

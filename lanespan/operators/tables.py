@@ -65,7 +65,7 @@ def enriched(origin: DataFrame, rules: list[dict], positions: DataFrame | None =
     total = wall.join(ends, "region", "left").select("region", F.coalesce("told", "wall").alias("unit_us"))
     lanes = rows.where("end_ns > start_ns").select("region", F.col("stream").cast("string").alias("stream"), F.col("seq").alias("id"), F.col("start_ns").alias("s"), F.col("end_ns").alias("e"))
     lanes = lanes.withColumn("id", F.concat_ws("/", "region", "id"))
-    shared = I.concurrency(lanes, "region", "stream", cell=10_000_000).select(F.col("id").alias("__id"), "ratio")
+    shared = I.concurrency(lanes, "region", "stream").select(F.col("id").alias("__id"), "ratio")
     rows = rows.withColumn("__id", F.concat_ws("/", "region", "seq")).join(shared, "__id", "left").join(total, "region")
     out = rows.withColumns({"concurrency_pct": F.coalesce("ratio", F.lit(0.0)) * 100, "duration_pct": F.col("duration") / F.col("unit_us") * 100})
     return out.drop("__id", "ratio", "leaf")
@@ -117,7 +117,7 @@ def stages(rows: DataFrame) -> DataFrame:
 
     def spans(keys: list[str]) -> DataFrame:
         iv = rows.where("end_ns > start_ns").select("region", *keys, F.col("start_ns").alias("s"), F.col("end_ns").alias("e"))
-        u = I.union_length(iv, ["region", *keys], cell=1_000_000_000)
+        u = I.union_length(iv, ["region", *keys])
         return u.select("region", *keys, (F.col("busy_union") / 1000.0).alias("union_us"), (F.col("wall") / 1000.0).alias("wall_us"))
 
     by_key = module_totals(rows, KEY).join(spans(KEY), ["region", *KEY], "left")

@@ -11,6 +11,8 @@ from lanespan.sources.tables import IV, intervals
 Q, SQL = {}, {}
 
 LANE = ["device"]
+#: A day of the interval view, in microseconds.
+DAY = 86_400_000_000
 #: Running end of the intervals before, in SQL.
 PE = "p AS (SELECT *, max(e) OVER (PARTITION BY device ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM iv)"
 ISLANDS = """isl AS (SELECT device, min(s) AS s, max(e) AS e FROM (
@@ -45,9 +47,9 @@ SELECT device, a, b, h AS hole_start, s AS hole_end FROM g WHERE s > h""",
 )
 def _(spark, d):
     iv = intervals(spark, d)
-    span = iv.agg(F.min(F.expr(f"s div {I.DAY}")).alias("lo"), F.max(F.expr(f"(e - 1) div {I.DAY}")).alias("hi"))
+    span = iv.agg(F.min(F.expr(f"s div {DAY}")).alias("lo"), F.max(F.expr(f"(e - 1) div {DAY}")).alias("hi"))
     days = span.select(F.explode(F.expr("sequence(lo, hi)")).alias("k"))
-    windows = iv.select("device").distinct().crossJoin(F.broadcast(days)).select("device", (F.col("k") * I.DAY).alias("a"), ((F.col("k") + 1) * I.DAY).alias("b"))
+    windows = iv.select("device").distinct().crossJoin(F.broadcast(days)).select("device", (F.col("k") * DAY).alias("a"), ((F.col("k") + 1) * DAY).alias("b"))
     return I.holes_in(iv, windows, LANE)
 
 
@@ -83,7 +85,7 @@ def busy_steps(iv):
     """Steps between starts of the marker stream, cut where the body stream begins and ends: device, step, part, s, e."""
     marks = iv.where("stream = 'signup'").select("device", F.col("s").alias("a"))
     steps = marks.withColumn("b", F.lead("a").over(Window.partitionBy("device").orderBy("a"))).where("b is not null")
-    body = I.overlap_join(steps.withColumnsRenamed({"a": "s", "b": "e"}), iv.where("stream = 'click'").select("device", "s", "e", F.col("s").alias("t")), LANE, I.DAY).where("s2 >= s")
+    body = I.overlap_join(steps.withColumnsRenamed({"a": "s", "b": "e"}), iv.where("stream = 'click'").select("device", "s", "e", F.col("s").alias("t")), LANE).where("s2 >= s")
     body = body.groupBy("device", F.col("s").alias("a")).agg(F.min("s2").alias("x"), F.max("e2").alias("y"))
     cut = steps.join(body, ["device", "a"], "left").select("device", "a", "b", F.coalesce("x", "b").alias("x"), F.least(F.coalesce("y", "b"), "b").alias("y"))
     parts = F.array(*[F.struct(F.lit(n).alias("part"), F.col(lo).alias("s"), F.col(hi).alias("e")) for n, lo, hi in (("prologue", "a", "x"), ("body", "x", "y"), ("tail", "y", "b"))])
