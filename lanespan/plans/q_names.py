@@ -8,6 +8,7 @@ from lanespan.functions import efficiency as E
 from lanespan.functions import kernels as K
 from lanespan.functions import scalars as X
 from lanespan.functions import symbols as Y
+from lanespan.functions.labels import identifier_labels
 from lanespan.operators import segments as S
 from lanespan.sources.tables import IV, intervals, load
 
@@ -252,3 +253,25 @@ def _(spark, d):
     c = [F.col(v) for v in ("m", "n", "k")]
     x = x.withColumn("b", E.judged_mbu(*c, F.col("us"), F.col("widths"), F.lit(8000.0)))
     return x.select("key", "widths.source", F.round("b.mbu", 6).alias("mbu"), "b.rejected", "b.reason", F.round(E.checked_mfu(*c, 900.0 + F.col("m") / 512, F.lit(2250.0)), 6).alias("mfu"))
+
+
+FAMILY = """CASE WHEN p_size % 3 = 0 THEN concat('k', p_size % 4, '_', p_partkey) ELSE concat_ws('_', 'k' || (p_size % 4), replace(p_type, ' ', '_'), 'block64x128', 'stages' || (p_size % 7), 'warp4', 'aligned', 'persistent', p_partkey, 'sm100') END"""
+
+
+@query(
+    "identifier_labels",
+    f"""WITH n AS (SELECT DISTINCT {FAMILY} AS name FROM part), x AS (SELECT name, string_split(name, '_') AS t, string_split(name, '_')[1] AS family FROM n),
+fam AS (SELECT family, max(length(name)) AS longest, max(len(t)) AS widest FROM x GROUP BY 1),
+tk AS (SELECT family, name, unnest(list_distinct(t)) AS token FROM x), alone AS (SELECT family, token FROM tk GROUP BY 1, 2 HAVING count(*) = 1),
+own AS (SELECT tk.name, list(token) AS own FROM tk JOIN alone USING (family, token) GROUP BY 1),
+w AS (SELECT way, keep, stem, cnt FROM (SELECT k - 2 AS way, k AS keep, NULL AS stem, NULL AS cnt FROM (SELECT unnest(range(2, 200)) AS k)) UNION ALL SELECT 1000 + (s - 1) * 3 + c, NULL, s, c FROM (SELECT unnest([1, 2, 3]) AS s), (SELECT unnest([1, 2, 3]) AS c)),
+c AS (SELECT x.family, x.name, t, w.*, CASE WHEN keep IS NOT NULL THEN t[1:keep] ELSE list_concat(t[1:stem], list_filter(t[stem + 1:len(t) - 1], lambda e: list_contains(coalesce(own, []), e))[1:cnt]) END AS head
+  FROM x JOIN fam ON x.family = fam.family AND longest > 60 LEFT JOIN own ON own.name = x.name JOIN w ON keep IS NULL OR keep <= widest),
+d AS (SELECT *, CASE WHEN keep IS NOT NULL THEN t[keep + 1:] ELSE list_filter(t[2:], lambda e: NOT list_contains(head, e)) END AS rest FROM c),
+l AS (SELECT family, name, way, array_to_string(list_concat(head, list_concat(CASE WHEN len(rest) > 1 OR len(rest) = 1 AND rest[1] <> t[len(t)] THEN ['…'] ELSE [] END, CASE WHEN len(rest) > 0 AND NOT list_contains(head, t[len(t)]) THEN [t[len(t)]] ELSE [] END)), '_') AS label FROM d),
+j AS (SELECT family, way, max(length(label)) AS size FROM l GROUP BY 1, 2 HAVING count(DISTINCT label) = count(*)),
+b AS (SELECT family, way FROM j QUALIFY row_number() OVER (PARTITION BY family ORDER BY size > 60, CASE WHEN size <= 60 THEN -size ELSE size END, way) = 1)
+SELECT x.name, coalesce(l.label, x.name) AS label FROM x LEFT JOIN b ON x.family = b.family LEFT JOIN l ON l.name = x.name AND l.way = b.way""",
+)
+def _(spark, d):
+    return identifier_labels(load(spark, d, "part").select(F.expr(FAMILY).alias("name")))
