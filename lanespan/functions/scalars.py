@@ -22,10 +22,6 @@ def shape(c) -> Column:
     return F.struct(*[F.nullif(F.regexp_extract(c, rf"{x}\s*=\s*(\d+)", 1), F.lit("")).cast("long").alias(x) for x in "MNK"])
 
 
-def shape_text(s: Column) -> Column:
-    return F.format_string("(M=%d,N=%d,K=%d)", s["M"], s["N"], s["K"])
-
-
 def flops(s: Column) -> Column:
     return 2.0 * s["M"] * s["N"] * s["K"]
 

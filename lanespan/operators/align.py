@@ -11,6 +11,9 @@ from lanespan.operators import rollups as R
 from lanespan.operators import segments as S
 
 
+LAYER = ["layer"]
+
+
 def family(name: str, rules: list[tuple[str, str]]) -> Column:
     """Label of the first rule whose pattern is in the name, else the identifier before < or (, of 80 letters at most."""
     own = F.left(F.regexp_extract(F.col(name), r"^(?:void\s+)?([^<(]*)", 1), F.lit(80))
@@ -37,18 +40,23 @@ def chosen_pass(left: DataFrame, right: DataFrame) -> DataFrame:
     return off.orderBy("off", F.abs(F.col("pass") - 16), "pass", "device").limit(1).select("device", "pass")
 
 
-def launches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """layer, place, names, status and difference of times of launches in the same place; tails without a partner are left out."""
-    side = lambda x, n: x.select("layer", F.col("place").alias("at"), *[F.col(c).alias(f"{c}_{n}") for c in ("name", "plain", "family", "us")])
+def launches(left: DataFrame, right: DataFrame, keys: list[str] = LAYER) -> DataFrame:
+    """keys, k, names, status and difference of times of launches in the same place; tails without a partner are left out. place may be a struct."""
+    side = lambda x, n: x.select(*keys, F.col("place").alias("at"), *[F.col(c).alias(f"{c}_{n}") for c in ("name", "plain", "family", "us")])
     a, b = side(left, "a"), side(right, "b")
-    z = J.zipped(a.withColumnRenamed("at", "at_a"), b.withColumnRenamed("at", "at_b"), ["layer"], ["at_a"], ["at_b"], "inner")
+    z = J.zipped(a.withColumnRenamed("at", "at_a"), b.withColumnRenamed("at", "at_b"), keys, ["at_a"], ["at_b"], "inner")
     status = F.when(F.col("plain_a") == F.col("plain_b"), "same_order_exact_name").when(F.col("family_a") == F.col("family_b"), "same_order_family").otherwise("same_order_mismatch")
-    return z.select("layer", "k", "name_a", "name_b", status.alias("status"), (F.col("us_b") - F.col("us_a")).alias("delta_us"))
+    return z.select(*keys, "k", "name_a", "name_b", status.alias("status"), (F.col("us_b") - F.col("us_a")).alias("delta_us"))
+
+
+def matches(left: DataFrame, right: DataFrame, keys: list[str] = LAYER) -> DataFrame:
+    """keys, n_left, matched, paired, match_rate over all of left."""
+    n = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_left"))
+    m = launches(left, right, keys).groupBy(*keys).agg(F.count_if(F.col("status") != "same_order_mismatch").alias("matched"), F.count(F.lit(1)).alias("paired"))
+    return n.join(m, keys, "left").na.fill(0, ["matched", "paired"]).withColumn("match_rate", F.col("matched") / F.col("n_left"))
 
 
 def summary(left: DataFrame, right: DataFrame) -> DataFrame:
     """layer, n_left, matched, match_rate over all of left, and the likeness of the families of both."""
-    n = left.groupBy("layer").agg(F.count(F.lit(1)).alias("n_left"))
-    m = launches(left, right).groupBy("layer").agg(F.count_if(F.col("status") != "same_order_mismatch").alias("matched"))
-    out = n.join(m, "layer", "left").na.fill(0, ["matched"]).withColumn("match_rate", F.col("matched") / F.col("n_left"))
+    out = matches(left, right).drop("paired")
     return out.join(R.jaccard(left, right, "layer", "family").select("layer", "jaccard"), "layer", "left")

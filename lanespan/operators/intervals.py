@@ -104,7 +104,7 @@ def holes(df: DataFrame, keys: list[str], cell: int | None = None) -> DataFrame:
 def holes_in(df: DataFrame, windows: DataFrame, keys: list[str], cell: int | None = None) -> DataFrame:
     """keys, a, b, hole_start, hole_end: idle parts of each window [a, b), head and tail included; all of it if nothing is in it."""
     busy = overlap_join(windows.withColumnsRenamed({"a": "s", "b": "e"}), islands(df, keys, cell), keys, max(span(df), span(windows, "a", "b")))
-    busy = busy.select(*keys, F.col("s").alias("a"), F.col("e").alias("b"), F.greatest("s", "s2").alias("s"), F.least("e", "e2").alias("e"))
+    busy = clip(busy.select(*keys, F.col("s").alias("a"), F.col("e").alias("b"), F.col("s2").alias("s"), F.col("e2").alias("e")), F.col("a"), F.col("b"))
     ends = windows.select(*keys, "a", "b", F.col("b").alias("s"), F.col("b").alias("e"))
     w = Window.partitionBy(*keys, "a", "b").orderBy("s", "e")
     out = busy.unionByName(ends).withColumn("hole_start", F.coalesce(F.lag("e").over(w), F.col("a")))

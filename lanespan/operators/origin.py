@@ -92,7 +92,7 @@ def representative(kernels: DataFrame, windows: DataFrame, skip: int = 0) -> Dat
     from lanespan.operators.intervals import overlap_join
 
     w = windows.where(F.col("unit") >= skip).withColumnsRenamed({"a": "s", "b": "e"})
-    pairs = overlap_join(w, kernels.select("device", "s", "e"), ["device"]).where("s2 >= s and s2 < e")
+    pairs = overlap_join(w, kernels.select("device", "s", (F.col("s") + 1).alias("e")), ["device"])
     n = pairs.groupBy("device", "unit", F.col("s").alias("a"), F.col("e").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     modal = n.groupBy("device", "n").agg(F.count(F.lit(1)).alias("k")).groupBy("device").agg(F.max(F.struct("k", "n")).alias("m")).select("device", F.col("m.n").alias("n"))
     v = n.join(modal, ["device", "n"]).withColumn("span", F.col("b") - F.col("a"))
@@ -111,6 +111,19 @@ def skeleton(slots: DataFrame) -> tuple[DataFrame, DataFrame]:
     return symbols, slots.drop("short_name").join(symbols.select("symbol_id", "name"), "name").select("idx", "s", "e", "symbol_id")
 
 
+def templates(rows: DataFrame, unit: list[str], order: list[str], name: str) -> DataFrame:
+    """template, pos, d: what each place of a unit takes, by the names of the unit in their order. A unit has to fit a task, the units of a template need not."""
+    t = rows.groupBy(*unit).agg(F.sort_array(F.collect_list(F.struct(*order, name, (F.col("e") - F.col("s")).alias("d")))).alias("x"))
+    return t.select(F.array_join(F.transform("x", lambda r: r[name]), ">").alias("template"), F.posexplode(F.transform("x", lambda r: r["d"])).alias("pos", "d"))
+
+
+def position_stats(rows: DataFrame) -> DataFrame:
+    """template, pos, n, low, high, mean, diff of each place of each template."""
+    d = F.col("d")
+    out = rows.groupBy("template", F.col("pos").cast("long").alias("pos"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.min(d).alias("low"), F.max(d).alias("high"), F.avg(d).alias("mean"), (F.max(d) - F.min(d)).alias("diff"))
+
+
 def stable_positions(samples: DataFrame) -> DataFrame:
     """position, name, n, min_us, max_us, diff_us, avg_us, avg_pct over the units whose names in order equal the most common template.
 

@@ -101,10 +101,11 @@ def forward_pipeline(kernels: DataFrame, variants: dict[str, str], ratio: dict[s
 
 
 def degraded(kernels: DataFrame) -> DataFrame:
-    """device, span_us, steps, step_us where no marker is found: the span by the count of the most even kernel; steps null if there is none."""
+    """device, name, span_us, steps, step_us where no marker is found: the span by the count of the most even kernel; steps null if there is none."""
     span = kernels.groupBy("device").agg(((F.max("e") - F.min("s")) / 1000.0).alias("span_us"))
-    even = S.gap_cv(kernels.withColumn("id", F.col("e")), ["device", "name"]).groupBy("device").agg(F.min(F.struct("cv", "name", "launches")).alias("x"))
-    return span.join(even, "device", "left").select("device", "span_us", F.col("x.launches").alias("steps"), (F.col("span_us") / F.col("x.launches")).alias("step_us"))
+    rows = kernels if "id" in kernels.columns else kernels.withColumn("id", F.col("e"))
+    even = S.gap_cv(rows, ["device", "name"]).groupBy("device").agg(F.min(F.struct("cv", "name", "launches")).alias("x"))
+    return span.join(even, "device", "left").select("device", "x.name", "span_us", F.col("x.launches").alias("steps"), (F.col("span_us") / F.col("x.launches")).alias("step_us"))
 
 
 def device_ranking(kernels: DataFrame, variants: dict[str, str], ratio: dict[str, int]) -> DataFrame:
@@ -120,12 +121,18 @@ def device_ranking(kernels: DataFrame, variants: dict[str, str], ratio: dict[str
 def second_forward(kernels: DataFrame, marker: DataFrame, times: int = 2, least: float = 0.5, spread: float = 0.05) -> DataFrame:
     """device, name, offset: kernels that start `times` in every step and whose second start lies past `least` of the step, always at about the same place."""
     rows = S.in_steps(kernels.withColumn("id", F.col("e")).join(marker.select("device", "marker"), "device"), F.col("name") == F.col("marker"), ["device"], ORDER, I.cell_of(kernels, ["device"], "s"))
-    steps = rows.groupBy("device").agg(F.countDistinct("step").alias("steps"))
-    k = rows.withColumn("k", F.row_number().over(Window.partitionBy("device", "step", "name").orderBy("s", "e"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("device", "step", "name")))
-    second = k.where(f"k = 2 and n = {times}").withColumn("x", (F.col("s") - F.col("a")) / (F.col("b") - F.col("a")))
-    g = second.groupBy("device", "name").agg(F.count(F.lit(1)).alias("seen"), F.avg("x").alias("offset"), (F.max("x") - F.min("x")).alias("spread")).join(steps, "device")
+    g, steps = second_launches(rows, times), rows.groupBy("device").agg(F.countDistinct("step").alias("steps"))
+    g = g.groupBy("device", "name").agg(F.count(F.lit(1)).alias("seen"), F.avg("x").alias("offset"), (F.max("x") - F.min("x")).alias("spread")).join(steps, "device")
     return g.where((F.col("seen") == F.col("steps")) & (F.col("offset") > least) & (F.col("spread") <= spread)).select("device", "name", "offset")
 
 
+def second_launches(rows: DataFrame, times: int | None = None) -> DataFrame:
+    """device, step, name, x: where in its step (from 0 to 1) a kernel starts for the second time; with times only kernels that start so often in it. rows: what in_steps() gives."""
+    by = Window.partitionBy("device", "step", "name")
+    k = rows.withColumns({"k": F.row_number().over(by.orderBy("s", "id")), "n": F.count(F.lit(1)).over(by)})
+    second = k.where("k = 2" + (f" and n = {times}" if times else ""))
+    return second.select("device", "step", "name", ((F.col("s") - F.col("a")) / (F.col("b") - F.col("a"))).alias("x"))
+
+
 def wide_holes(kernels: DataFrame, gap_ns: int = GAP_NS) -> DataFrame:
     return I.holes(kernels.select("device", "s", "e"), ["device"]).where(F.col("hole_end") - F.col("hole_start") > gap_ns)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lanespan.operators import align as A
 from lanespan.operators import joins as J
 from lanespan.plans.q_rollups import LP, ORDER, joined, lines
+from lanespan.sources import capture as M
 from lanespan.sources.tables import IV, intervals, load, micros
 
 Q, SQL = {}, {}
@@ -117,17 +119,17 @@ al AS (SELECT x.pair, x.stream, x.rank, CASE WHEN x.name = y.name THEN 'same_ord
 
 
 def aligned(spark, d):
+    """The launches of both devices of each pair, as operators of alignment take them."""
     ev = load(spark, d, "events").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").cast("long").alias("name"))
     iv = intervals(spark, d).join(ev, "id").withColumn("pair", F.expr("device div 2"))
-    side = lambda m, n: iv.where(F.col("device") % 2 == m).select("pair", "stream", F.col("s").alias(f"s{n}"), F.col("id").alias(f"id{n}"), F.col("name").alias(f"name{n}"), (F.col("e") - F.col("s")).alias(f"d{n}"))
-    z = J.zipped(side(0, 0), side(1, 1), ["pair", "stream"], ["s0", "id0"], ["s1", "id1"], "inner")
-    status = F.when(F.col("name0") == F.col("name1"), "same_order_exact_name").when(F.expr("name0 div 10 = name1 div 10"), "same_order_family").otherwise("same_order_mismatch")
-    return z.select("pair", "stream", F.col("k").alias("rank"), status.alias("status"), (F.col("d1") - F.col("d0")).alias("delta"))
+    side = lambda m: iv.where(F.col("device") % 2 == m).select("pair", "stream", F.struct("s", "id").alias("place"), "name", F.col("name").alias("plain"), F.expr("name div 10").alias("family"), (F.col("e") - F.col("s")).alias("us"))
+    return side(0), side(1)
 
 
 @query("launch_alignment", f"WITH {ALIGN} SELECT pair, stream, rank, status, delta FROM al")
 def _(spark, d):
-    return aligned(spark, d)
+    x = A.launches(*aligned(spark, d), ["pair", "stream"])
+    return x.select("pair", "stream", F.col("k").alias("rank"), "status", F.col("delta_us").alias("delta"))
 
 
 @query(
@@ -136,10 +138,7 @@ def _(spark, d):
 SELECT n.pair, n.stream, n_left, count(CASE WHEN status <> 'same_order_mismatch' THEN 1 END) AS matched, count(status) AS paired, round(count(CASE WHEN status <> 'same_order_mismatch' THEN 1 END)::DOUBLE / n_left, 6) AS match_rate FROM n LEFT JOIN al ON n.pair = al.pair AND n.stream = al.stream GROUP BY n.pair, n.stream, n_left""",
 )
 def _(spark, d):
-    n = intervals(spark, d).where("device % 2 = 0").groupBy(F.expr("device div 2").alias("pair"), "stream").agg(F.count(F.lit(1)).alias("n_left"))
-    m = aligned(spark, d).groupBy("pair", "stream").agg(F.count_if(F.col("status") != "same_order_mismatch").alias("matched"), F.count(F.lit(1)).alias("paired"))
-    out = n.join(m, ["pair", "stream"], "left").na.fill(0, ["matched", "paired"])
-    return out.withColumn("match_rate", F.round(F.col("matched") / F.col("n_left"), 6))
+    return A.matches(*aligned(spark, d), ["pair", "stream"]).withColumn("match_rate", F.round("match_rate", 6))
 
 
 @query(
@@ -157,9 +156,9 @@ def _(spark, d):
 FROM customer FULL JOIN supplier ON c_custkey = s_suppkey WHERE c_nationkey IS DISTINCT FROM s_nationkey""",
 )
 def _(spark, d):
-    x = load(spark, d, "customer").join(load(spark, d, "supplier"), F.col("c_custkey") == F.col("s_suppkey"), "full").where(~F.col("c_nationkey").eqNullSafe(F.col("s_nationkey")))
-    status = F.when(F.col("c_custkey").isNull(), "only_right").when(F.col("s_suppkey").isNull(), "only_left").otherwise("conflict")
-    return x.select(F.coalesce("c_custkey", "s_suppkey").alias("key"), F.col("c_nationkey").alias("left_value"), F.col("s_nationkey").alias("right_value"), status.alias("status"))
+    side = lambda t, key, value: load(spark, d, t).select(F.col(key).alias("key"), F.col(value).alias("value"))
+    x = M.conflicts(side("customer", "c_custkey", "c_nationkey"), side("supplier", "s_suppkey", "s_nationkey"), missing=True)
+    return x.withColumnsRenamed({"captured": "left_value", "declared": "right_value"}).withColumn("status", F.regexp_replace(F.regexp_replace("status", "captured", "left"), "declared", "right"))
 
 
 RANGES = [(1, 10, "encoder"), (11, 25, "decoder"), (30, 40, "head")]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lanespan.operators import origin as O
+from lanespan.operators import pipeline as P
 from lanespan.operators import segments as S
 from lanespan.sources.tables import IV, intervals, load
 
@@ -186,8 +188,8 @@ def _(spark, d):
 SELECT device, stream, count(*) AS n, round(avg(CAST(s - a AS DOUBLE) / (b - a)), 6) AS mean_offset FROM k WHERE r = 2 GROUP BY device, stream""",
 )
 def _(spark, d):
-    k = in_steps(spark, d).withColumn("r", F.row_number().over(S.lane(["device", "step", "stream"]))).where("r = 2")
-    return k.groupBy("device", "stream").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("s") - F.col("a")) / (F.col("b") - F.col("a"))), 6).alias("mean_offset"))
+    x = P.second_launches(in_steps(spark, d).withColumnRenamed("stream", "name"))
+    return x.groupBy("device", F.col("name").alias("stream")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean_offset"))
 
 
 @query("tail_k_events", f"WITH {STEPS}, k AS (SELECT *, row_number() OVER (PARTITION BY device, step ORDER BY s DESC, id DESC) AS r FROM ins) SELECT device, step, id, r FROM k WHERE r <= 2")
@@ -266,12 +268,9 @@ v AS (SELECT w.* FROM w JOIN md ON w.device = md.device AND n = modal), me AS (S
 r AS (SELECT v.*, row_number() OVER (PARTITION BY v.device ORDER BY abs(span - mid), span, a) AS k FROM v JOIN me ON v.device = me.device) SELECT device, step, n, span FROM r WHERE k = 1""",
 )
 def _(spark, d):
-    w = in_steps(spark, d).groupBy("device", "step", "a", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("span", F.col("b") - F.col("a"))
-    modal = w.groupBy("device", "n").agg(F.count(F.lit(1)).alias("k")).groupBy("device").agg(F.max(F.struct("k", "n")).alias("m")).select("device", F.col("m.n").alias("n"))
-    v = w.join(modal, ["device", "n"])
-    mid = v.groupBy("device").agg(F.median("span").alias("mid"))
-    best = v.join(mid, "device").groupBy("device").agg(F.min(F.struct(F.abs(F.col("span") - F.col("mid")).alias("off"), "span", "a", "step", "n")).alias("x"))
-    return best.select("device", "x.step", "x.n", "x.span")
+    iv = intervals(spark, d)
+    w = S.steps(iv, signup(), LANE).select("device", F.col("step").alias("unit"), "a", "b")
+    return O.representative(iv, w).select("device", F.col("unit").alias("step"), "n", (F.col("b") - F.col("a")).alias("span"))
 
 
 @query(
@@ -280,10 +279,8 @@ def _(spark, d):
 SELECT g.device, stream, launches, round(span::DOUBLE / launches, 3) AS step_us FROM g JOIN r ON g.device = r.device AND k = 1""",
 )
 def _(spark, d):
-    iv = intervals(spark, d)
-    low = S.gap_cv(iv, ["device", "stream"]).groupBy("device").agg(F.min(F.struct("cv", "stream", "launches")).alias("x"))
-    span = iv.groupBy("device").agg((F.max("e") - F.min("s")).alias("span"))
-    return span.join(low, "device").select("device", "x.stream", "x.launches", F.round(F.col("span") / F.col("x.launches"), 3).alias("step_us"))
+    x = P.degraded(intervals(spark, d).withColumnRenamed("stream", "name")).where("steps is not null")
+    return x.select("device", F.col("name").alias("stream"), F.col("steps").alias("launches"), F.round(F.col("step_us") * 1000, 3).alias("step_us"))
 
 
 @query(
@@ -292,21 +289,16 @@ def _(spark, d):
 SELECT device, n, round(dev, 3) AS deviation, row_number() OVER (ORDER BY round(dev, 3), n DESC, device) AS rank FROM n""",
 )
 def _(spark, d):
-    share = [F.abs(F.count_if(F.col("stream") == x) / F.count(F.lit(1)) - 0.2) for x in STREAMS]
-    n = intervals(spark, d).groupBy("device").agg(F.count(F.lit(1)).alias("n"), F.round(share[0] + share[1] + share[2] + share[3] + share[4], 3).alias("deviation"))
-    # One row for each device: the report's size, not the events'.
-    return n.withColumn("rank", F.row_number().over(Window.orderBy("deviation", F.desc("n"), "device")).cast("long"))
+    x = P.device_ranking(intervals(spark, d).withColumnRenamed("stream", "name"), {x: x for x in STREAMS}, dict.fromkeys(STREAMS, 1))
+    return x.select("device", F.col("launches").alias("n"), "deviation", F.col("rank").cast("long").alias("rank"))
 
 
 def template_positions(spark, d):
-    """template, pos, d: each step's durations by the place in the step's order, with all its lanes in order as its template."""
-    t = in_steps(spark, d).groupBy("device", "step").agg(F.sort_array(F.collect_list(F.struct("s", "id", "stream", "e"))).alias("x"))
-    return t.select(F.array_join(F.transform("x", lambda r: r["stream"]), ">").alias("template"), F.posexplode(F.transform("x", lambda r: r["e"] - r["s"])).alias("pos", "d"))
+    return O.templates(in_steps(spark, d), ["device", "step"], ["s", "id"], "stream")
 
 
 def position_stats(t):
-    out = t.groupBy("template", F.col("pos").cast("long").alias("pos"))
-    return out.agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high"), F.round(F.avg("d"), 3).alias("mean"), (F.max("d") - F.min("d")).alias("diff"))
+    return O.position_stats(t).withColumn("mean", F.round("mean", 3))
 
 
 @query(

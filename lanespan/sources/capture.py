@@ -25,7 +25,9 @@ def server_args(text, keys: list[str]):
     return out
 
 
-def conflicts(captured: DataFrame, declared: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
-    """key, captured, declared where both are present and differ."""
-    a, b = captured.select(key, F.col(value).alias("captured")), declared.select(key, F.col(value).alias("declared"))
-    return a.join(b, key).where(~F.col("captured").eqNullSafe(F.col("declared")))
+def conflicts(captured: DataFrame, declared: DataFrame, key: str = "key", value: str = "value", missing: bool = False) -> DataFrame:
+    """key, captured, declared, status where both are present and differ (conflict); with missing those too that one side lacks, if the other has a value."""
+    a, b = (x.select(key, F.col(value).alias(n), F.lit(True).alias(f"__{n}")) for x, n in ((captured, "captured"), (declared, "declared")))
+    status = F.when(F.col("__captured").isNull(), "only_declared").when(F.col("__declared").isNull(), "only_captured").otherwise("conflict")
+    both = a.join(b, key, "full" if missing else "inner").where(~F.col("captured").eqNullSafe(F.col("declared")))
+    return both.select(key, "captured", "declared", status.alias("status"))
