@@ -1,4 +1,4 @@
-"""Kernel activity out of SQLite exports, as a Python data source with a device option that reaches the scan."""
+"""Kernel activity out of SQLite exports, as a Python data source that reads ranges of rows of a device and a window of time."""
 
 from __future__ import annotations
 
@@ -27,32 +27,47 @@ def missing_tables(path: str, needed: tuple = (KERNELS, STRINGS)) -> list[str]:
     return [t for t in needed if t not in there]
 
 
-class Device(InputPartition):
-    def __init__(self, device: int):
-        self.device = device
+#: Rows of the file, in the order of their ids, that a task reads.
+ROWS = 2_000_000
+
+
+class Rows(InputPartition):
+    """Rows whose ids lie from lo to hi; all rows where there are no ids."""
+
+    def __init__(self, lo: int | None = None, hi: int | None = None):
+        self.lo, self.hi = lo, hi
 
 
 class KernelReader(DataSourceReader):
-    def __init__(self, path: str, device: int | None):
-        self.path, self.device = path, device
+    """where: conditions and their values, answered by the file.
+
+    They are options and not filters pushed by the optimizer: Spark 4.1 keeps one reader for a loaded frame, so what one plan of the
+    frame pushes would stay for its other plans.
+    """
+
+    def __init__(self, path: str, where: list[tuple[str, int]], rows: int):
+        self.path, self.where, self.rows = path, where, rows
 
     def partitions(self):
-        if self.device is not None:
-            return [Device(self.device)]
         with opened(self.path) as con:
-            return [Device(d) for (d,) in con.execute(f"SELECT DISTINCT deviceId FROM {KERNELS} ORDER BY 1")]
+            try:
+                lo, hi = con.execute(f"SELECT min(rowid), max(rowid) FROM {KERNELS}").fetchone()
+            except sqlite3.OperationalError:  # a table without ids, or a view
+                return [Rows()]
+        return [Rows(k, min(k + self.rows - 1, hi)) for k in range(lo, hi + 1, self.rows)] if lo is not None else [Rows()]
 
-    def read(self, part: Device):
+    def read(self, part: Rows):
         with opened(self.path) as con:
             there = columns_of(con, KERNELS)
             graph = next((c for c in ("graphId", "graphNodeId") if c in there), "NULL")
             own = [c if c in there else d for c, d in OPTIONAL.items()]
-            sql = f"SELECT start, end, deviceId, shortName, {graph}, {', '.join(own)} FROM {KERNELS} WHERE deviceId = ? ORDER BY start, rowid"
-            yield from con.execute(sql, (part.device,))
+            asked = [*self.where, *([("rowid >= ?", part.lo), ("rowid <= ?", part.hi)] if part.lo is not None else [])]
+            where = f"WHERE {' AND '.join(c for c, _ in asked)}" if asked else ""
+            yield from con.execute(f"SELECT start, end, deviceId, shortName, {graph}, {', '.join(own)} FROM {KERNELS} {where}", [v for _, v in asked])
 
 
 class KernelSource(DataSource):
-    """format("kernel_sqlite"), options path and device. One partition for each device; the file must be readable on the executors."""
+    """format("kernel_sqlite"), options path, device, since and until (only kernels that overlap [since, until)), and rows. A partition for each range of row ids, in no order. The file must be readable on the executors."""
 
     @classmethod
     def name(cls) -> str:
@@ -62,8 +77,9 @@ class KernelSource(DataSource):
         return "start long, end long, device int, short_id long, graph_id long, " + ", ".join(f"{c} long" for c in OPTIONAL)
 
     def reader(self, schema) -> KernelReader:
-        device = self.options.get("device")
-        return KernelReader(self.options["path"], None if device is None else int(device))
+        asked = {"device": "deviceId = ?", "since": "end > ?", "until": "start < ?"}
+        where = [(c, int(self.options[n])) for n, c in asked.items() if self.options.get(n) is not None]
+        return KernelReader(self.options["path"], where, int(self.options.get("rows", ROWS)))
 
 
 class DictionaryReader(DataSourceReader):
@@ -87,17 +103,18 @@ class DictionarySource(DataSource):
         return DictionaryReader(self.options["path"])
 
 
-def kernels(spark: SparkSession, path: str, device: int | None = None, name_mode: str = "short") -> DataFrame:
-    """Kernels with name (short, or demangled where there is one), in lane order: device, stream, idx, s, e, name, short_name and geometry.
+def kernels(spark: SparkSession, path: str, device: int | None = None, name_mode: str = "short", window: tuple[int, int] | None = None, rows: int = ROWS) -> DataFrame:
+    """Kernels with name (short, or demangled where there is one), device, stream, s, e, name, short_name and geometry.
 
-    A kernel without an entry in the dictionary keeps a null name.
+    A kernel without an entry in the dictionary keeps a null name. A device, and a window [since, until) that kernels have to overlap, are looked up in the file.
     """
     if gone := missing_tables(path):
         raise ValueError(f"tables are missing: {', '.join(gone)}")
     for source in (KernelSource, DictionarySource):
         spark.dataSource.register(source)
-    read = spark.read.format("kernel_sqlite").option("path", path)
-    k = (read if device is None else read.option("device", str(device))).load()
+    read = spark.read.format("kernel_sqlite").option("path", path).option("rows", str(rows))
+    options = ({"device": device} if device is not None else {}) | (dict(zip(("since", "until"), window, strict=True)) if window else {})
+    k = read.options(**{n: str(v) for n, v in options.items()}).load()
     d = spark.read.format("strings_sqlite").option("path", path).load()
     short, long = (d.select(F.col("id").alias(f"{n}_k"), F.col("value").alias(f"{n}_name")) for n in ("short", "long"))
     out = k.join(short, F.col("short_id") == F.col("short_k"), "left").join(long, F.col("demangledName") == F.col("long_k"), "left")
