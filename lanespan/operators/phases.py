@@ -265,3 +265,67 @@ def settled_pass(walls: DataFrame, least: int) -> DataFrame:
     """device, pass: the first pass after 0 whose first layer takes longer than least, else the third after it or the last there is. walls: device, pass, layer, wall."""
     n = walls.groupBy("device").agg((F.max("pass") + 1).alias("passes"), F.min(F.when((F.col("pass") > 0) & (F.col("layer") == 0) & (F.col("wall") > least), F.col("pass"))).alias("first"))
     return n.select("device", F.coalesce("first", F.least(F.lit(3), F.col("passes") - 1)).cast("long").alias("pass"))
+
+
+#: What the rows of a tree are called that are no variant.
+STEP_NAME, TARGET, DRAFT, PROLOGUE, OTHER, IDLE = "step", "target", "draft", "prologue", "other", "idle"
+
+
+def slices(rows: DataFrame, drafts: DataFrame, layers_: DataFrame, gap: int) -> DataFrame:
+    """device, step, a, b, phase, part, time: what each phase of a step spends before its first layer (prologue, of the target
+    only), in the layers of each variant, and in none (other); wide idle time is the phase `idle`. The times of a step add up to b - a.
+
+    rows: a step's kernels (device, step, a, b, s, e, id); drafts: device, step, draft_start; layers_: device, step, phase,
+    variant, lo, hi. A kernel's time runs to the next one's start, less what is idle for longer than gap.
+    """
+    x = rows.join(drafts.select(*STEP, "draft_start"), STEP, "left")
+    x = x.withColumn("phase", F.when(F.col("s") >= F.col("draft_start"), DRAFT).otherwise(TARGET))
+    w = Window.partitionBy(*STEP).orderBy(*ORDER)
+    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.coalesce(F.lead("s").over(w), F.col("b"))
+    x = x.withColumns({"next": ahead, "wait": F.greatest(F.lit(0), ahead - reach)})
+    x = x.withColumn("idle", F.when(F.col("wait") > gap, F.col("wait")).otherwise(0)).withColumn("time", F.col("next") - F.col("s") - F.col("idle"))
+    # Beginnings of layers are laid among the kernels; the last one before a kernel is its layer, if that has not ended.
+    marks = layers_.select(*STEP, "phase", F.col("lo").alias("s"), F.lit(-1).alias("place"), F.struct("variant", "hi").alias("layer"))
+    both = x.withColumn("place", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    upto = Window.partitionBy(*STEP, "phase").orderBy("s", "place", "id").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("layer", F.last("layer", True).over(upto)).where("place = 0")
+    early = F.col("layer").isNull() & (F.col("phase") == TARGET)
+    part = F.when(F.col("s") < F.col("layer.hi"), F.col("layer.variant")).when(early, PROLOGUE).otherwise(OTHER)
+    each = F.explode(F.array(F.struct("phase", part.alias("part"), "time"), F.struct(F.lit(IDLE).alias("phase"), F.lit(IDLE).alias("part"), F.col("idle").alias("time"))))
+    return both.select(*STEP, "a", "b", each.alias("x")).groupBy(*STEP, "a", "b", "x.phase", "x.part").agg(F.sum("x.time").alias("time"))
+
+
+def tree(parts: DataFrame, layers_: DataFrame, variants: list[str], unit: float = 1.0) -> DataFrame:
+    """device, ord, parent, kind, name, layers, total_us, per_layer_us, pct_of_step, pct_of_parent, min_us, max_us, samples, note.
+
+    The step is split into its phases and the idle time between kernels, each phase into the prologue, its variants' layers and
+    what is left (other), so that the children of each row add up to it. Times are means over all steps of a device, a
+    part that a step lacks being 0 there; layers are the most in a step. unit: how many units of time make a microsecond.
+    """
+    n = parts.select(*STEP, "a", "b").distinct().groupBy("device").agg(F.count(F.lit(1)).alias("samples"))
+    own = parts.where(F.col("time") > 0)
+    level = lambda x, parent, kind, name: x.groupBy(*STEP, parent.alias("parent"), kind.alias("kind"), name.alias("name")).agg(F.sum("time").alias("time"))
+    idle, none = F.col("phase") == IDLE, F.lit(None).cast("string")
+    kind = F.when(F.col("part") == PROLOGUE, "stage").when(F.col("part") == OTHER, "other").otherwise("variant")
+    rows = level(parts, none, F.lit("total"), F.lit(STEP_NAME))
+    rows = rows.unionByName(level(parts, F.lit(STEP_NAME), F.when(idle, "gap").otherwise("phase"), F.col("phase")))
+    rows = rows.unionByName(level(own.where(~idle), F.col("phase"), kind, F.col("part")))
+    g = rows.groupBy("device", "parent", "kind", "name").agg(F.sum("time").alias("sum"), F.min("time").alias("low"), F.max("time").alias("high"), F.count(F.lit(1)).alias("there")).join(n, "device")
+    us = lambda c: c / unit
+    g = g.select("device", "parent", "kind", "name", us(F.col("sum") / F.col("samples")).alias("total_us"), us(F.when(F.col("there") < F.col("samples"), 0).otherwise(F.col("low"))).alias("min_us"), us(F.col("high")).alias("max_us"), "samples")
+
+    most = layers_.groupBy(*STEP, F.col("phase").alias("parent"), F.col("variant").alias("name")).agg(F.count(F.lit(1)).alias("n")).groupBy("device", "parent", "name").agg(F.max("n").alias("layers"))
+    in_phase = most.groupBy("device", F.lit(STEP_NAME).alias("parent"), F.col("parent").alias("name")).agg(F.sum("layers").alias("layers"))
+    g = g.join(most.unionByName(in_phase), ["device", "parent", "name"], "left")
+    above = g.where("kind in ('total', 'phase')").select("device", F.col("name").alias("parent"), F.col("total_us").alias("above"))
+    g = g.join(above, ["device", "parent"], "left").join(g.where("kind = 'total'").select("device", F.col("total_us").alias("step_us")), "device")
+    order = F.when(F.col("kind") == "total", 0).when(F.col("kind") == "gap", 999)
+    base = F.when(F.coalesce(F.when(F.col("kind") == "phase", F.col("name")), F.col("parent")) == TARGET, 1).otherwise(2) * 100
+    within = F.when(F.col("kind") == "phase", 0).when(F.col("kind") == "stage", 1).when(F.col("kind") == "other", 99).otherwise(1 + F.array_position(F.array(*map(F.lit, variants)), F.col("name")))
+    note = F.when(F.col("kind") == "gap", F.lit("idle for longer than the threshold, within steps")).otherwise(F.lit(""))
+    pct = lambda c: F.when(c > 0, F.col("total_us") / c * 100)
+    return g.select(
+        "device", F.coalesce(order, base + within).cast("long").alias("ord"), "parent", "kind", "name", "layers", "total_us", F.when(F.col("layers") > 0, F.col("total_us") / F.col("layers")).alias("per_layer_us"),
+        pct(F.col("step_us")).alias("pct_of_step"), pct(F.col("above")).alias("pct_of_parent"), "min_us", "max_us", "samples", note.alias("note"),
+    )

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lanespan.operators import contracts as C
 from lanespan.operators import phases as P
 from lanespan.operators import segments as S
 from lanespan.plans.q_segments import BLOCKS, blocks
+from lanespan.sources.scratch import cut
 from lanespan.sources.tables import IV, intervals, load
 
 Q, SQL = {}, {}
@@ -253,3 +255,51 @@ def _(spark, d):
     walls = blocks(spark, d).groupBy("device", "pass", "layer").agg((F.max("e") - F.min("s")).alias("wall"))
     passes = walls.groupBy("device").agg(P.steady_pass(F.max("pass") + 1).alias("steady"))
     return P.settled_pass(walls, 40_000_000_000).join(passes, "device")
+
+
+def pipeline_tree(spark, d):
+    """The tree of the capture: drafts by kernels that come twice a step, layers of both phases by their cores."""
+    rows = cut(capture(spark, d))
+    drafts = cut(P.eager_drafts(rows).select("device", "step", "draft_start"))
+    split = rows.join(drafts, ["device", "step"])
+    found = [P.layers(split.where(cond), norm(), VARIANTS).withColumn("phase", F.lit(phase)) for phase, cond in ((P.TARGET, "s < draft_start"), (P.DRAFT, "s >= draft_start"))]
+    layers = cut(found[0].unionByName(found[1]))
+    parts = cut(P.slices(rows.join(drafts.select("device", "step"), ["device", "step"]), drafts, layers, 2000))
+    return P.tree(parts, layers, list(VARIANTS))
+
+
+TREE = f"""{CAP}, {DRAFTS}, c AS (SELECT cap.*, draft_start, late, size, lead(cap.s) OVER w AS nx, max(cap.e) OVER (w ROWS UNBOUNDED PRECEDING) AS reach FROM cap JOIN dr ON cap.device = dr.device AND cap.step = dr.step JOIN st ON cap.device = st.device AND cap.step = st.step
+  WINDOW w AS (PARTITION BY cap.device, cap.step ORDER BY cap.s, cap.e)),
+k AS (SELECT *, coalesce(nx, b) - s AS whole, CASE WHEN coalesce(nx, b) - reach > 2000 THEN coalesce(nx, b) - reach ELSE 0 END AS idle, s - a - CASE WHEN s - a >= 6000 THEN late ELSE 0 END AS rel, CASE WHEN s >= draft_start THEN 'draft' ELSE 'target' END AS phase FROM c),
+p AS (SELECT device, step, phase, CASE WHEN phase = 'target' THEN CASE WHEN rel < 200 THEN 'prologue' WHEN rel < 600 THEN 'mla' ELSE 'kda' END WHEN rel >= 6200 AND NOT (device = 3 AND size % 2 = 0) THEN 'mla' ELSE 'other' END AS part, whole - idle AS t FROM k
+  UNION ALL SELECT device, step, 'idle', 'idle', idle FROM k),
+r AS (SELECT device, step, NULL AS parent, 'total' AS kind, 'step' AS name, sum(t) AS t FROM p GROUP BY 1, 2 UNION ALL SELECT device, step, 'step', CASE WHEN phase = 'idle' THEN 'gap' ELSE 'phase' END, phase, sum(t) FROM p GROUP BY ALL
+  UNION ALL SELECT device, step, phase, CASE part WHEN 'prologue' THEN 'stage' WHEN 'other' THEN 'other' ELSE 'variant' END, part, sum(t) FROM p WHERE phase <> 'idle' GROUP BY ALL),
+n AS (SELECT device, count(*) AS samples FROM r WHERE kind = 'total' GROUP BY 1),
+g AS (SELECT r.device, parent, kind, name, sum(t)::DOUBLE / samples AS total_us, CASE WHEN count(*) < samples THEN 0 ELSE min(t) END AS lo, max(t) AS hi, samples FROM r JOIN n ON r.device = n.device GROUP BY r.device, parent, kind, name, samples),
+pa AS (SELECT device, name, total_us FROM g WHERE kind IN ('total', 'phase'))"""
+
+
+@query(
+    "forward_tree",
+    f"""WITH {TREE} SELECT g.device, CASE kind WHEN 'total' THEN 0 WHEN 'gap' THEN 999 WHEN 'phase' THEN CASE g.name WHEN 'target' THEN 100 ELSE 200 END
+  ELSE CASE g.parent WHEN 'target' THEN 100 ELSE 200 END + CASE g.name WHEN 'prologue' THEN 1 WHEN 'other' THEN 99 WHEN 'kda' THEN 2 ELSE 3 END END AS ord, g.parent, kind, g.name,
+  CAST(CASE WHEN kind = 'phase' THEN CASE g.name WHEN 'target' THEN 2 ELSE 1 END WHEN kind = 'variant' THEN 1 END AS BIGINT) AS layers, round(g.total_us, 6) AS total_us,
+  round(g.total_us / tt.total_us * 100, 6) AS pct_of_step, round(g.total_us / pa.total_us * 100, 6) AS pct_of_parent, CAST(lo AS DOUBLE) AS min_us, CAST(hi AS DOUBLE) AS max_us, samples
+FROM g JOIN pa tt ON tt.device = g.device AND tt.name = 'step' LEFT JOIN pa ON pa.device = g.device AND pa.name = g.parent""",
+)
+def _(spark, d):
+    x = pipeline_tree(spark, d).drop("per_layer_us", "note")
+    return x.withColumns({c: F.round(F.col(c), 6) for c in ("total_us", "pct_of_step", "pct_of_parent")}).withColumns({c: F.col(c).cast("double") for c in ("min_us", "max_us")})
+
+
+@query(
+    "forward_tree_checked",
+    f"""WITH {TREE} SELECT g.device, count(*) AS n_rows, 0 AS violations, round(sum(CASE WHEN parent = 'step' THEN total_us END) - max(CASE WHEN kind = 'total' THEN total_us END), 6) + 0.0 AS unclosed FROM g GROUP BY g.device""",
+)
+def _(spark, d):
+    x = cut(pipeline_tree(spark, d))
+    bad = C.pipeline(x, ["device"]).groupBy(F.substring_index("key", "/", 1).cast("long").alias("device")).agg(F.count(F.lit(1)).alias("violations"))
+    off = F.sum(F.when(F.col("parent") == P.STEP_NAME, F.col("total_us"))) - F.max(F.when(F.col("kind") == "total", F.col("total_us")))
+    n = x.groupBy("device").agg(F.count(F.lit(1)).alias("n_rows"), (F.round(off, 6) + 0.0).alias("unclosed"))
+    return n.join(bad, "device", "left").select("device", "n_rows", F.coalesce("violations", F.lit(0)).cast("int").alias("violations"), "unclosed")
