@@ -26,13 +26,19 @@ def lookup(values: dict[str, str], *keys: Column) -> Column:
     return F.coalesce(*[F.element_at(m, k.cast("string")) for k in keys], F.lit(values.get("*")))
 
 
-def window(kernels: DataFrame, first: int, last: int, modules: dict, functions: dict | None = None, reasons: dict | None = None) -> DataFrame:
+def window(kernels: DataFrame, first: int, last: int, modules: dict, functions: dict | None = None, reasons: dict | None = None, strict: bool = False) -> DataFrame:
     """Kernels with index first to last of each device, with their module by index, else by place in the window, else unknown/<index>.
 
     group is the module with its occurrence, where the map tells one. Functions and reasons are looked up by index, place, module and *.
+    strict: a device with fewer kernels than that is an error.
     """
     spark = kernels.sparkSession
     rows = S.numbered(kernels, ["device"], ["s", "e", "name"]).where(F.col("idx").between(first, last)).withColumn("place", F.col("idx") - first)
+    if strict:
+        n = kernels.groupBy("device").agg(F.count(F.lit(1)).alias("__n"))
+        short = F.concat(F.lit(f"the window [{first}, {last}] was asked for, but device "), F.col("device").cast("string"), F.lit(" has only "), F.col("__n").cast("string"), F.lit(" kernels"))
+        n = n.withColumn("__ok", F.when(F.col("__n") > last, True).otherwise(F.raise_error(short).cast("boolean")))
+        rows = rows.join(n.where("__ok").select("device"), "device")
     m = map_frame(spark, modules)
     by = lambda n, c: rows_join(n, c, m)
     for n, c in (("i", "idx"), ("p", "place")):

@@ -40,11 +40,12 @@ def routed(origin: DataFrame, regions: DataFrame | None) -> DataFrame:
     return x.withColumn("region", F.coalesce(own, "__region", F.lit(first))).drop("__region", "low", "high")
 
 
-def enriched(origin: DataFrame, rules: list[dict], positions: DataFrame | None = None) -> DataFrame:
+def enriched(origin: DataFrame, rules: list[dict], positions: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Kernel rows with unit fields, duration, module label, category, concurrency and share of their region's unit.
 
     origin: region, seq, module, operator_name, duration_us, duration_avg_us, start_ns, end_ns, stream, layer_id, unit_position,
     unit_id, unit_variant, function_introduction. positions: layer_id, p_position, p_id, p_variant.
+    strict: a row without one of its unit fields where positions are given, and a region whose unit takes no time, are errors.
     """
     footer = F.col("module") == FOOTER
     rows = origin.where(~footer)
@@ -52,6 +53,9 @@ def enriched(origin: DataFrame, rules: list[dict], positions: DataFrame | None =
         rows = rows.join(positions, "layer_id", "left")
     unit = lambda c, p: F.coalesce(truthy(F.col(c), ""), rule_value(rules, c), F.col(p).cast("string") if positions is not None else F.lit(None), F.lit(""))
     rows = rows.withColumns({c: unit(c, p) for c, p in (("unit_position", "p_position"), ("unit_id", "p_id"), ("unit_variant", "p_variant"))})
+    if strict and positions is not None:
+        wrong = lambda c: F.raise_error(F.concat(F.lit(f"{c} is missing in row "), F.col("seq").cast("string"))).cast("string")
+        rows = rows.withColumns({c: F.when(F.col(c) != "", F.col(c)).otherwise(wrong(c)) for c in ("unit_position", "unit_id", "unit_variant")})
     rows = rows.withColumn("duration", F.coalesce(truthy(F.col("duration_avg_us")), truthy(F.col("duration_us")), F.lit(0.0)))
 
     names = origin.select("operator_name").distinct().withColumn("operator", K.table_name(F.col("operator_name")))  # once for each name
@@ -63,6 +67,9 @@ def enriched(origin: DataFrame, rules: list[dict], positions: DataFrame | None =
     ends = origin.where(footer).groupBy("region").agg(F.max(F.struct("seq", F.coalesce(truthy(F.col("duration_avg_us")), truthy(F.col("duration_us"))).alias("d"))).alias("x")).select("region", F.col("x.d").alias("told"))
     wall = rows.groupBy("region").agg(((F.max("end_ns") - F.min("start_ns")) / 1000.0).alias("wall"))
     total = wall.join(ends, "region", "left").select("region", F.coalesce("told", "wall").alias("unit_us"))
+    if strict:
+        none = F.raise_error(F.concat(F.lit("the unit takes no time in region "), "region")).cast("double")
+        total = total.withColumn("unit_us", F.when(F.col("unit_us") > 0, F.col("unit_us")).otherwise(none))
     lanes = rows.where("end_ns > start_ns").select("region", F.col("stream").cast("string").alias("stream"), F.col("seq").alias("id"), F.col("start_ns").alias("s"), F.col("end_ns").alias("e"))
     lanes = lanes.withColumn("id", F.concat_ws("/", "region", "id"))
     shared = I.concurrency(lanes, "region", "stream").select(F.col("id").alias("__id"), "ratio")

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanespan.operators import checks as C
+from lanespan.operators import contracts as V
 from lanespan.operators import segments as S
 from lanespan.plans.q_intervals import DECOMPOSITION, decomposition
 from lanespan.plans.q_joins import BAG, bags
 from lanespan.plans.q_rollups import TOTALS, totals
 from lanespan.plans.q_segments import BLOCKS, blocks
+from lanespan.sources.repair import published
 from lanespan.sources.sinks import workbook_of
 from lanespan.sources.tables import intervals, load
 from lanespan.streaming.events import session_windows
+from lanespan.streaming.stateful import new_folder
 
 Q, SQL = {}, {}
 
@@ -119,3 +122,19 @@ def _(spark, d):
 @query("table_to_workbook")
 def _(spark, d):
     return workbook_of(load(spark, d, "nation").orderBy("n_nationkey"), "nation")
+
+
+@query(
+    "repaired_table",
+    """WITH t AS (SELECT o_custkey AS customer, count(*) AS orders, min(o_totalprice) AS least FROM orders GROUP BY 1) SELECT 'current' AS place, count(*) AS n_rows, CAST(sum(orders) AS BIGINT) AS orders, 0 AS broken FROM t
+UNION ALL SELECT 'rejected', count(*), CAST(sum(CASE WHEN customer % 7 = 0 THEN -1 ELSE orders END) AS BIGINT), count(CASE WHEN customer % 7 = 0 THEN 1 END) FROM t""",
+)
+def _(spark, d):
+    """A table of customers of which every seventh was written wrong is derived again from the orders."""
+    build = lambda: load(spark, d, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(F.count(F.lit(1)).alias("orders"))
+    wrong = F.when(F.col("customer") % 7 == 0, -1).otherwise(F.col("orders")).cast("long")
+    root = new_folder(spark)
+    build().withColumn("orders", wrong).write.parquet(f"{root}/current")
+    published(spark, root, build, lambda x: V.violations(x, "has_orders", F.col("orders") <= 0, F.col("customer"), F.col("orders")))
+    count = lambda n, path: spark.read.parquet(f"{root}/{path}").agg(F.lit(n).alias("place"), F.count(F.lit(1)).alias("n_rows"), F.sum("orders").alias("orders"), F.count_if(F.col("orders") <= 0).cast("int").alias("broken"))
+    return count("current", "current").unionByName(count("rejected", "rejected/0"))
