@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from lanespan.sources.scratch import folder
 
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MARKER = "[log is full]"
 #: Microseconds that the last row of a stream lies behind all others.
@@ -24,14 +25,16 @@ FAR = 10 * 365 * 86_400_000_000
 
 
 @contextmanager
-def rocksdb(spark: SparkSession):
-    """State of any kind needs this store; it is named when a stream starts."""
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+def settings(spark: SparkSession, **values: str):
+    """Settings that a stream takes when it starts."""
+    before = {n: spark.conf.get(n, None) for n in values}
+    for n, v in values.items():
+        spark.conf.set(n, v)
     try:
         yield
     finally:
-        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -46,12 +49,12 @@ def arrivals(df: DataFrame, batch: str, batches: int) -> DataFrame:
     return spark.readStream.schema(df.drop(batch).schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there into a table of the shared folder, and read that. In update mode the table holds each row's versions by `batch`."""
+def drained(stream: DataFrame, mode: str = "append", by_clock: bool = False) -> DataFrame:
+    """Run a stream over all that is there into a table of the shared folder, and read that. In update mode the table holds each row's versions by `batch`. State that expires by the clock (by_clock) would have batches without data run for ever, so it has none."""
     spark, root = stream.sparkSession, new_folder(stream.sparkSession)
     schema = stream.schema
     writer = stream.writeStream.option("checkpointLocation", f"{root}/state").outputMode(mode).trigger(availableNow=True)
-    with rocksdb(spark):
+    with settings(spark, **{STORE: ROCKS, NO_DATA: "false" if by_clock else "true"}):
         if mode == "append":
             writer.format("parquet").option("path", f"{root}/out").start().awaitTermination()
         else:
