@@ -8,8 +8,8 @@ meets in one shard, and all that is known of a context in another:
 2. Each shard merges its blocks into sorted arrays, finds the blocks' pairs in them by binary search, and stores the
    counts with the places of the blocks' pairs. For each context it met it asks that context's shard, telling its sums.
 3. Context shards add up these sums and answer. Sums over all shards give the discounts; nothing else is gathered.
-4. Each shard's stored arrays are inflated straight into a file of the task and mapped into memory from there, so that a
-   worker holds only the pages it is reading; with its contexts' sums beside them it returns sums by document.
+4. Each shard's stored arrays are inflated straight into a file of the task and mapped into memory from there, beside
+   which a worker still holds one shard's packed blocks and scores; with its contexts' sums it returns sums by document.
 
 A few words may hold a large part of all tokens. Those that a sample finds are dealt to sub-shards by context; the
 sample only balances the work, as any list gives the same scores. A frequent context is added up within each shard first.

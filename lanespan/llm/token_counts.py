@@ -202,5 +202,5 @@ def token_counts(docs: DataFrame, model: str = PIECES, limit: int = LIMIT, with_
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """The counts of all prefixes are made and stored with each row; the digest leaves them out."""
+    """The counts of all prefixes are made for each row; the digest leaves them out."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_prefixes=True).drop("prefixes")
