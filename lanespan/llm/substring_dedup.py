@@ -1,32 +1,40 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
-A suffix starts at a word, and a repeat is a node of the suffix tree at least `window` words deep; as every word of a
-deeper node also lies in a node of exactly that depth, subtrees are cut there. Suffixes are dealt to memory-sized
-groups by prefixes of variable length: as many words as it takes to hold PREFIX_BYTES bytes, so that short frequent
-words make longer prefixes. A group's suffixes in order are its subtree, runs of equal windows its deep nodes, and the
-first suffix of a node, by id and place, is the one that stays.
-
-Most suffixes share no node with another. They are found first, and left out, by anchors: of each window the `gram`
-words within it whose hash is least. Equal windows have equal anchors, so a suffix whose window has no repeated anchor
-is alone. Texts that are equal as a whole are one class, of which the smallest id is looked at. Equal windows meet
-within an input block first, and only the first of them goes on to its group.
+A suffix starts at a word, and a repeat is an internal node of the suffix tree at least `window` words deep; as every word
+of a deeper node also lies in a node of exactly that depth, subtrees are cut there.
+
+1. Most suffixes share no such node with another. They are found first, and left out, by anchors: of each window the
+   `gram` words within it whose hash is least. Equal windows have equal anchors, so a suffix whose window has no repeated
+   anchor is alone. Texts that are equal as a whole are one class, of which the smallest id is looked at.
+2. Equal windows meet within an input block, word by word, and only the first of them goes on, with its words.
+3. Suffixes are dealt to groups by prefixes of variable length: first as many words as it takes to hold PREFIX_BYTES bytes.
+   The suffixes of each group are counted, and groups too large for a task are cut again by prefixes of twice the words,
+   as often as it takes. What a prefix of a whole window leaves too large are repeats of few windows over many blocks;
+   these are merged in parts first.
+4. A group's suffixes, ordered by their words, are the leaves of its subtrees, and the lengths of common prefixes of
+   neighbours give the internal nodes. Of a node `window` deep the first suffix, by id and place, is the one that stays;
+   the others repeat it. Neighbouring repeats of a text join to its maximal runs of repeated words.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from lanespan.llm.common import mix64, pack, sent, shards_for, starts, stash, unpack, with_group, word_hashes
+from lanespan.llm.common import mix64, pack, shards_for, starts, stash, unpack, with_group, word_hashes
 
 WINDOW = 20
 PREFIX_BYTES = 24
 BLOCK_WORDS = 1_000_000
+#: Characters of text for each group of suffixes, and suffixes that a group may have before it is cut again.
+GROUP_CHARS, GROUP_SUFFIXES = 2_000_000, 500_000
 SENT_ROWS = 400_000
 HOT_SHARE = 1 / 1024
 LAST = (1 << 63) - 1
@@ -102,8 +110,8 @@ class Cutter:
     KINDS = {"n": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "sha": pa.string(), "places": pa.binary(), "shard": pa.int32(), "payload": pa.binary()}
     SCHEMA = "n long, k1 long, k2 long, sha string, places binary, shard int, payload binary"
 
-    def __init__(self, window: int, shards: int):
-        self.window, self.shards = window, shards
+    def __init__(self, window: int, shards: int, key):
+        self.window, self.shards, self.key = window, shards, key
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = {}, set()
@@ -114,12 +122,12 @@ class Cutter:
             for t in b.column(1).to_pylist():
                 words = (t or b"").split()
                 joined = b" ".join(words)
-                key = key_of(joined)
+                key = self.key(joined)
                 rows.append((len(words), *key, hashlib.sha256(joined).hexdigest()))
                 if len(words) >= self.window and key not in met:
                     met.add(key)
                     hashes.append(word_hashes(words, known))
-                    keys.append(key[0])
+                    keys.append(key)
                     size += len(words)
                     if len(known) > 300_000:
                         known.clear()
@@ -136,70 +144,78 @@ class Cutter:
         at, anchor = w.anchors(self.window // 2)
         order = np.argsort(anchor, kind="stable")
         at, anchor = at[order], anchor[order]
-        key = np.array(keys, np.int64)
+        k1, k2 = np.array(keys, np.int64).T
         doc = w.doc[at]
         place = (at - w.begin[doc]).astype(np.uint32)
         first = starts(anchor)
         n = np.diff(np.append(first, len(anchor)))
         several = np.repeat(n > 1, n)
-        yield from self.placed(kind, key[doc[several]], place[several])
+        yield from self.placed(kind, k1[doc[several]], k2[doc[several]], place[several])
         shard = ((anchor[first] >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
         cuts = starts(shard)
         for lo, hi in zip(cuts, np.append(cuts[1:], len(shard)), strict=True):
             f = first[lo:hi]
             used, local = np.unique(doc[f], return_inverse=True)
-            payload = pack(anchor[f], local.astype(np.uint32), place[f], (n[lo:hi] > 1).astype(np.uint8), key[used])
+            payload = pack(anchor[f], local.astype(np.uint32), place[f], (n[lo:hi] > 1).astype(np.uint8), k1[used], k2[used])
             yield nulls(1, None, kind, self.KINDS, shard=[int(shard[lo])], payload=[payload])
 
-    def placed(self, kind: pa.DataType, key: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(key):
-            k, p = by_key(key, place)
-            yield nulls(len(k), None, kind, self.KINDS, k1=k, places=p)
+    def placed(self, kind: pa.DataType, k1: np.ndarray, k2: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(k1):
+            own = by_text(place, k1, k2)
+            yield nulls(len(own[0]), None, kind, self.KINDS, places=own[0], k1=own[1], k2=own[2])
 
 
-def by_key(key: np.ndarray, place: np.ndarray) -> tuple[list[int], list[bytes]]:
-    order = np.lexsort((place, key))
-    key, place = key[order], place[order].astype(np.uint32)
-    at = starts(key)
-    return key[at].tolist(), [pack(x) for x in np.split(place, at[1:])]
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def by_text(place: np.ndarray, *text: np.ndarray) -> list[list]:
+    """The packed places of each text, then what names it."""
+    order = np.lexsort((place, *reversed(text)))
+    place, text = place[order].astype(np.uint32), [t[order] for t in text]
+    at = np.flatnonzero(changes(*text))
+    return [[pack(x) for x in np.split(place, at[1:])], *(t[at].tolist() for t in text)]
 
 
 def repeated_anchors(table: pa.Table) -> pa.Table:
-    """k1, places of the anchors that several blocks of the shard have."""
-    parts = [unpack(p, "<u8", "<u4", "<u4", "u1", "<i8") for p in table["payload"].to_pylist()]
-    anchor = np.concatenate([p[0] for p in parts])
-    key = np.concatenate([p[4][p[1]] for p in parts])
-    place = np.concatenate([p[2] for p in parts])
-    told = np.concatenate([p[3] for p in parts])
+    """k1, k2, places of the anchors that several blocks of the shard have."""
+    parts = [unpack(p, "<u8", "<u4", "<u4", "u1", "<i8", "<i8") for p in table["payload"].to_pylist()]
+    anchor, place, told = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3))
+    k1, k2 = (np.concatenate([p[i][p[1]] for p in parts]) for i in (4, 5))
     order = np.argsort(anchor, kind="stable")
-    anchor, key, place, told = anchor[order], key[order], place[order], told[order]
+    anchor, k1, k2, place, told = anchor[order], k1[order], k2[order], place[order], told[order]
     at = starts(anchor)
     n = np.diff(np.append(at, len(anchor)))
     differ = lambda x: np.maximum.reduceat(x, at) != np.minimum.reduceat(x, at)  # noqa: E731  copies of a class are one
-    keep = np.repeat(differ(key) | differ(place) | (np.maximum.reduceat(told, at) > 0), n) & (told == 0)
-    k, p = by_key(key[keep], place[keep]) if keep.any() else ([], [])
-    return pa.table({"k1": pa.array(k, pa.int64()), "places": pa.array(p, pa.binary())})
+    keep = np.repeat(differ(k1) | differ(k2) | differ(place) | (np.maximum.reduceat(told, at) > 0), n) & (told == 0)
+    places, a, b = by_text(place[keep], k1[keep], k2[keep]) if keep.any() else ([], [], [])
+    return pa.table({"k1": pa.array(a, pa.int64()), "k2": pa.array(b, pa.int64()), "places": pa.array(places, pa.binary())})
 
 
 class Suffixes:
     """The second pass: suffixes whose window has a repeated anchor, by group; those that come later within a block are told apart here."""
 
-    KINDS = {"low": pa.int64(), "k1": pa.int64(), "later": pa.binary(), "shard": pa.int32(), "payload": pa.binary()}
-    SCHEMA = "low long, k1 long, later binary, shard int, payload binary"
+    KINDS = {"low": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "later": pa.binary(), "shard": pa.int64(), "m": pa.int32(), "payload": pa.binary()}
+    SCHEMA = "low long, k1 long, k2 long, later binary, shard long, m int, payload binary"
 
-    def __init__(self, window: int, shards: int):
-        self.window, self.shards = window, shards
+    def __init__(self, window: int, groups: int, key):
+        self.window, self.groups, self.key = window, groups, key
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         texts, size = [], 0
         for b in batches:
-            for t, low, k1, places in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for t, low, k1, k2, places in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 words = (t or b"").split()
-                if key_of(b" ".join(words))[0] != k1:
+                if self.key(b" ".join(words)) != (k1, k2):
                     continue
                 at = np.unique(np.concatenate([unpack(p, "<u4")[0] for p in places])).astype(np.int64)
-                texts.append((word_hashes(words, known), np.array([len(w) for w in words], np.int64), low, k1, at))
+                texts.append((word_hashes(words, known), np.array([len(w) for w in words], np.int64), (low, k1, k2), at))
                 size += len(words)
                 if len(known) > 300_000:
                     known.clear()
@@ -215,44 +231,101 @@ class Suffixes:
 
     def flush(self, texts: list) -> Iterator[pa.RecordBatch]:
         w = Words([t[0] for t in texts], self.window)
-        low, k1 = np.array([t[2] for t in texts], np.int64), np.array([t[3] for t in texts], np.int64)
-        anchor = np.concatenate([t[4] + b for t, b in zip(texts, w.begin, strict=True)])
+        names = np.array([t[2] for t in texts], np.int64).T
+        anchor = np.concatenate([t[3] + b for t, b in zip(texts, w.begin, strict=True)])
         delta = np.zeros(w.n + 1, np.int64)
         np.add.at(delta, np.maximum(w.begin[w.doc[anchor]], anchor - (self.window - self.window // 2)), 1)
         np.add.at(delta, anchor + 1, -1)
         at = np.flatnonzero((np.cumsum(delta[:-1]) > 0) & w.whole)
-        node = w.runs(at, self.window)
-        check = (w.runs(at, self.window, w.summed(mix64(w.h))) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        size = np.concatenate([[0], np.cumsum(np.concatenate([t[1] for t in texts]))])
-        length = np.clip(np.searchsorted(size, size[at] + PREFIX_BYTES) - at, 1, self.window)
-        prefix = w.runs(at, length)
-        doc = w.doc[at]
+        node, doc = w.runs(at, self.window), w.doc[at]
         place = (at - w.begin[doc]).astype(np.uint32)
-        first, later = first_of(node, check, low[doc], k1[doc], place)
-        yield from self.told(low[doc[later]], k1[doc[later]], place[later])
-        shard = ((prefix[first] >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        first, shard = first[order], shard[order]
-        cuts = starts(shard)
-        for lo, hi in zip(cuts, np.append(cuts[1:], len(shard)), strict=True):
-            f = first[lo:hi]
+        order = np.lexsort((place, *(x[doc] for x in names[::-1]), node))
+        new = changes(node[order])
+        for j in range(self.window):  # equal hashes are held against the words
+            new |= changes(w.h[at[order] + j])
+        first, later = self.told_apart(order, new, doc, place, names)
+        yield from later
+        at, node, doc, place = at[first], node[first], doc[first], place[first]
+        size = np.concatenate([[0], np.cumsum(np.concatenate([t[1] for t in texts]))])
+        prefix = w.runs(at, np.clip(np.searchsorted(size, size[at] + PREFIX_BYTES) - at, 1, self.window))
+        group = ((prefix >> np.uint64(32)) * np.uint64(self.groups) >> np.uint64(32)).astype(np.int64)
+        short = (w.h >> np.uint64(32)).astype(np.uint32)
+        yield from self.dealt(group, node, lambda f: short[at[f][:, None] + np.arange(self.window)], doc, place, names)
+
+    def told_apart(self, order: np.ndarray, new: np.ndarray, doc: np.ndarray, place: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, list[pa.RecordBatch]]:
+        """The first suffix of each node, and a batch of those that come later in theirs. A suffix of a row that is there twice is one."""
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        same = place[order] == place[head]
+        for x in names:
+            same &= x[doc[order]] == x[doc[head]]
+        later = order[~new & ~same]
+        if not len(later):
+            return order[new], []
+        places, low, k1, k2 = by_text(place[later], *(x[doc[later]] for x in names))
+        return order[new], [self.batch(low=low, k1=k1, k2=k2, later=places)]
+
+    def dealt(self, group: np.ndarray, node: np.ndarray, words_of, doc: np.ndarray, place: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A row for each group, with the suffixes that go there and their words."""
+        order = np.argsort(group, kind="stable")
+        cuts = starts(group[order])
+        for f in np.split(order, cuts[1:]) if len(order) else []:
             used, local = np.unique(doc[f], return_inverse=True)
-            yield self.batch(shard=[int(shard[lo])], payload=[pack(node[f], check[f], local.astype(np.uint32), place[f], low[used], k1[used])])
-
-    def told(self, low: np.ndarray, k1: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(low):
-            order = np.lexsort((place, k1, low))
-            low, k1, place = low[order], k1[order], place[order]
-            at = np.union1d(starts(low), starts(k1))
-            yield self.batch(low=low[at], k1=k1[at], later=[pack(x) for x in np.split(place, at[1:])])
-
-
-def first_of(node: np.ndarray, check: np.ndarray, low: np.ndarray, k1: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the suffixes in order: the first of each deep node, and those that come later in theirs."""
-    order = np.lexsort((place, k1, low, check, node))
-    n, c = node[order], check[order]
-    new = np.concatenate([[True], (n[1:] != n[:-1]) | (c[1:] != c[:-1])]) if len(n) else np.zeros(0, bool)
-    return order[new], order[~new]
+            yield self.batch(shard=[int(group[f[0]])], m=[len(f)], payload=[pack(node[f], words_of(f), local.astype(np.uint32), place[f], *(x[used] for x in names))])
+
+    def held(self, payloads: list[bytes]) -> tuple[np.ndarray, ...]:
+        """node, words, doc, place, names of the suffixes of several rows."""
+        parts = [unpack(p, "<u8", "<u4", "<u4", "<u4", "<i8", "<i8", "<i8") for p in payloads]
+        before = np.cumsum([0] + [len(p[4]) for p in parts])
+        node, words, place = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3))
+        doc = np.concatenate([p[2] + b for p, b in zip(parts, before, strict=False)])
+        return node, words.reshape(-1, self.window), doc, place, np.array([np.concatenate([p[i] for p in parts]) for i in (4, 5, 6)])
+
+    def cut_again(self, length: int):
+        """Rows of groups that are too large, dealt anew by prefixes of so many words to as many groups as their suffixes need."""
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for shard, pieces, payload in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                    node, words, doc, place, names = self.held([payload])
+                    prefix = np.full(len(node), shard & (1 << 64) - 1, np.uint64)
+                    old = mix64(prefix)
+                    for j in range(length):
+                        prefix = mix64(prefix * BASE + words[:, j])
+                    piece = (prefix >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)
+                    yield from self.dealt(mix64(old + piece).view(np.int64), node, lambda f, words=words: words[f], doc, place, names)
+
+        return cut
+
+    def subtrees(self, last: bool):
+        """What comes later in its node, of a group; unless this is the last look, also the first suffixes, as a row of the group."""
+
+        def in_group(table: pa.Table) -> pa.Table:
+            node, words, doc, place, names = self.held(table["payload"].to_pylist())
+            order, common = ordered(words, node, place, [x[doc] for x in names])
+            first, out = self.told_apart(order, common < self.window, doc, place, names)
+            if not last:
+                out += self.dealt(np.full(len(first), table["shard"][0].as_py()), node[first], lambda f: words[first[f]], doc[first], place[first], names)
+            return pa.Table.from_batches(out or [self.batch(low=[])])
+
+        return in_group
+
+
+def ordered(words: np.ndarray, node: np.ndarray, place: np.ndarray, names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes by their words, then by id and place; and of each how many words it begins with as the one before does.
+
+    Words are 32 bits here; suffixes with equal ones have a whole window in common if the hashes of their windows agree too.
+    """
+    n, window = words.shape
+    wide = np.zeros((n, window + window % 2), np.uint64)
+    wide[:, :window] = words
+    pairs = wide[:, ::2] << np.uint64(32) | wide[:, 1::2]
+    order = np.lexsort((place, *reversed(names), node, *pairs.T[::-1]))
+    common = np.zeros(n, np.int64)
+    w = words[order]
+    differ = w[1:] != w[:-1]
+    common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), window)
+    common[1:][(common[1:] == window) & (node[order][1:] != node[order][:-1])] = window - 1
+    return order, common
 
 
 def spans_of(places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,49 +337,45 @@ def spans_of(places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return begin, end
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", key=key_of) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, spans (begin and end of removed words).
 
     Words are [^\\x20\\x09-\\x0D]+ of the whole text, unchanged. A window of that many words repeats if its words also
     start earlier: in a smaller integer id, or before in the same text. Each word that a repeating window covers is
     removed. Null texts have no words; texts of fewer words than a window lose none. Null ids count as larger than all
     others. Rows that repeat both id and text are one document and share its result. Empty tables give empty results.
+    key gives 128 bits of the words, as two signed numbers; texts are equal if both are. Ids have to be integers: others
+    raise a ValueError.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} has to be an integer, as smaller ids start earlier")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = shards_for(chars)
-    cutter, suffixes = Cutter(window, shards), Suffixes(window, shards)
-    keys = ["k1", "k2"]
+    cutter, suffixes = Cutter(window, shards_for(chars), key), Suffixes(window, int(max(8, chars // GROUP_CHARS)), key)
+    keys, names = ["k1", "k2"], ["low", "k1", "k2"]
 
     cut = stash(rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(cutter.run, f"doc_id long, {Cutter.SCHEMA}"), "none")
     people = cut.where("n is not null").select("doc_id", "n", *keys, "sha")
     known = F.coalesce("doc_id", F.lit(LAST))
     classes = stash(people.where(F.col("n") >= window).groupBy(*keys).agg(F.min(known).alias("low"), F.count(F.lit(1)).alias("members")))
 
-    found = cut.where("shard is not null").select("shard", "payload").groupBy("shard").applyInArrow(repeated_anchors, "k1 long, places binary")
-    anchors = cut.where("places is not null").select("k1", "places").unionByName(found).groupBy("k1").agg(F.collect_list("places").alias("places"))
-    anchors = stash(anchors.join(classes.select("k1", "low"), "k1"), "none")
-    cutting = reread(rows, anchors.select("low", "k1", "places"))
-    ends = stash(cutting.select(F.col("text").cast("binary"), "low", "k1", "places").mapInArrow(suffixes.run, Suffixes.SCHEMA), "none")
+    found = cut.where("shard is not null").select("shard", "payload").groupBy("shard").applyInArrow(repeated_anchors, "k1 long, k2 long, places binary")
+    anchors = cut.where("places is not null").select(*keys, "places").unionByName(found).groupBy(*keys).agg(F.collect_list("places").alias("places"))
+    anchors = stash(anchors.join(classes.select("low", *keys), keys).select(*names, "places"), "none")
+    ends = stash(reread(rows, anchors).select(F.col("text").cast("binary"), *names, "places").mapInArrow(suffixes.run, Suffixes.SCHEMA), "none")
 
-    def in_group(table: pa.Table) -> pa.Table:
-        parts = [unpack(p, "<u8", "<u4", "<u4", "<u4", "<i8", "<i8") for p in table["payload"].to_pylist()]
-        node, check, place = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3))
-        low, k1 = (np.concatenate([p[i][p[2]] for p in parts]) for i in (4, 5))
-        _, later = first_of(node, check, low, k1, place)
-        out = list(suffixes.told(low[later], k1[later], place[later]))
-        return pa.Table.from_batches(out or [suffixes.batch(low=[])]).select(["low", "k1", "later"])
-
-    groups = ends.where("shard is not null").select("shard", "payload").groupBy("shard").applyInArrow(in_group, "low long, k1 long, later binary")
-    later = ends.where("later is not null").select("low", "k1", "later").unionByName(groups)
-    later = stash(later.groupBy("low", "k1").agg(F.collect_list("later").alias("later")), "none")
+    told = [ends.where("later is not null").select(*names, "later")]
+    for groups in sized(ends.where("shard is not null").select("shard", "m", "payload"), suffixes, told):
+        told.append(groups.groupBy("shard").applyInArrow(suffixes.subtrees(True), Suffixes.SCHEMA).select(*names, "later"))
+    later = reduce(DataFrame.unionByName, told)
+    later = stash(later.groupBy(*names).agg(F.collect_list("later").alias("later")), "none")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, k1, parts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for t, k1, k2, parts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 words = (t or b"").split()
-                if key_of(b" ".join(words))[0] != k1:
+                if key(b" ".join(words)) != (k1, k2):
                     continue
                 begin, end = spans_of(np.concatenate([unpack(p, "<u4")[0] for p in parts]), window)
                 kept, at = [], 0
@@ -314,12 +383,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                     kept += words[at:lo]
                     at = hi
                 kept += words[at:]
-                out.append((k1, len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [{"begin": x, "end": y} for x, y in zip(begin.tolist(), end.tolist(), strict=True)]))
+                out.append((k1, k2, len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [{"begin": x, "end": y} for x, y in zip(begin.tolist(), end.tolist(), strict=True)]))
             span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), span))], names=["k1", "gone", "left_sha", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), span))], names=[*keys, "gone", "left_sha", "spans"])
 
-    lost = reread(rows, later.select("low", "k1", "later")).select(F.col("text").cast("binary"), "k1", "later").mapInArrow(removed, "k1 long, gone long, left_sha string, spans array<struct<begin:bigint,end:bigint>>")
-    owners = stash(classes.join(lost.dropDuplicates(["k1"]), "k1", "left"))
+    lost = reread(rows, later).select(F.col("text").cast("binary"), *keys, "later").mapInArrow(removed, "k1 long, k2 long, gone long, left_sha string, spans array<struct<begin:bigint,end:bigint>>")
+    owners = stash(classes.join(lost.dropDuplicates(keys), keys, "left"))
 
     least = max(64, int(people.count() * HOT_SHARE) + 1)
     long_ = with_group(people.where(F.col("n") >= window), owners, keys, "members", least)
@@ -333,6 +402,26 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     return long_.unionByName(short)
 
 
+def sized(groups: DataFrame, suffixes: Suffixes, told: list[DataFrame]) -> Iterator[DataFrame]:
+    """Groups that a task can hold, as frames of shard, payload. What comes later in parts of a group too large for any prefix is added to told."""
+    lengths = [n for n in (8, 16, 32, 64) if n < suffixes.window] + [suffixes.window]
+    for length in [*lengths, None]:
+        sizes = groups.groupBy("shard").agg(F.sum("m").alias("total")).where(F.col("total") > GROUP_SUFFIXES)
+        sizes = stash(sizes.select("shard", F.ceil(F.col("total") / (GROUP_SUFFIXES // 2)).alias("pieces")))
+        if sizes.limit(1).count() == 0:
+            break
+        yield groups.join(sizes, "shard", "left_anti").select("shard", "payload")
+        large = groups.join(sizes, "shard").select("shard", "pieces", "payload")
+        if length:
+            groups = stash(large.select("shard", "pieces", "payload").mapInArrow(suffixes.cut_again(length), Suffixes.SCHEMA).select("shard", "m", "payload"), "none")
+            continue
+        parts = large.withColumn("part", F.pmod(F.xxhash64("payload"), F.col("pieces"))).groupBy("shard", "part")
+        merged = stash(parts.applyInArrow(suffixes.subtrees(False), Suffixes.SCHEMA), "none")
+        told.append(merged.where("later is not null").select("low", "k1", "k2", "later"))
+        groups = merged.where("shard is not null").select("shard", "m", "payload")
+    yield groups.select("shard", "payload")
+
+
 def reread(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The texts of the wanted ids with what is known of them; ids are sent ahead, if they are few, so that only these texts move."""
     ids = wanted.select(F.col("low").alias("id")).distinct()

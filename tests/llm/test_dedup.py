@@ -1,7 +1,10 @@
+import itertools
+
 import corpus
 import pytest
 from pyspark.sql import functions as F
 
+from lanespan.llm import substring_dedup as substring_dedup_module
 from lanespan.llm.common import connected
 from lanespan.llm.exact_dedup import drop_copies, exact_dedup
 from lanespan.llm.ngram_join import block_links, drop_near_copies, ngram_join, similar, slack
@@ -84,6 +87,60 @@ def test_substring_dedup_matches_brute_force(spark, rows, n):
     assert len(without_spans(text[long.doc_id], long.spans).split()) == long.n_words - long.n_removed
 
 
+def test_substring_dedup_matches_brute_force_over_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = corpus.repeats([tuple(r) for r in docs.collect()], 20)
+    got = substring_dedup(docs).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want and any(r.n_removed for r in got)
+
+
+@pytest.mark.parametrize("limit", [500, 40, 2])
+def test_groups_too_large_are_cut_by_longer_prefixes_and_then_merged_in_parts(spark, rows, monkeypatch, limit):
+    """The least limit leaves groups that no prefix can cut, and blocks of few texts repeat the same windows."""
+    monkeypatch.setattr(substring_dedup_module, "GROUP_SUFFIXES", limit)
+    more = [(100 + i, f"a{i} " + " ".join(f"s{j}" for j in range(60)) + f" b{i}") for i in range(40)]
+    got = substring_dedup(corpus.frame(spark, rows + more, parts=8), 20).collect()
+    want = corpus.repeats(rows + more, 20)
+    for r in got:
+        assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id]
+
+
+def test_substring_dedup_tells_texts_apart_whose_first_keys_clash(spark, rows):
+    import zlib
+
+    got = substring_dedup(corpus.frame(spark, rows, parts=5), 20, key=lambda joined: (len(joined) % 3, zlib.crc32(joined))).collect()
+    want = corpus.repeats(rows, 20)
+    for r in got:
+        assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id]
+
+
+def test_substring_dedup_of_long_rows_that_are_there_twice(spark):
+    line = [f"w{i}" for i in range(50)]
+    rows = [(3, " ".join(line)), (3, " ".join(line)), (5, " ".join(["x", *line, "y"])), (5, " ".join(["x", *line, "y"])), (7, " ".join(["z"] * 300))]
+    want = corpus.repeats(rows, 20)
+    for parts in (1, 4):
+        got = substring_dedup(corpus.frame(spark, rows, parts=parts), 20).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id]
+
+
+def test_subtrees_have_the_common_prefixes_of_neighbours():
+    import numpy as np
+
+    text = np.array([4, 1, 2, 3, 9, 1, 2, 3, 8, 1, 2, 7, 7, 7, 7], np.uint32)
+    words = np.array([text[i : i + 4] for i in range(12)])
+    order, common = substring_dedup_module.ordered(words, np.zeros(12, np.uint64), np.arange(12, dtype=np.uint32), [np.zeros(12, np.int64)])
+    got = [tuple(words[i]) for i in order]
+    assert got == sorted(got)
+    assert common.tolist() == [0] + [next((j for j in range(4) if a[j] != b[j]), 4) for a, b in itertools.pairwise(got)]
+
+
+def test_substring_dedup_needs_integer_ids(spark):
+    with pytest.raises(ValueError, match="integer"):
+        substring_dedup(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_empty_tables(spark):
     none = corpus.frame(spark, [(1, "x")]).limit(0)
     for f in (exact_dedup, ngram_join, substring_dedup, drop_copies, drop_near_copies):
