@@ -35,6 +35,8 @@ PREFIX_BYTES = 24
 BLOCK_WORDS = 1_000_000
 #: Characters of text for each group of suffixes, and suffixes that a group may have before it is cut again.
 GROUP_CHARS, GROUP_SUFFIXES = 2_000_000, 500_000
+#: Parts of 16 bits of a second hash of its window that a suffix carries beside its words and the first hash.
+CHECK = 2
 SENT_ROWS = 400_000
 HOT_SHARE = 1 / 1024
 LAST = (1 << 63) - 1
@@ -249,8 +251,9 @@ class Suffixes:
         size = np.concatenate([[0], np.cumsum(np.concatenate([t[1] for t in texts]))])
         prefix = w.runs(at, np.clip(np.searchsorted(size, size[at] + PREFIX_BYTES) - at, 1, self.window))
         group = ((prefix >> np.uint64(32)) * np.uint64(self.groups) >> np.uint64(32)).astype(np.int64)
-        short = (w.h >> np.uint64(32)).astype(np.uint32)
-        yield from self.dealt(group, node, lambda f: short[at[f][:, None] + np.arange(self.window)], doc, place, names)
+        short = (w.h >> np.uint64(48)).astype(np.uint16)
+        check = w.runs(at, self.window, w.summed(mix64(w.h))).view(np.uint16).reshape(-1, 4)[:, :CHECK]
+        yield from self.dealt(group, node, lambda f: np.hstack([short[at[f][:, None] + np.arange(self.window)], check[f]]), doc, place, names)
 
     def told_apart(self, order: np.ndarray, new: np.ndarray, doc: np.ndarray, place: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, list[pa.RecordBatch]]:
         """The first suffix of each node, and a batch of those that come later in theirs. A suffix of a row that is there twice is one."""
@@ -265,7 +268,7 @@ class Suffixes:
         return order[new], [self.batch(low=low, k1=k1, k2=k2, later=places)]
 
     def dealt(self, group: np.ndarray, node: np.ndarray, words_of, doc: np.ndarray, place: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """A row for each group, with the suffixes that go there and their words."""
+        """A row for each group, with the suffixes that go there, their words in 16 bits each and CHECK more of the whole window."""
         order = np.argsort(group, kind="stable")
         cuts = starts(group[order])
         for f in np.split(order, cuts[1:]) if len(order) else []:
@@ -274,11 +277,11 @@ class Suffixes:
 
     def held(self, payloads: list[bytes]) -> tuple[np.ndarray, ...]:
         """node, words, doc, place, names of the suffixes of several rows."""
-        parts = [unpack(p, "<u8", "<u4", "<u4", "<u4", "<i8", "<i8", "<i8") for p in payloads]
+        parts = [unpack(p, "<u8", "<u2", "<u4", "<u4", "<i8", "<i8", "<i8") for p in payloads]
         before = np.cumsum([0] + [len(p[4]) for p in parts])
         node, words, place = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3))
         doc = np.concatenate([p[2] + b for p, b in zip(parts, before, strict=False)])
-        return node, words.reshape(-1, self.window), doc, place, np.array([np.concatenate([p[i] for p in parts]) for i in (4, 5, 6)])
+        return node, words.reshape(-1, self.window + CHECK), doc, place, np.array([np.concatenate([p[i] for p in parts]) for i in (4, 5, 6)])
 
     def cut_again(self, length: int):
         """Rows of groups that are too large, dealt anew by prefixes of so many words to as many groups as their suffixes need."""
@@ -313,18 +316,20 @@ class Suffixes:
 def ordered(words: np.ndarray, node: np.ndarray, place: np.ndarray, names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes by their words, then by id and place; and of each how many words it begins with as the one before does.
 
-    Words are 32 bits here; suffixes with equal ones have a whole window in common if the hashes of their windows agree too.
+    Words are 16 bits here, followed by CHECK such parts of a hash of the window; suffixes in which all this is equal have a
+    whole window in common if the other hashes of their windows (node) agree too.
     """
-    n, window = words.shape
-    wide = np.zeros((n, window + window % 2), np.uint64)
-    wide[:, :window] = words
-    pairs = wide[:, ::2] << np.uint64(32) | wide[:, 1::2]
-    order = np.lexsort((place, *reversed(names), node, *pairs.T[::-1]))
+    n, width = words.shape
+    window = width - CHECK
+    wide = np.zeros((n, -(-width // 4) * 4), np.uint64)
+    wide[:, :width] = words
+    parts = wide[:, ::4] << np.uint64(48) | wide[:, 1::4] << np.uint64(32) | wide[:, 2::4] << np.uint64(16) | wide[:, 3::4]
+    order = np.lexsort((place, *reversed(names), node, *parts.T[::-1]))
     common = np.zeros(n, np.int64)
-    w = words[order]
+    w, node = words[order], node[order]
     differ = w[1:] != w[:-1]
-    common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), window)
-    common[1:][(common[1:] == window) & (node[order][1:] != node[order][:-1])] = window - 1
+    alike = ~differ.any(axis=1) & (node[1:] == node[:-1])
+    common[1:] = np.where(alike, window, np.where(differ.any(axis=1), np.minimum(differ.argmax(axis=1), window - 1), window - 1))
     return order, common
 
 
