@@ -8,9 +8,9 @@ of a deeper node also lies in a node of exactly that depth, subtrees are cut the
    anchor is alone. Texts that are equal as a whole are one class, of which the smallest id is looked at.
 2. Equal windows meet within an input block, word by word, and only the first of them goes on, with its words.
 3. Suffixes are dealt to groups by prefixes of variable length: first as many words as it takes to hold PREFIX_BYTES bytes.
-   The suffixes of each group are counted, and groups too large for a task are cut again by prefixes of twice the words,
-   as often as it takes. What a prefix of a whole window leaves too large are repeats of few windows over many blocks;
-   these are merged in parts first.
+   A task counts the suffixes of its group as they come, merges equal windows at each GROUP_SUFFIXES, and if more than half
+   of them are different deals the group out again by prefixes of twice the words, as often as it takes. So a task never
+   holds more than that, and a window that every block has costs one suffix for each.
 4. A group's suffixes, ordered by their words, are the leaves of its subtrees, and the lengths of common prefixes of
    neighbours give the internal nodes. Of a node `window` deep the first suffix, by id and place, is the one that stays;
    the others repeat it. Neighbouring repeats of a text join to its maximal runs of repeated words.
@@ -35,6 +35,8 @@ PREFIX_BYTES = 24
 BLOCK_WORDS = 1_000_000
 #: Characters of text for each group of suffixes, and suffixes that a group may have before it is cut again.
 GROUP_CHARS, GROUP_SUFFIXES = 2_000_000, 500_000
+#: Groups that such a group is dealt to.
+PIECES = 64
 #: Parts of 16 bits of a second hash of its window that a suffix carries beside its words and the first hash.
 CHECK = 2
 SENT_ROWS = 400_000
@@ -265,7 +267,7 @@ class Suffixes:
         if not len(later):
             return order[new], []
         places, low, k1, k2 = by_text(place[later], *(x[doc[later]] for x in names))
-        return order[new], [self.batch(low=low, k1=k1, k2=k2, later=places)]
+        return order[new], [self.batch(low=low, k1=k1, k2=k2, later=places, shard=[i % self.groups for i in range(len(low))])]
 
     def dealt(self, group: np.ndarray, node: np.ndarray, words_of, doc: np.ndarray, place: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
         """A row for each group, with the suffixes that go there, their words in 16 bits each and CHECK more of the whole window."""
@@ -283,35 +285,63 @@ class Suffixes:
         doc = np.concatenate([p[2] + b for p, b in zip(parts, before, strict=False)])
         return node, words.reshape(-1, self.window + CHECK), doc, place, np.array([np.concatenate([p[i] for p in parts]) for i in (4, 5, 6)])
 
-    def cut_again(self, length: int):
-        """Rows of groups that are too large, dealt anew by prefixes of so many words to as many groups as their suffixes need."""
+    def subtrees(self, length: int | None):
+        """What comes later in its node, of a group of suffixes; it holds GROUP_SUFFIXES at a time and the firsts of those before.
 
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        A group of too many firsts is dealt out anew by prefixes of length words, as PIECES groups. Without a length there is no
+        longer prefix, and such a group is gone through as it is. Rows of what is known to come later pass.
+        """
+
+        limit = GROUP_SUFFIXES
+
+        def in_group(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            payloads, n, dealt = [], 0, False
             for b in batches:
-                for shard, pieces, payload in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                    node, words, doc, place, names = self.held([payload])
-                    prefix = np.full(len(node), shard & (1 << 64) - 1, np.uint64)
-                    old = mix64(prefix)
-                    for j in range(length):
-                        prefix = mix64(prefix * BASE + words[:, j])
-                    piece = (prefix >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)
-                    yield from self.dealt(mix64(old + piece).view(np.int64), node, lambda f, words=words: words[f], doc, place, names)
-
-        return cut
-
-    def subtrees(self, last: bool):
-        """What comes later in its node, of a group; unless this is the last look, also the first suffixes, as a row of the group."""
-
-        def in_group(table: pa.Table) -> pa.Table:
-            node, words, doc, place, names = self.held(table["payload"].to_pylist())
-            order, common = ordered(words, node, place, [x[doc] for x in names])
-            first, out = self.told_apart(order, common < self.window, doc, place, names)
-            if not last:
-                out += self.dealt(np.full(len(first), table["shard"][0].as_py()), node[first], lambda f: words[first[f]], doc[first], place[first], names)
-            return pa.Table.from_batches(out or [self.batch(low=[])])
+                b = b.select(list(self.KINDS))
+                known = b.filter(b["payload"].is_null())
+                if known.num_rows:
+                    yield known.set_column(known.schema.get_field_index("shard"), "shard", pa.nulls(known.num_rows, pa.int64()))
+                for payload, m in zip(b["payload"].to_pylist(), b["m"].to_pylist(), strict=True):
+                    if payload is None:
+                        continue
+                    payloads.append(payload)
+                    n += m
+                    if n > limit:
+                        later, firsts = self.merged(payloads)
+                        yield from later
+                        n = len(firsts[0])
+                        if length and n > limit // 2:
+                            dealt = True
+                            yield from self.cut_again(key[0].as_py(), length, *firsts)
+                            payloads, n = [], 0
+                        else:
+                            payloads = next(self.dealt(np.zeros(n, np.int64), *firsts))["payload"].to_pylist()
+            if payloads:
+                later, firsts = self.merged(payloads)
+                yield from later
+                if dealt:
+                    yield from self.cut_again(key[0].as_py(), length, *firsts)
 
         return in_group
 
+    def merged(self, payloads: list[bytes]) -> tuple[list[pa.RecordBatch], tuple]:
+        """Batches of what comes later, and the first suffix of each node."""
+        node, words, doc, place, names = self.held(payloads)
+        order, common = ordered(words, node, place, [x[doc] for x in names])
+        first, later = self.told_apart(order, common < self.window, doc, place, names)
+        words = words[first]
+        return [b.set_column(b.schema.get_field_index("shard"), "shard", pa.nulls(b.num_rows, pa.int64())) for b in later], (node[first], lambda f: words[f], doc[first], place[first], names)
+
+    def cut_again(self, shard: int, length: int, node: np.ndarray, words_of, doc: np.ndarray, place: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Suffixes of a group, dealt to PIECES groups by prefixes of so many words."""
+        words = words_of(np.arange(len(node)))
+        prefix = np.full(len(node), shard & (1 << 64) - 1, np.uint64)
+        old = mix64(prefix)
+        for j in range(length):
+            prefix = mix64(prefix * BASE + words[:, j])
+        piece = (prefix >> np.uint64(32)) * np.uint64(PIECES) >> np.uint64(32)
+        return self.dealt(mix64(old + piece).view(np.int64), node, words_of, doc, place, names)
+
 
 def ordered(words: np.ndarray, node: np.ndarray, place: np.ndarray, names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes by their words, then by id and place; and of each how many words it begins with as the one before does.
@@ -367,13 +397,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     found = cut.where("shard is not null").select("shard", "payload").groupBy("shard").applyInArrow(repeated_anchors, "k1 long, k2 long, places binary")
     anchors = cut.where("places is not null").select(*keys, "places").unionByName(found).groupBy(*keys).agg(F.collect_list("places").alias("places"))
     anchors = stash(anchors.join(classes.select("low", *keys), keys).select(*names, "places"), "none")
-    ends = stash(reread(rows, anchors).select(F.col("text").cast("binary"), *names, "places").mapInArrow(suffixes.run, Suffixes.SCHEMA), "none")
-
-    told = [ends.where("later is not null").select(*names, "later")]
-    for groups in sized(ends.where("shard is not null").select("shard", "m", "payload"), suffixes, told):
-        told.append(groups.groupBy("shard").applyInArrow(suffixes.subtrees(True), Suffixes.SCHEMA).select(*names, "later"))
-    later = reduce(DataFrame.unionByName, told)
-    later = stash(later.groupBy(*names).agg(F.collect_list("later").alias("later")), "none")
+    ends = reread(rows, anchors).select(F.col("text").cast("binary"), *names, "places").mapInArrow(suffixes.run, Suffixes.SCHEMA)
+
+    told = []
+    for length in [*(n for n in (8, 16, 32, 64) if n < window), window, None]:
+        looked = stash(ends.groupBy("shard").applyInArrow(suffixes.subtrees(length), Suffixes.SCHEMA), "none")
+        told.append(looked.where("later is not null").select(*names, "later"))
+        ends = looked.where("payload is not null")
+        if ends.limit(1).count() == 0:
+            break
+    later = stash(reduce(DataFrame.unionByName, told).groupBy(*names).agg(F.collect_list("later").alias("later")), "none")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -407,26 +440,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     return long_.unionByName(short)
 
 
-def sized(groups: DataFrame, suffixes: Suffixes, told: list[DataFrame]) -> Iterator[DataFrame]:
-    """Groups that a task can hold, as frames of shard, payload. What comes later in parts of a group too large for any prefix is added to told."""
-    lengths = [n for n in (8, 16, 32, 64) if n < suffixes.window] + [suffixes.window]
-    for length in [*lengths, None]:
-        sizes = groups.groupBy("shard").agg(F.sum("m").alias("total")).where(F.col("total") > GROUP_SUFFIXES)
-        sizes = stash(sizes.select("shard", F.ceil(F.col("total") / (GROUP_SUFFIXES // 2)).alias("pieces")))
-        if sizes.limit(1).count() == 0:
-            break
-        yield groups.join(sizes, "shard", "left_anti").select("shard", "payload")
-        large = groups.join(sizes, "shard").select("shard", "pieces", "payload")
-        if length:
-            groups = stash(large.select("shard", "pieces", "payload").mapInArrow(suffixes.cut_again(length), Suffixes.SCHEMA).select("shard", "m", "payload"), "none")
-            continue
-        parts = large.withColumn("part", F.pmod(F.xxhash64("payload"), F.col("pieces"))).groupBy("shard", "part")
-        merged = stash(parts.applyInArrow(suffixes.subtrees(False), Suffixes.SCHEMA), "none")
-        told.append(merged.where("later is not null").select("low", "k1", "k2", "later"))
-        groups = merged.where("shard is not null").select("shard", "m", "payload")
-    yield groups.select("shard", "payload")
-
-
 def reread(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The texts of the wanted ids with what is known of them; ids are sent ahead, if they are few, so that only these texts move."""
     ids = wanted.select(F.col("low").alias("id")).distinct()
