@@ -201,11 +201,19 @@ def repeated_anchors(table: pa.Table) -> pa.Table:
     return pa.table({"k1": pa.array(a, pa.int64()), "k2": pa.array(b, pa.int64()), "places": pa.array(places, pa.binary())})
 
 
+def by_block(table: pa.Table) -> pa.Table:
+    """low, k1, k2, later: of each text of an input block the places that come later in their nodes."""
+    parts = [unpack(p, "<u4", "<u4", "<i8", "<i8", "<i8") for p in table["later"].to_pylist()]
+    place = np.concatenate([p[1] for p in parts])
+    later, *names = by_text(place, *(np.concatenate([p[i][p[0]] for p in parts]) for i in (2, 3, 4)))
+    return pa.table({**{c: pa.array(x, pa.int64()) for c, x in zip(("low", "k1", "k2"), names, strict=True)}, "later": pa.array(later, pa.binary())})
+
+
 class Suffixes:
     """The second pass: suffixes whose window has a repeated anchor, by group; those that come later within a block are told apart here."""
 
-    KINDS = {"low": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "later": pa.binary(), "shard": pa.int64(), "m": pa.int32(), "payload": pa.binary()}
-    SCHEMA = "low long, k1 long, k2 long, later binary, shard long, m int, payload binary"
+    KINDS = {"block": pa.int64(), "later": pa.binary(), "shard": pa.int64(), "m": pa.int32(), "payload": pa.binary()}
+    SCHEMA = "block long, later binary, shard long, m int, payload binary"
 
     def __init__(self, window: int, groups: int, key):
         self.window, self.groups, self.key = window, groups, key
@@ -235,7 +243,7 @@ class Suffixes:
 
     def flush(self, texts: list) -> Iterator[pa.RecordBatch]:
         w = Words([t[0] for t in texts], self.window)
-        names = np.array([t[2] for t in texts], np.int64).T
+        names = np.array([(*t[2], texts[0][2][1]) for t in texts], np.int64).T  # the last names the block
         anchor = np.concatenate([t[3] + b for t, b in zip(texts, w.begin, strict=True)])
         delta = np.zeros(w.n + 1, np.int64)
         np.add.at(delta, np.maximum(w.begin[w.doc[anchor]], anchor - (self.window - self.window // 2)), 1)
@@ -243,7 +251,7 @@ class Suffixes:
         at = np.flatnonzero((np.cumsum(delta[:-1]) > 0) & w.whole)
         node, doc = w.runs(at, self.window), w.doc[at]
         place = (at - w.begin[doc]).astype(np.uint32)
-        order = np.lexsort((place, *(x[doc] for x in names[::-1]), node))
+        order = np.lexsort((place, *(x[doc] for x in names[2::-1]), node))
         new = changes(node[order])
         for j in range(self.window):  # equal hashes are held against the words
             new |= changes(w.h[at[order] + j])
@@ -261,13 +269,17 @@ class Suffixes:
         """The first suffix of each node, and a batch of those that come later in theirs. A suffix of a row that is there twice is one."""
         head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         same = place[order] == place[head]
-        for x in names:
+        for x in names[:3]:
             same &= x[doc[order]] == x[doc[head]]
         later = order[~new & ~same]
         if not len(later):
             return order[new], []
-        places, low, k1, k2 = by_text(place[later], *(x[doc[later]] for x in names))
-        return order[new], [self.batch(low=low, k1=k1, k2=k2, later=places, shard=[i % self.groups for i in range(len(low))])]
+        out, later = [], later[np.argsort(names[3][doc[later]], kind="stable")]
+        for f in np.split(later, starts(names[3][doc[later]])[1:]):
+            used, local = np.unique(doc[f], return_inverse=True)
+            block = int(names[3][used[0]])
+            out.append(self.batch(block=[block], later=[pack(local.astype(np.uint32), place[f], *(x[used] for x in names[:3]))], shard=[block % self.groups]))
+        return order[new], out
 
     def dealt(self, group: np.ndarray, node: np.ndarray, words_of, doc: np.ndarray, place: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
         """A row for each group, with the suffixes that go there, their words in 16 bits each and CHECK more of the whole window."""
@@ -279,11 +291,11 @@ class Suffixes:
 
     def held(self, payloads: list[bytes]) -> tuple[np.ndarray, ...]:
         """node, words, doc, place, names of the suffixes of several rows."""
-        parts = [unpack(p, "<u8", "<u2", "<u4", "<u4", "<i8", "<i8", "<i8") for p in payloads]
+        parts = [unpack(p, "<u8", "<u2", "<u4", "<u4", "<i8", "<i8", "<i8", "<i8") for p in payloads]
         before = np.cumsum([0] + [len(p[4]) for p in parts])
         node, words, place = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3))
         doc = np.concatenate([p[2] + b for p, b in zip(parts, before, strict=False)])
-        return node, words.reshape(-1, self.window + CHECK), doc, place, np.array([np.concatenate([p[i] for p in parts]) for i in (4, 5, 6)])
+        return node, words.reshape(-1, self.window + CHECK), doc, place, np.array([np.concatenate([p[i] for p in parts]) for i in (4, 5, 6, 7)])
 
     def subtrees(self, length: int | None):
         """What comes later in its node, of a group of suffixes; it holds GROUP_SUFFIXES at a time and the firsts of those before.
@@ -327,7 +339,7 @@ class Suffixes:
     def merged(self, payloads: list[bytes]) -> tuple[list[pa.RecordBatch], tuple]:
         """Batches of what comes later, and the first suffix of each node."""
         node, words, doc, place, names = self.held(payloads)
-        order, common = ordered(words, node, place, [x[doc] for x in names])
+        order, common = ordered(words, node, place, [x[doc] for x in names[:3]])
         first, later = self.told_apart(order, common < self.window, doc, place, names)
         words = words[first]
         return [b.set_column(b.schema.get_field_index("shard"), "shard", pa.nulls(b.num_rows, pa.int64())) for b in later], (node[first], lambda f: words[f], doc[first], place[first], names)
@@ -402,11 +414,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     told = []
     for length in [*(n for n in (8, 16, 32, 64) if n < window), window, None]:
         looked = stash(ends.groupBy("shard").applyInArrow(suffixes.subtrees(length), Suffixes.SCHEMA), "none")
-        told.append(looked.where("later is not null").select(*names, "later"))
+        told.append(looked.where("later is not null").select("block", "later"))
         ends = looked.where("payload is not null")
         if ends.limit(1).count() == 0:
             break
-    later = stash(reduce(DataFrame.unionByName, told).groupBy(*names).agg(F.collect_list("later").alias("later")), "none")
+    texts = reduce(DataFrame.unionByName, told).groupBy("block").applyInArrow(by_block, "low long, k1 long, k2 long, later binary")
+    later = stash(texts.groupBy(*names).agg(F.collect_list("later").alias("later")), "none")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
