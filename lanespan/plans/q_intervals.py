@@ -78,18 +78,19 @@ def _(spark, d):
 @query("overlap_pct_per_device", f"WITH {IV}, {PE} SELECT device, round((sum(e - s) - sum(greatest(0, e - greatest(s, coalesce(pe, s))))) * 100.0 / sum(e - s), 6) AS overlap_pct FROM p GROUP BY device")
 def _(spark, d):
     u = I.union_length(intervals(spark, d), LANE)
-    return u.select("device", F.round((F.col("busy_sum") - F.col("busy_union")) * 100.0 / F.col("busy_sum"), 6).alias("overlap_pct"))
+    return u.select("device", F.coalesce(F.round(F.try_divide((F.col("busy_sum") - F.col("busy_union")) * 100.0, F.col("busy_sum")), 6), F.lit(float("nan"))).alias("overlap_pct"))
 
 
 def busy_steps(iv):
-    """Steps between starts of the marker stream, cut where the body stream begins and ends: device, step, part, s, e."""
+    """Steps between starts of the marker stream, cut where the body stream begins and ends: device, a, b, n (how many equal steps), part, s, e."""
     marks = iv.where("stream = 'signup'").select("device", F.col("s").alias("a"))
-    steps = marks.withColumn("b", F.lead("a").over(Window.partitionBy("device").orderBy("a"))).where("b is not null")
-    body = I.overlap_join(steps.withColumnsRenamed({"a": "s", "b": "e"}), iv.where("stream = 'click'").select("device", "s", "e", F.col("s").alias("t")), LANE).where("s2 >= s")
-    body = body.groupBy("device", F.col("s").alias("a")).agg(F.min("s2").alias("x"), F.max("e2").alias("y"))
-    cut = steps.join(body, ["device", "a"], "left").select("device", "a", "b", F.coalesce("x", "b").alias("x"), F.least(F.coalesce("y", "b"), "b").alias("y"))
+    steps = marks.withColumn("b", F.lead("a").over(Window.partitionBy("device").orderBy("a"))).where("b is not null").groupBy("device", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    clicks = iv.where("stream = 'click'").select("device", "s", (F.col("s") + 1).alias("e"), F.col("e").alias("end"))  # a click belongs where it begins
+    body = I.overlap_join(steps.withColumnsRenamed({"a": "s", "b": "e"}), clicks, LANE)
+    body = body.groupBy("device", F.col("s").alias("a")).agg(F.min("s2").alias("x"), F.max("end2").alias("y"))
+    cut = steps.join(body, ["device", "a"], "left").select("device", "a", "b", "n", F.coalesce("x", "b").alias("x"), F.least(F.coalesce("y", "b"), "b").alias("y"))
     parts = F.array(*[F.struct(F.lit(n).alias("part"), F.col(lo).alias("s"), F.col(hi).alias("e")) for n, lo, hi in (("prologue", "a", "x"), ("body", "x", "y"), ("tail", "y", "b"))])
-    return cut.select("device", "a", "b", F.explode(parts).alias("p")).select("device", "a", "b", "p.part", "p.s", "p.e")
+    return cut.select("device", "a", "b", "n", F.explode(parts).alias("p")).select("device", "a", "b", "n", "p.part", "p.s", "p.e")
 
 
 def decomposition(iv):
