@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanespan.sources.scratch import cut
+
 # The longest label, letters that a token may keep, how many tokens lead, and how many of a name's own follow.
 LIMIT = 60
 BUDGETS = (24, 40, 64, 1024)
@@ -57,12 +59,14 @@ def identifier_labels(names: DataFrame, name: str = "name", limit: int = LIMIT)
     with the shortest longest label; and where no way tells them apart, names stay whole.
     """
     x = names.select(F.col(name).alias("name")).where("name is not null").distinct().withColumn("tokens", F.split("name", "_")).withColumn("family", F.get("tokens", F.lit(0)))
-    long_ = x.groupBy("family").agg(F.max(F.length("name")).alias("longest"), F.max(F.size("tokens")).alias("widest")).where(F.col("longest") > limit).drop("longest")
+    long_ = x.groupBy("family").agg(F.max(F.length("name")).alias("longest"), F.max(F.size("tokens")).alias("widest"), F.max(F.array_max(F.transform("tokens", F.length))).alias("token")).where(F.col("longest") > limit).drop("longest")
     part = x.join(long_, "family")
     token = part.select("family", "name", F.explode(F.array_distinct("tokens")).alias("token"))
     alone = token.groupBy("family", "token").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n")).where("n = 1")
     own = alone.groupBy("family", "name").agg(F.collect_list("token").alias("own"))  # of one name's tokens
     part = part.join(own, ["family", "name"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
+    # Few bytes and much work: a number that is given is not made fewer by what the rows take.
+    part = part.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
 
     none = F.lit(None).cast("int")
     way = lambda budget, keep, stem, count: F.struct(F.lit(budget).alias("budget"), keep.alias("keep"), stem.alias("stem"), count.alias("count"))
@@ -72,14 +76,15 @@ def identifier_labels(names: DataFrame, name: str = "name", limit: int = LIMIT)
         leading = F.filter(leading, lambda x: x["keep"] <= F.col("widest"))
         return F.concat(leading, F.array(*[way(budget, none, F.lit(s), F.lit(c)) for s in STEMS for c in OWN]))
 
-    each = [ways(b) for b in BUDGETS]
-    tried = part.select("family", "name", "tokens", "own", F.posexplode(F.concat(*each)).alias("way", "w"))
+    # A budget beyond one that has room for every token of the family gives the same labels, and of equal ways the first is taken.
+    each = [F.when(F.lit(k == 0) | (F.col("token") > BUDGETS[k - 1]), ways(b)).otherwise(F.slice(ways(b), 1, 0)) for k, b in enumerate(BUDGETS)]
     label = shortened(F.col("tokens"), F.col("own"), F.col("w.budget"), F.col("w.keep"), F.coalesce("w.stem", F.lit(1)), F.coalesce("w.count", F.lit(0)))
-    tried = tried.select("family", "name", "way", label.alias("label"))
+    tried = part.select("family", "tokens", "own", F.posexplode(F.concat(*each)).alias("way", "w")).select("family", "way", label.alias("label"))
     one = tried.groupBy("family", "way", "label").agg(F.count(F.lit(1)).alias("n"))
     judged = one.groupBy("family", "way").agg(F.max("n").alias("most"), F.max(F.length("label")).alias("size")).where("most = 1")
     fits = F.col("size") <= limit
     best = judged.groupBy("family").agg(F.min(F.struct((~fits).alias("over"), F.when(fits, -F.col("size")).otherwise(F.col("size")).alias("by"), "way")).alias("x")).select("family", F.col("x.way").alias("way"))
-    chosen = tried.join(best, ["family", "way"]).select("name", "label")
+    best = cut(best)  # a row for each family
+    chosen = part.join(best, "family").withColumn("w", F.get(F.concat(*each), F.col("way"))).select("name", label.alias("label"))  # only labels of the way that was chosen
     rest = x.join(best.select("family"), "family", "left_anti").select("name", F.col("name").alias("label"))
     return chosen.unionByName(rest)

@@ -71,3 +71,13 @@ def test_large_family(spark):
 
 def test_no_names(spark):
     assert L.identifier_labels(spark.createDataFrame([(None,)], "name string")).collect() == []
+
+
+def test_budgets_beyond_a_familys_longest_token_are_not_tried(spark):
+    """They give the same labels; with four budgets for each name, most of the work was for nothing."""
+    from lanespan.functions import labels
+
+    names = spark.createDataFrame([(f"fam_{'word_' * 12}{i}_end",) for i in range(20)], "name string")
+    plan = labels.identifier_labels(names)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") <= 1
+    assert len({r.label for r in labels.identifier_labels(names).collect()}) == 20
