@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanespan.operators.joins import sent
+from lanespan.sources.scratch import cut
+
 
 def with_total(df: DataFrame, keys: list[str], label: str, *sums: str) -> DataFrame:
     """df and one row more, whose first key is label, whose other keys are null, and whose sums are those of all rows."""
@@ -57,7 +60,7 @@ def module_shares(rows: DataFrame, key: str, value: str) -> DataFrame:
     """rows with own_share of their module's total, and module_share of the module in all. Sums combine before the shuffle, where a window over a hot module would not."""
     t = rows.groupBy(key).agg(F.sum(value).alias("__total"))
     t = t.withColumn("__whole", F.sum("__total").over(Window.partitionBy(F.lit(0))))
-    x = rows.join(t, key)
+    x = rows.join(sent(cut(t)), key)
     return x.withColumns({"own_share": F.col(value) * 100.0 / F.col("__total"), "module_share": F.col("__total") * 100.0 / F.col("__whole")}).drop("__total", "__whole")
 
 
