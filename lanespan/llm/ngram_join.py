@@ -9,7 +9,9 @@ than `slack` n-grams, so in no more fragments than that, and all their other fra
    needs at least (fragments - slack) such tokens; all others can have no partner and go. A set whose n-grams fall
    into too few fragments for that has tokens for its first n-grams in the global order too (prefix filtering).
 3. Each class left is verified with the smallest class of each of its tokens. Linked classes are connected.
-4. What shares tokens but is not connected yet is verified in blocks of classes. The order of n-grams is cut into vertical
+4. What shares tokens but is not connected yet is verified in blocks of classes. Blocks of large families hold sets of about
+   one size, and meet those only whose sizes allow a link. Sets are sent to the pairs of blocks in rounds, each of which
+   takes a bounded share of the disk, however large a family is. The order of n-grams is cut into vertical
    fragments; a task has one fragment of a pair of blocks, counts the partial overlaps in it and lets those pairs go
    whose sets differ there by more than they may as a whole. Partial counts are then dealt out by pair and summed. Blocks
    that one component fills are not paired with each other, so a large group of near copies costs no square of its
@@ -22,6 +24,7 @@ component they are in: every link is verified and counted, and a group of near c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ BLOCK = 512
 #: Vertical fragments of the order of n-grams in which overlaps are counted apart.
 FRAGMENTS = 4
 SLICE = 8192
+#: Bytes of sets that a round of comparisons sends at least.
+LEAST_ROUND = 256 << 20
 SENT_ROWS = 400_000
 HOT_SHARE = 1 / 1024
 RATIO = 2**0.5
@@ -162,9 +167,19 @@ class Cutter:
         return pa.RecordBatch.from_arrays([own, *(pa.array(columns[c], k) if c in columns else pa.nulls(rows, k) for c, k in self.COLUMNS.items())], names=["doc_id", *self.COLUMNS])
 
 
-def shared_tokens(table: pa.Table) -> pa.Table:
+def met_in_shard(table: pa.Table) -> pa.Table:
+    """The rows of the shard that hold no packed tokens as they are, and a row for each token and class that shared_tokens finds."""
+    plain = table.filter(table["payload"].is_null()).select(["doc_id", "n", "k1", "k2", "token", "need"])
+    found = shared_tokens(table["payload"].drop_null().to_pylist())
+    none = {c: pa.nulls(found.num_rows, plain.schema.field(c).type) for c in ("doc_id", "n", "k2")}
+    return pa.concat_tables([plain, pa.table({**{c: found[c] for c in found.column_names}, **none}).select(plain.column_names)])
+
+
+def shared_tokens(payloads: list[bytes]) -> pa.Table:
     """token, k1, need of the tokens that classes of several blocks of the shard have."""
-    parts = [unpack(p, "<u8", "<u4", "u1", "<i8", "<i4") for p in table["payload"].to_pylist()]
+    if not payloads:
+        return pa.table({"token": pa.array([], pa.int64()), "k1": pa.array([], pa.int64()), "need": pa.array([], pa.int32())})
+    parts = [unpack(p, "<u8", "<u4", "u1", "<i8", "<i4") for p in payloads]
     token = np.concatenate([p[0] for p in parts])
     key = np.concatenate([p[3][p[1]] for p in parts])
     need = np.concatenate([p[4][p[1]] for p in parts])
@@ -313,13 +328,15 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = shards_for(chars)
     cutter = Cutter(shingle, percent, shards)
-    cut = stash(rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(cutter.run, f"doc_id {kind}, {Cutter.SCHEMA}"), "none")
+    cut = rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(cutter.run, f"doc_id {kind}, {Cutter.SCHEMA}")
+    # Packed tokens take more room than the texts, so they are shuffled and never written besides; rows of texts and single tokens go with them, dealt evenly.
+    shard = F.coalesce("shard", F.pmod(F.xxhash64("doc_id", "k1", "token"), F.lit(shards)).cast("int"))
+    cut = stash(cut.withColumn("shard", shard).groupBy("shard").applyInArrow(met_in_shard, f"doc_id {kind}, n long, k1 long, k2 long, token long, need int"))
     people = cut.where("n is not null").select("doc_id", "n", "k1", "k2")
     keys = ["k1", "k2"]
-    classes = stash(people.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("members")))
+    classes = stash(people.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("members"), F.max("n").alias("n")))
 
-    found = cut.where("shard is not null").select("shard", "payload").groupBy("shard").applyInArrow(shared_tokens, "token long, k1 long, need int")
-    shared = stash(cut.where("token is not null").select("token", "k1", "need").unionByName(found).distinct())
+    shared = stash(cut.where("token is not null").select("token", "k1", "need").distinct())
     for _ in range(2):  # what falls short of partners goes, and with it its tokens
         enough = shared.groupBy("k1", "need").agg(F.count(F.lit(1)).alias("got")).where("got >= need").select("k1", "need")
         left = shared.select("token", "k1", "need").join(enough, ["k1", "need"])
@@ -360,7 +377,7 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
             yield pa.RecordBatch.from_arrays([pa.array(c["a"], pa.int64()), pa.array(c["b"], pa.int64())], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     if with_links:
-        more, counts = all_links(families, classes, sets, percent)
+        more, counts = all_links(families, classes, sets, percent, chars)
         return labelled(people, classes, more, keys, counts)
 
     side = {x: sets.select(F.col("k1").alias(x), F.col("n").alias(f"n{x}"), F.col("grams").alias(f"g{x}")) for x in "ab"}
@@ -370,20 +387,11 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
 
     members = families.select(F.col("node").alias("k1"), F.col("label").alias("family")).join(part, "k1", "left").withColumn("part", F.coalesce("part", "k1"))
     open_ = members.groupBy("family").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("family")
-    members = stash(members.join(open_, "family"))
+    members = stash(members.join(open_, "family").join(classes.select("k1", "n"), "k1"))
     # Components of more than half a block have blocks of their own; the others share blocks.
-    sizes = members.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
-    rest = sizes.where(F.col("n") <= BLOCK // 2).groupBy("family").agg(F.sum("n").alias("rest"))
-    placed = members.join(sizes, ["family", "part"]).join(rest, "family", "left")
-    own = F.col("n") > BLOCK // 2
-    cell = F.when(own, F.pmod(F.xxhash64("k1"), F.ceil(F.col("n") / BLOCK))).otherwise(F.pmod(F.xxhash64("part"), F.ceil(F.col("rest") / BLOCK)))
-    placed = stash(placed.select("family", "part", "k1", F.when(own, F.col("part")).alias("full"), cell.alias("cell")))
-    block = placed.select("family", "full", "cell").distinct().withColumn("block", F.xxhash64("family", "full", "cell", F.lit(1)))
-    block = stash(block)
-    left, right = block.select("family", F.col("full").alias("fa"), F.col("block").alias("ba")), block.select("family", F.col("full").alias("fb"), F.col("block").alias("bb"))
-    meet = left.join(right, "family").where((F.col("ba") <= F.col("bb")) & ~F.coalesce(F.col("fa") == F.col("fb"), F.lit(False))).withColumn("pair", F.xxhash64("ba", "bb", F.lit(2)))
-    ends = stash(meet.select("pair", F.col("ba").alias("block"), F.lit(0).alias("side")).unionByName(meet.where("ba <> bb").select("pair", F.col("bb").alias("block"), F.lit(1).alias("side"))))
-    held = placed.withColumn("block", F.xxhash64("family", "full", "cell", F.lit(1))).join(ends, "block").join(sets, "k1").select("pair", "side", "k1", F.lit(1).cast("long").alias("members"), "part", "n", "grams")
+    sizes = members.groupBy("family", "part").agg(F.count(F.lit(1)).alias("same"))
+    full = F.when(F.col("same") > BLOCK // 2, F.col("part"))
+    placed, block = in_blocks_by_size(members.join(sizes, ["family", "part"]).select("family", "part", "k1", "n", full.alias("full"), F.lit(1).cast("long").alias("members")), percent)
 
     def in_blocks(table: pa.Table) -> pa.Table:
         left, right, k, _, groups = similar_of(table, percent)
@@ -391,23 +399,55 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
         got = merges(matrix(len(k), left[apart], right[apart]))
         return pa.table({"a": pa.array([int(k[i]) for i, _ in got], pa.int64()), "b": pa.array([int(k[j]) for _, j in got], pa.int64())})
 
-    more = verified_in_fragments(held, percent).groupBy("pair").applyInArrow(in_blocks, "a long, b long")
+    more = in_rounds(placed, block, sets, percent, chars, in_blocks, "a long, b long")
     return labelled(people, classes, stash(links.unionByName(more)), keys)
 
 
-def all_links(families: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def in_blocks_by_size(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """members with their block, and the blocks: family, full, block, low and high (sizes of sets), grams. members: family, part, full, k1, n, members.
+
+    What has more classes than a block (a family's, or those of a component that fills blocks alone) is parted by the size of
+    their sets before it is dealt to blocks, so that most blocks cannot hold partners of each other.
+    """
+    width = max(100 / percent, 1.1)
+    rows = members.withColumn("unit", F.xxhash64("family", F.coalesce("full", "family"), F.col("full").isNull()))
+    rows = rows.join(rows.groupBy("unit").agg(F.count(F.lit(1)).alias("all")), "unit")
+    rows = rows.withColumn("at", F.xxhash64("unit", F.when(F.col("all") > BLOCK, F.floor(F.log("n") / F.log(F.lit(width)))).otherwise(0)))
+    cells = rows.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cells"))
+    placed = rows.join(cells, "at").withColumn("block", F.xxhash64("at", F.pmod(F.xxhash64("k1"), F.col("cells"))))
+    placed = stash(placed.select("family", "full", "part", "k1", "n", "members", "block"))
+    block = placed.groupBy("family", "full", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.sum("n").alias("grams"))
+    return placed, stash(block)
+
+
+def in_rounds(placed: DataFrame, block: DataFrame, sets: DataFrame, percent: int, chars: int, found, schema: str) -> DataFrame:
+    """What `found` finds in the partial counts of each pair of blocks that may hold similar sets. Blocks that one component fills do not meet.
+
+    A round sends no more bytes of sets than half the characters of the input, or LEAST_ROUND.
+    """
+    ends = {x: block.select("family", *[F.col(c).alias(f"{c}{x}") for c in ("full", "block", "low", "high", "grams")]) for x in "ab"}
+    fit = (F.col("higha") * 100 >= F.col("lowb") * percent) & (F.col("highb") * 100 >= F.col("lowa") * percent)
+    meet = ends["a"].join(ends["b"], "family").where((F.col("blocka") <= F.col("blockb")) & fit & ~F.coalesce(F.col("fulla") == F.col("fullb"), F.lit(False)))
+    meet = stash(meet.withColumn("pair", F.xxhash64("blocka", "blockb", F.lit(2))).select("pair", "blocka", "blockb", "gramsa", "gramsb"))
+    sent_bytes = 8 * (meet.agg(F.sum(F.col("gramsa") + F.when(F.col("blocka") < F.col("blockb"), F.col("gramsb")).otherwise(0))).first()[0] or 0)
+    rounds = max(1, -(-sent_bytes // max(LEAST_ROUND, chars // 2)))
+    out = []
+    for r in range(rounds):
+        own = meet.where(F.pmod("pair", F.lit(rounds)) == r)
+        sides = own.select("pair", F.col("blocka").alias("block"), F.lit(0).alias("side")).unionByName(own.where("blocka <> blockb").select("pair", F.col("blockb").alias("block"), F.lit(1).alias("side")))
+        held = placed.select("block", "k1", "part", "members").join(sides, "block").join(sets, "k1").select("pair", "side", "k1", "members", "part", "n", "grams")
+        out.append(stash(verified_in_fragments(held, percent).groupBy("pair").applyInArrow(found, schema)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def all_links(families: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, chars: int) -> tuple[DataFrame, DataFrame]:
     """a, b: links that connect all that are linked; k1, links: the rows of other classes that a class is linked with.
 
-    All pairs of a family's classes are compared, in pairs of blocks. A link is counted where it is found, for both ends.
+    All pairs of a family's classes whose sizes allow a link are compared, in pairs of blocks. A link is counted where it is found, for both ends.
     """
-    members = stash(families.select(F.col("node").alias("k1"), F.col("label").alias("family")).join(classes.select("k1", "members"), "k1"))
-    cells = F.ceil(F.col("n") / BLOCK)
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n")).select("family", cells.alias("cells"))
-    placed = stash(members.join(sizes, "family").withColumn("block", F.xxhash64("family", F.pmod(F.xxhash64("k1"), F.col("cells")))).drop("cells"))
-    block = stash(placed.select("family", "block").distinct())
-    meet = block.withColumnRenamed("block", "ba").join(block.withColumnRenamed("block", "bb"), "family").where("ba <= bb").withColumn("pair", F.xxhash64("ba", "bb", F.lit(2)))
-    ends = stash(meet.select("pair", F.col("ba").alias("block"), F.lit(0).alias("side")).unionByName(meet.where("ba <> bb").select("pair", F.col("bb").alias("block"), F.lit(1).alias("side"))))
-    held = placed.join(ends, "block").join(sets, "k1").select("pair", "side", "k1", "members", F.lit(0).cast("long").alias("part"), "n", "grams")
+    members = families.select(F.col("node").alias("k1"), F.col("label").alias("family")).join(classes.select("k1", "members", "n"), "k1")
+    none = F.lit(None).cast("long")
+    placed, block = in_blocks_by_size(stash(members.select("family", F.lit(0).cast("long").alias("part"), "k1", "n", none.alias("full"), "members")), percent)
 
     def in_blocks(table: pa.Table) -> pa.Table:
         left, right, k, rows, _ = similar_of(table, percent)
@@ -416,7 +456,7 @@ def all_links(families: DataFrame, classes: DataFrame, sets: DataFrame, percent:
         a, b = [int(k[i]) for i, _ in got] + k[on].tolist(), [int(k[j]) for _, j in got] + [None] * len(on)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array([None] * len(got) + n[on].tolist(), pa.int64())})
 
-    found = stash(verified_in_fragments(held, percent).groupBy("pair").applyInArrow(in_blocks, "a long, b long, links long"))
+    found = in_rounds(placed, block, sets, percent, chars, in_blocks, "a long, b long, links long")
     return found.where("b is not null").select("a", "b"), found.where("b is null").groupBy(F.col("a").alias("k1")).agg(F.sum("links").alias("links"))
 
 
