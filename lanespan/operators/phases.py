@@ -95,11 +95,13 @@ def eager_drafts(rows: DataFrame, forwards: int = 2, agree: int = 2, least: floa
     Devices of fewer than two steps, and those where kernels do not agree, have no rows.
     """
     steps = rows.select(*STEP).distinct().groupBy("device").agg(F.count(F.lit(1)).alias("steps")).where("steps >= 2")
-    n = rows.groupBy(*STEP, "name", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("s")).alias("starts")).where(f"n = {forwards}")
-    second = n.withColumn("second", F.get("starts", F.lit(1))).withColumn("x", (F.col("second") - F.col("a")) / (F.col("b") - F.col("a")))
-    whole = second.groupBy("device", "name").agg(F.count(F.lit(1)).alias("seen"), F.avg("x").alias("offset")).join(steps, "device").where(f"seen = steps and offset > {least}")
+    start = F.max("s") if forwards == 2 else F.get(F.sort_array(F.collect_list("s")), F.lit(1))  # a list of each kernel's starts is only made where it has to be
+    second = rows.groupBy(*STEP, "name", "a", "b").agg(F.count(F.lit(1)).alias("n"), start.alias("second")).where(f"n = {forwards}")
+    second = second.withColumn("x", (F.col("second") - F.col("a")) / (F.col("b") - F.col("a")))
+    whole = second.groupBy("device", "name").agg(F.count(F.lit(1)).alias("seen"), F.avg("x").alias("offset")).join(F.broadcast(steps), "device").where(f"seen = steps and offset > {least}")
     fit = whole.groupBy("device").agg(F.count(F.lit(1)).alias("agreeing"), F.avg("offset").alias("mean"), (F.max("offset") - F.min("offset")).alias("apart")).where(f"agreeing >= {agree} and apart <= {spread}")
-    found = second.join(whole.select("device", "name"), ["device", "name"]).join(fit, "device")
+    # Devices and their kernels' names are few. Dealt by them, all steps of a device would be one task's.
+    found = second.join(F.broadcast(whole.select("device", "name").join(F.broadcast(fit), "device")), ["device", "name"])
     return found.groupBy(*STEP).agg(F.min("second").alias("draft_start"), F.first("agreeing").alias("agreeing"), F.first("mean").alias("offset"))
 
 
