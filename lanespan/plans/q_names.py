@@ -10,7 +10,7 @@ from lanespan.functions import scalars as X
 from lanespan.functions import symbols as Y
 from lanespan.functions.labels import identifier_labels
 from lanespan.operators import segments as S
-from lanespan.sources.tables import IV, intervals, load
+from lanespan.sources.tables import IV, intervals, load, spread
 
 Q, SQL = {}, {}
 
@@ -27,7 +27,7 @@ PT = "pt AS (SELECT p_partkey AS key, p_partkey % 6 AS kind, replace(p_name, ' '
 
 
 def symbols(spark, d):
-    p = load(spark, d, "part")
+    p = spread(load(spark, d, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
     flat, size, key = F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
     kinds = [
         F.concat(F.lit("void at::native::(anonymous namespace)::"), flat, F.lit("<(unsigned int)"), size, F.lit(", (bool)1, "), key, F.lit("u>(int, float)")),
