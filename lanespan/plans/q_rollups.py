@@ -165,11 +165,13 @@ r AS (SELECT *, row_number() OVER (ORDER BY total DESC, name) AS rank FROM n)
 SELECT name, total, n, round(pct, 4) AS pct, rank FROM r WHERE rank <= 15 UNION ALL SELECT 'total', CAST(sum(total) AS BIGINT), CAST(sum(n) AS BIGINT), round(sum(sh) * 100.0::DOUBLE / sum(total), 4), 99 FROM r WHERE rank <= 15""",
 )
 def _(spark, d):
-    rows = I.concurrency(intervals(spark, d)).withColumn("dur", F.col("e") - F.col("s"))
-    n = rows.groupBy(F.concat_ws("_", "stream", F.col("device") % 10).alias("name")).agg(F.sum("dur").alias("total"), F.count(F.lit(1)).alias("n"), F.sum(F.col("dur") * F.col("ratio")).alias("sh"))
-    top = n.orderBy(F.desc("total"), "name").limit(15).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "name")).cast("long"))
+    name = F.concat("stream", F.lit("_"), (F.col("device") % 10).cast("string")).alias("name")
+    n = I.shared(intervals(spark, d)).groupBy(name).agg(F.sum(F.col("e") - F.col("s")).alias("total"), F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("shared", F.lit(0))).alias("sh"))
+    order = [F.desc("total"), F.asc_nulls_last("name")]
+    top = n.orderBy(*order).limit(15).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
     both = top.unionByName(top.agg(F.lit("total").alias("name"), F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("sh").alias("sh"), F.lit(99).cast("long").alias("rank")))
-    return both.select("name", "total", "n", F.round(F.col("sh") * 100.0 / F.col("total"), 4).alias("pct"), "rank")
+    pct = F.when(F.col("total") == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.col("sh") * 100.0, F.col("total")))
+    return both.select("name", "total", "n", F.round(pct, 4).alias("pct"), "rank")
 
 
 @query("core_operator_table", f"WITH {LP} SELECT p_brand, p_type, p_size, CAST(sum(qty) AS BIGINT) AS qty, count(*) AS n, round(avg(nullif(CAST(round(l_discount * 100) AS BIGINT), 0)), 4) AS mean_discount_pct, min(l_orderkey) AS first_order FROM lp GROUP BY ALL")
