@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 #: Bytes of a range, before inflating.
 SPLIT = 64 << 20
 CHUNK = 8 << 20
+#: Bytes read first of what lies behind a range, where its last event ends.
+TAIL = 16 << 10
 #: A list of events: the key, and what may stand before its bracket. A match is no longer than MATCH bytes.
 LIST, MATCH = re.compile(rb'(?<!\\)"traceEvents"\s{0,64}:\s{0,64}\['), 160
 QUOTE, BACK, OPEN, CLOSE = 34, 92, (91, 123), (93, 125)
@@ -80,13 +82,14 @@ def gzipped(f) -> bool:
     return f.read(2) == b"\x1f\x8b"
 
 
-def stream(f, lo: int, hi: int | None = None) -> Iterator[bytes]:
-    """The bytes from lo to hi (to the end), inflated if they are gzip members."""
+def stream(f, lo: int, hi: int | None = None, first: int | None = None) -> Iterator[bytes]:
+    """The bytes from lo to hi (to the end), inflated if they are gzip members. Pieces have CHUNK bytes; if `first` is given, they begin with so many and double up to CHUNK."""
     left, inflate = None if hi is None else hi - lo, zlib.decompressobj(31) if gzipped(f) else None
-    at = lo
+    at, piece = lo, min(CHUNK, first or CHUNK)
     while left is None or left > 0:
         f.seek(at)
-        data = f.read(CHUNK if left is None else min(CHUNK, left))
+        data = f.read(piece if left is None else min(piece, left))
+        piece = min(CHUNK, 2 * piece)
         if not data:
             return
         at, left = at + len(data), None if left is None else left - len(data)
@@ -258,7 +261,7 @@ def objects(f, r: dict) -> Iterator[tuple[int, bytes]]:
 
     yield from walk(stream(f, r["lo"], r["hi"]), True)
     if start is not None and not done:
-        yield from walk(stream(f, r["hi"]), False)
+        yield from walk(stream(f, r["hi"], first=TAIL), False)
 
 
 def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
